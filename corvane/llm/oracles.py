@@ -42,4 +42,25 @@ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, c
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL = {"op2_line_dedup": OP2, "op5_warc": OP5, "op9_topk": OP9, "op10_decontaminate": OP10}
+OP7 = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT doc_id, pos, hash(list_slice(w, pos, pos + 49)) AS h, md5(array_to_string(list_slice(w, pos, pos + 49), ' ')) AS m FROM (SELECT *, unnest(range(1, len(w) - 48)) AS pos FROM d)),
+least AS (SELECT h, m, min(doc_id) AS first FROM windows GROUP BY h, m),
+gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS p FROM windows JOIN least USING (h, m) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, pos, pos + 3), ' ') AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 2))) AS pos FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, min(other)::bigint AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n
+"""
+
+SQL = {"op7_substring_dedup": OP7, "op8_jaccard_join": OP8, "op2_line_dedup": OP2, "op5_warc": OP5, "op9_topk": OP9, "op10_decontaminate": OP10}

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, language_id, line_dedup, quality, topk, warc
+from corvane.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, substring_dedup, topk, warc
 from corvane.llm.common import fold, table
 from corvane.llm.oracles import SQL
 
 
+def alternating_sum(spans: str) -> Column:
+    """Length of the intervals in an array of starts and ends by turns."""
+    signed = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
@@ -48,6 +54,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return out.select("doc_id", "n_words", alternating_sum("removed_spans").alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows.where("vec_id % 100 = 0"), rows, k=10, scale=1024)
@@ -56,13 +71,12 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    # spans alternate start and end
-    hit = F.aggregate(F.transform("hit_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    hit = alternating_sum("hit_spans")
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_bpe, op5_warc, op6_quality, op9_topk, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_bpe, op5_warc, op6_quality, op7_substring_dedup, op8_jaccard_join, op9_topk, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
