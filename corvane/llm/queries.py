@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, substring_dedup, topk, warc
+from corvane.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, substring_dedup, suffix_tree_lm, topk, warc
 from corvane.llm.common import fold, table
 from corvane.llm.oracles import SQL
 
@@ -42,6 +42,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold("doc_id", 7) == 2
+    out = suffix_tree_lm.score(docs, ~held)
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -75,8 +82,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_bpe, op5_warc, op6_quality, op7_substring_dedup, op8_jaccard_join, op9_topk, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_bpe, op4_suffix_tree_lm, op5_warc, op6_quality, op7_substring_dedup, op8_jaccard_join, op9_topk, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
