@@ -2,14 +2,16 @@
 
 A document is the set of its distinct shingles (hashed to 64 bits). All shingles have one order: rare
 classes first, by a fixed-size table of counts over all documents, then by hash. Equal sets become
-one class at once. If two different sets reach the threshold, they share at least two shingles within
-prefixes that are one longer than the usual ones. So each class indexes the rare shingles of its extended
-prefix alone and, of the frequent ones, all pairs: two shared shingles are either partly rare, or a pair.
+one class at once. If two different sets reach the threshold, their prefixes, each SHARED - 1 longer
+than the usual ones, share at least SHARED shingles (or all that the threshold asks for, if fewer).
+Each class indexes the rare shingles of its extended prefix alone and, of the frequent ones, all
+pairs: f shared frequent shingles show as f (f - 1) / 2 shared pairs, and none as one at most. So the
+keys that two classes have in common tell whether they can share enough.
 
-Classes that share an index key are candidates, after a bound on their sizes. They are verified on
+Classes that share index keys are candidates, after a bound on their sizes. They are verified on
 their whole sets in two rounds: first neighbours in each key's list, which already joins large groups
-of near copies, then, against the components so far, every candidate pair that still spans two of
-them. Pairs within one component could not change it; no other pair is left out.
+of near copies, then, against the components so far, every pair that still spans two of them and has
+enough keys in common, counted over all lists. Pairs within one component could not change it; no other pair is left out.
 
 Documents with fewer words than a shingle have their whole sequence as the only one; without words
 (null, empty) they have no set and link with nothing. Rows with the same doc_id are one document
@@ -29,6 +31,8 @@ from corvane.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 85
 CLASS_BITS = 16
+#: Shingles that extended prefixes of a link share at least.
+SHARED = 16
 #: A class is frequent if it has this many times the mean of all.
 FREQUENT = 2
 NULL_ID = -(2**63)
@@ -101,13 +105,11 @@ def index_keys(s: np.ndarray, ranks: np.ndarray, frequent: np.ndarray, percent:
     if len(s) < 2:
         return s[:0]
     classes = _class_of(s)
-    order = np.lexsort((s, ranks[classes]))[: len(s) - needed(len(s), percent) + 2]
+    order = np.lexsort((s, ranks[classes]))[: len(s) - needed(len(s), percent) + SHARED]
     s, often = s[order], frequent[classes[order]]
-    f = s[often]
-    if len(f) < 2:
-        return s[~often]
+    f, one = s[often], np.uint64(1)
     i, j = np.triu_indices(len(f), 1)
-    return np.concatenate([s[~often], mix(mix(f[i]) + f[j] * np.uint64(3))])
+    return np.concatenate([s[~often] & ~one, mix(mix(f[i]) + f[j] * np.uint64(3)) | one])  # the last bit tells pairs
 
 
 def keyed_sets(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
@@ -148,89 +150,113 @@ def _listed(classes: DataFrame) -> DataFrame:
     return out.repartition("key").sortWithinPartitions("key", "n", "doc")
 
 
-def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]):
-    x, y = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+class _Pairs:
+    """Pairs of documents with the single and the combined keys that they have in common, summed now and then."""
+
+    def __init__(self) -> None:
+        self.parts, self.size = [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, key: np.ndarray) -> bool:
+        """n: size of the larger set. Whether it is time to take the pairs."""
+        if len(a):
+            self.parts.append((np.minimum(a, b), np.maximum(a, b), n, key & 1))
+            self.size += len(a)
+        return self.size > 1_000_000
+
+    def take(self) -> pa.RecordBatch:
+        a, b, n, combined = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        order = np.lexsort((b, a))
+        a, b, n, combined = a[order], b[order], n[order], combined[order]
+        begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        times, pairs = np.diff(np.append(begin, len(a))), np.add.reduceat(combined, begin)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[begin], b[begin], n[begin], times - pairs, pairs)], names=["a", "b", "n", "single", "paired"])
+
+
+_COUNTED = "a long, b long, n long, single long, paired long"
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.sum("single").alias("single"), F.sum("paired").alias("paired"))
+
+
+def _enough(percent: int, part: int = 1):
+    """Whether the keys in common allow for as many shared shingles as a link has in its extended prefixes."""
+    often = F.when(F.col("paired") > 0, F.floor((1 + F.sqrt(1 + 8 * F.col("paired"))) / 2 + 1e-9)).otherwise(1)
+    return F.col("single") + often >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)) / part
 
 
 def _neighbours(batches, percent: int):
-    """Pairs of each list's neighbours, and of each entry with the first of its list that is large enough."""
-    a, b, held = [], [], 0
+    """Pairs of each list's neighbours, and of each entry with the first of its list if that is large enough.
+
+    A pair of an entry with itself counts its keys in lists where it has such a neighbour.
+    """
+    pairs = _Pairs()
     last = hub = None
-    for batch in batches:
-        key, doc, n = (np.asarray(batch.column(c)) for c in ("key", "doc", "n"))
-        if not len(key):
-            continue
-        if last is not None:
-            key, doc, n = (np.concatenate([[x], y]) for x, y in zip(last, (key, doc, n), strict=True))
-        same = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        a.append(doc[:-1][same])
-        b.append(doc[1:][same])
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        first = np.repeat(begin, np.diff(np.append(begin, len(key))))
-        hub_doc, hub_n = doc[first], n[first]
-        if hub is not None and hub[0] == key[0]:
-            lead = first == 0
-            hub_doc, hub_n = np.where(lead, hub[1], hub_doc), np.where(lead, hub[2], hub_n)
-        near = (hub_doc != doc) & (100 * hub_n >= percent * n)
-        a.append(hub_doc[near])
-        b.append(doc[near])
-        hub, last = (key[-1], hub_doc[-1], hub_n[-1]), (key[-1], doc[-1], n[-1])
-        held += len(a[-1]) + len(a[-2])
-        if held > 500_000:
-            yield _unique_pairs(a, b)
-            a, b, held = [], [], 0
-    if held:
-        yield _unique_pairs(a, b)
+    for whole in batches:
+        for cut in range(0, whole.num_rows, 200_000):
+            batch = whole.slice(cut, 200_000)
+            key, doc, n = (np.asarray(batch.column(c)) for c in ("key", "doc", "n"))
+            if last is not None:
+                key, doc, n = (np.concatenate([[x], y]) for x, y in zip(last, (key, doc, n), strict=True))
+            same = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            first = np.repeat(begin, np.diff(np.append(begin, len(key))))
+            hub_doc, hub_n = doc[first], n[first]
+            if hub is not None and hub[0] == key[0]:
+                lead = first == 0
+                hub_doc, hub_n = np.where(lead, hub[1], hub_doc), np.where(lead, hub[2], hub_n)
+            near = (hub_doc != doc) & (100 * hub_n >= percent * n)
+            near[1:] &= hub_doc[1:] != doc[:-1]
+            if last is not None:
+                near[0] = False
+            pairs.add(doc[:-1][same], doc[1:][same], n[1:][same], key[1:][same])
+            # an entry may be counted twice, by both its neighbours; that only admits more
+            pairs.add(doc[1:][same], doc[1:][same], n[1:][same], key[1:][same])
+            pairs.add(doc[:-1][same], doc[:-1][same], n[:-1][same], key[:-1][same])
+            full = pairs.add(hub_doc[near], doc[near], n[near], key[near])
+            hub, last = (key[-1], hub_doc[-1], hub_n[-1]), (key[-1], doc[-1], n[-1])
+            if full:
+                yield pairs.take()
+    if pairs.size:
+        yield pairs.take()
 
 
 def _spanning(batches, percent: int):
     """Pairs of a list's entries that lie in different components and fit in size."""
-    a, b, held = [], [], 0
+    pairs = _Pairs()
     rest = None
 
-    def pairs(doc, n, comp):
-        nonlocal held
+    def spanning(key, doc, n, comp):
         stop = np.searchsorted(n, 100 * n // percent, side="right")
         for i in range(len(doc) - 1):
             far = np.flatnonzero(comp[i + 1 : stop[i]] != comp[i]) + i + 1
-            if len(far):
-                a.append(np.full(len(far), doc[i]))
-                b.append(doc[far])
-                held += len(far)
-                if held > 500_000:
-                    yield flush()
-
-    def flush():
-        nonlocal held
-        out = _unique_pairs(a, b)
-        a.clear()
-        b.clear()
-        held = 0
-        return out
-
-    for batch in batches:
-        columns = [np.asarray(batch.column(c)) for c in ("key", "doc", "n", "comp")]
-        if rest is not None:
-            columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-        key, doc, n, comp = columns
-        if not len(key):
-            continue
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ends = np.append(begin[1:], len(key))
-        mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
-        for k in np.flatnonzero(mixed[:-1]):
-            yield from pairs(*(c[begin[k] : ends[k]] for c in (doc, n, comp)))
-        rest = [c[begin[-1] :] for c in columns]
+            if pairs.add(np.full(len(far), doc[i]), doc[far], n[far], key[far]):
+                yield pairs.take()
+
+    for whole in batches:
+        for cut in range(0, whole.num_rows, 200_000):
+            batch = whole.slice(cut, 200_000)
+            columns = [np.asarray(batch.column(c)) for c in ("key", "doc", "n", "comp")]
+            if rest is not None:
+                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            key, comp = columns[0], columns[3]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(begin[1:], len(key))
+            mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
+            for k in np.flatnonzero(mixed[:-1]):
+                yield from spanning(*(c[begin[k] : ends[k]] for c in columns))
+            rest = [c[begin[-1] :] for c in columns]
     if rest is not None and len(rest[0]):
-        yield from pairs(*rest[1:])
-    if held:
-        yield flush()
+        yield from spanning(*rest)
+    if pairs.size:
+        yield pairs.take()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
+    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    sets = stored(_sets(rows.join(classes.select("doc", "h1", "h2").join(wanted, "doc"), "doc"), size))
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches):
@@ -254,21 +280,15 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = keyed.select("doc", "n", "h1", "h2")
     classes = stored(keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
-    def lists(labels):
-        if labels is None:
-            return _listed(classes.withColumn("comp", F.col("doc")))
-        return _listed(classes.join(labels.select(F.col("node").alias("doc"), F.col("component").alias("comp")), "doc"))
-
-    first = stored(lists(None).mapInArrow(lambda b: _neighbours(b, percent), schema("a long, b long")).distinct())
-    touched = first.select(F.col("a").alias("doc")).unionByName(first.select(F.col("b").alias("doc"))).distinct()
-    sets = stored(_sets(rows.join(touched, "doc", "left_semi"), classes, size))
-    links = stored(_verified(first, sets, percent))
-    # every candidate is a node, linked or not
-    loops = touched.select(F.col("doc").alias("node"))
-    found = connected_components(links)
-    labels = stored(loops.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-    spanning = lists(labels).mapInArrow(lambda b: _spanning(b, percent), schema("a long, b long")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(_verified(spanning, sets, percent))
+    listed = _listed(classes.withColumn("comp", F.col("doc")))
+    near = stored(_summed(listed.mapInArrow(lambda b: _neighbours(b, percent), schema(_COUNTED))))
+    first = near.where("a <> b").where(_enough(percent, 2)).select("a", "b")
+    links = stored(_verified(first, rows, classes, size, percent))
+    live = near.where("a = b").where(_enough(percent)).select(F.col("a").alias("doc"))
+    labels = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+    left = classes.join(live, "doc", "left_semi").join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    spanning = _summed(_listed(left).mapInArrow(lambda b: _spanning(b, percent), schema(_COUNTED))).where(_enough(percent)).select("a", "b")
+    more = stored(_verified(stored(spanning.join(first, ["a", "b"], "left_anti")), rows, classes, size, percent))
     same = members.where("n > 0").join(classes.select("h1", "h2", F.col("doc").alias("rep")), ["h1", "h2"])
     repeated = keyed.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc")
     shared = same.join(repeated, "doc").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
@@ -278,8 +298,8 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
-def _sets(rows: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """doc and the whole set of the classes among rows."""
+def _sets(rows: DataFrame, size: int) -> DataFrame:
+    """doc and the whole set of the rows whose set is that of h1 and h2."""
 
     def make():
         hashes = WordHashes()
@@ -287,12 +307,12 @@ def _sets(rows: DataFrame, classes: DataFrame, size: int) -> DataFrame:
         def step(piece):
             sets = [shingles(t, hashes, size) for t in as_bytes(piece.column("text"))]
             h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
-            return [piece.column("doc"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())]
+            right = (h[:, 0] == np.asarray(piece.column("h1"))) & (h[:, 1] == np.asarray(piece.column("h2")))
+            return [piece.column("doc").filter(pa.array(right)), pa.array([s.tobytes() for s, ok in zip(sets, right, strict=True) if ok], pa.binary())]
 
         return step
 
-    out = explode(rows, "text", make, schema("doc long, h1 long, h2 long, items binary"))
-    return out.join(classes.select("doc", "h1", "h2"), ["doc", "h1", "h2"], "left_semi").select("doc", "items")
+    return explode(rows, "text", make, schema("doc long, items binary"))
 
 
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
