@@ -9,8 +9,8 @@ pairs: f shared frequent shingles show as f (f - 1) / 2 shared pairs, and none a
 keys that two classes have in common tell whether they can share enough.
 
 Classes that share index keys are candidates, after a bound on their sizes. They are verified on
-their whole sets in two rounds: first neighbours in each key's list, which already joins large groups
-of near copies, then, against the components so far, every pair that still spans two of them and has
+their whole sets in three rounds: neighbours in each key's list; every entry of a list with the one that shares
+the largest part of its keys; then, against the components so far, every pair that still spans two of them and has
 enough keys in common, counted over all lists. Pairs within one component could not change it; no other pair is left out.
 
 Documents with fewer words than a shingle have their whole sequence as the only one; without words
@@ -135,8 +135,8 @@ def keyed_sets(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
     return explode(docs, "text", make, schema("doc long, n long, h1 long, h2 long, keys binary"))
 
 
-def _listed(classes: DataFrame) -> DataFrame:
-    """key, doc, n, comp of every class and key, sorted by key, size and document."""
+def _listed(classes: DataFrame, *order) -> DataFrame:
+    """key, doc, n, comp, live of every class and key, sorted by key and then as asked for."""
 
     def run(batches):
         for whole in batches:
@@ -144,10 +144,10 @@ def _listed(classes: DataFrame) -> DataFrame:
                 batch = whole.slice(cut, 2_000)
                 keys = batch.column("keys").to_pylist()
                 times = np.array([len(k) // 8 for k in keys], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64))] + [pa.array(np.repeat(np.asarray(batch.column(c)), times)) for c in ("doc", "n", "comp")], names=["key", "doc", "n", "comp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64))] + [pa.array(np.repeat(np.asarray(batch.column(c)), times)) for c in ("doc", "n", "comp", "live")], names=["key", "doc", "n", "comp", "live"])
 
-    out = classes.select("doc", "n", "comp", "keys").mapInArrow(run, schema("key long, doc long, n long, comp long"))
-    return out.repartition("key").sortWithinPartitions("key", "n", "doc")
+    out = classes.select("doc", "n", "comp", "live", "keys").mapInArrow(run, schema("key long, doc long, n long, comp long, live long"))
+    return out.repartition("key").sortWithinPartitions("key", *order)
 
 
 class _Pairs:
@@ -222,6 +222,30 @@ def _neighbours(batches, percent: int):
         yield pairs.take()
 
 
+def _stars(batches, percent: int):
+    """Pairs of each entry with the first of its list, where they lie in different components and fit in size."""
+    pairs = _Pairs()
+    hub = None
+    for whole in batches:
+        for cut in range(0, whole.num_rows, 200_000):
+            batch = whole.slice(cut, 200_000)
+            columns = [np.asarray(batch.column(c)) for c in ("key", "doc", "n", "comp")]
+            if hub is not None:
+                columns = [np.concatenate([[x], y]) for x, y in zip(hub, columns, strict=True)]
+            key, doc, n, comp = columns
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            first = np.repeat(begin, np.diff(np.append(begin, len(key))))
+            far = (comp != comp[first]) & (100 * np.minimum(n, n[first]) >= percent * np.maximum(n, n[first]))
+            full = pairs.add(doc[first][far], doc[far], np.maximum(n, n[first])[far], key[far])
+            hub = [c[begin[-1]] for c in columns]
+            if full:
+                yield pairs.take()
+    if pairs.size:
+        yield pairs.take()
+
+
 def _spanning(batches, percent: int):
     """Pairs of a list's entries that lie in different components and fit in size."""
     pairs = _Pairs()
@@ -280,15 +304,27 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = keyed.select("doc", "n", "h1", "h2")
     classes = stored(keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
-    listed = _listed(classes.withColumn("comp", F.col("doc")))
+    listed = _listed(classes.withColumns({"comp": F.col("doc"), "live": F.lit(0).cast("long")}), "n", "doc")
     near = stored(_summed(listed.mapInArrow(lambda b: _neighbours(b, percent), schema(_COUNTED))))
+
+    def verified(pairs):
+        return stored(_verified(pairs, rows, classes, size, percent))
+
+    def labelled(links):
+        """The classes that have enough keys in common with any others, with their components so far."""
+        live = near.where("a = b").where(_enough(percent)).select(F.col("a").alias("doc"), (F.col("single") + F.col("paired")).alias("keys_shared"))
+        found = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+        share = F.floor(F.lit(1000) * F.col("keys_shared") / F.greatest(F.octet_length("keys") / 8, F.lit(1))).alias("live")
+        return classes.join(live, "doc").join(found, "doc", "left").select("doc", "n", "keys", F.coalesce("comp", "doc").alias("comp"), share)
+
     first = near.where("a <> b").where(_enough(percent, 2)).select("a", "b")
-    links = stored(_verified(first, rows, classes, size, percent))
-    live = near.where("a = b").where(_enough(percent)).select(F.col("a").alias("doc"))
-    labels = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-    left = classes.join(live, "doc", "left_semi").join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    spanning = _summed(_listed(left).mapInArrow(lambda b: _spanning(b, percent), schema(_COUNTED))).where(_enough(percent)).select("a", "b")
-    more = stored(_verified(stored(spanning.join(first, ["a", "b"], "left_anti")), rows, classes, size, percent))
+    links = verified(first)
+    # the original of a group of edited copies shares the largest part of its keys and is likely to link with all of them
+    stars = _summed(_listed(labelled(links), F.desc("live"), "doc").mapInArrow(lambda b: _stars(b, percent), schema(_COUNTED)))
+    second = stored(stars.where(_enough(percent, 2)).select("a", "b").join(first, ["a", "b"], "left_anti"))
+    links = links.unionByName(verified(second))
+    spanning = _summed(_listed(labelled(links), "n", "doc").mapInArrow(lambda b: _spanning(b, percent), schema(_COUNTED))).where(_enough(percent)).select("a", "b")
+    more = verified(stored(spanning.join(first.unionByName(second), ["a", "b"], "left_anti")))
     same = members.where("n > 0").join(classes.select("h1", "h2", F.col("doc").alias("rep")), ["h1", "h2"])
     repeated = keyed.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc")
     shared = same.join(repeated, "doc").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
