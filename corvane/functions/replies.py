@@ -31,6 +31,6 @@ def retry_decision(error: str, attempt: str, attempts: int = 4) -> Column:
     """struct(action, delay): 'raise' what is no rate limit, 'give_up' when waiting can't help, else 'wait' delay seconds."""
     limited = f"({error} like '%429%' or {error} like '%RESOURCE_EXHAUSTED%')"
     daily = f"({error} like '%PerDay%' or lower({error}) like '%requests_per_day%')"
-    told = f"regexp_extract({error}, r'retryDelay[\\'\"]?:\\s*[\\'\"]?(\\d+(?:\\.\\d+)?)s', 1)"
+    told = rf"""regexp_extract({error}, r"retryDelay['\x22]?:\s*['\x22]?(\d+(?:\.\d+)?)s", 1)"""
     delay = f"coalesce(cast(nullif({told}, '') as double), pow(2, {attempt}))"
     return F.expr(f"named_struct('action', case when not {limited} then 'raise' when {daily} or {delay} > 120 or {attempt} >= {attempts - 1} then 'give_up' else 'wait' end, 'delay', {delay})")
