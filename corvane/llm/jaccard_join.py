@@ -10,8 +10,13 @@ keys that two classes have in common tell whether they can share enough.
 
 Classes that share index keys are candidates, after a bound on their sizes. They are verified on
 their whole sets in three rounds: neighbours in each key's list; every entry of a list with the one that shares
-the largest part of its keys; then, against the components so far, every pair that still spans two of them and has
-enough keys in common, counted over all lists. Pairs within one component could not change it; no other pair is left out.
+the largest part of its keys, its hub; then, against the components so far, every pair that still spans two of them
+and has enough keys in common, counted over all lists. Pairs within one component could not change it; no other pair is left out.
+
+Edited copies of one text share most of their keys whether they link or not. So a pair with the same hub is not
+looked up by its keys but by what sets it apart from the hub: removed and added shingles. The sizes of these
+differences tell how many of them a link must have in common, and such lists are short. Two sets that need none in
+common are both linked with the hub, and so in one component.
 
 Documents with fewer words than a shingle have their whole sequence as the only one; without words
 (null, empty) they have no set and link with nothing. Rows with the same doc_id are one document
@@ -135,8 +140,8 @@ def keyed_sets(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
     return explode(docs, "text", make, schema("doc long, n long, h1 long, h2 long, keys binary"))
 
 
-def _listed(classes: DataFrame, *order) -> DataFrame:
-    """key, doc, n, comp, live of every class and key, sorted by key and then as asked for."""
+def _listed(classes: DataFrame, carried: list[str], *order) -> DataFrame:
+    """key and the carried long columns of every class and key, sorted by key and then as asked for."""
 
     def run(batches):
         for whole in batches:
@@ -144,22 +149,22 @@ def _listed(classes: DataFrame, *order) -> DataFrame:
                 batch = whole.slice(cut, 2_000)
                 keys = batch.column("keys").to_pylist()
                 times = np.array([len(k) // 8 for k in keys], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64))] + [pa.array(np.repeat(np.asarray(batch.column(c)), times)) for c in ("doc", "n", "comp", "live")], names=["key", "doc", "n", "comp", "live"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64))] + [pa.array(np.repeat(np.asarray(batch.column(c)), times)) for c in carried], names=["key", *carried])
 
-    out = classes.select("doc", "n", "comp", "live", "keys").mapInArrow(run, schema("key long, doc long, n long, comp long, live long"))
+    out = classes.select(*carried, "keys").mapInArrow(run, schema("key long, " + ", ".join(f"{c} long" for c in carried)))
     return out.repartition("key").sortWithinPartitions("key", *order)
 
 
 class _Pairs:
     """Pairs of documents with the single and the combined keys that they have in common, summed now and then."""
 
-    def __init__(self) -> None:
-        self.parts, self.size = [], 0
+    def __init__(self, directed: bool = False) -> None:
+        self.parts, self.size, self.directed = [], 0, directed
 
     def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, key: np.ndarray) -> bool:
         """n: size of the larger set. Whether it is time to take the pairs."""
         if len(a):
-            self.parts.append((np.minimum(a, b), np.maximum(a, b), n, key & 1))
+            self.parts.append((a if self.directed else np.minimum(a, b), b if self.directed else np.maximum(a, b), n, key & 1))
             self.size += len(a)
         return self.size > 1_000_000
 
@@ -223,8 +228,11 @@ def _neighbours(batches, percent: int):
 
 
 def _stars(batches, percent: int):
-    """Pairs of each entry with the first of its list, where they lie in different components and fit in size."""
-    pairs = _Pairs()
+    """Pairs of each entry (b) with the first of its list (a), where they fit in size.
+
+    n is twice the size of the larger set, and one more if they lie in different components.
+    """
+    pairs = _Pairs(directed=True)
     hub = None
     for whole in batches:
         for cut in range(0, whole.num_rows, 200_000):
@@ -237,8 +245,9 @@ def _stars(batches, percent: int):
                 continue
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             first = np.repeat(begin, np.diff(np.append(begin, len(key))))
-            far = (comp != comp[first]) & (100 * np.minimum(n, n[first]) >= percent * np.maximum(n, n[first]))
-            full = pairs.add(doc[first][far], doc[far], np.maximum(n, n[first])[far], key[far])
+            fits = (doc != doc[first]) & (100 * np.minimum(n, n[first]) >= percent * np.maximum(n, n[first]))
+            packed = 2 * np.maximum(n, n[first]) + (comp != comp[first])
+            full = pairs.add(doc[first][fits], doc[fits], packed[fits], key[fits])
             hub = [c[begin[-1]] for c in columns]
             if full:
                 yield pairs.take()
@@ -246,37 +255,112 @@ def _stars(batches, percent: int):
         yield pairs.take()
 
 
-def _spanning(batches, percent: int):
-    """Pairs of a list's entries that lie in different components and fit in size."""
+def _by_list(batches, columns: tuple[str, ...], pick):
+    """Pairs that pick(pairs, *columns) yields for each list that holds entries of several components."""
     pairs = _Pairs()
     rest = None
-
-    def spanning(key, doc, n, comp):
-        stop = np.searchsorted(n, 100 * n // percent, side="right")
-        for i in range(len(doc) - 1):
-            far = np.flatnonzero(comp[i + 1 : stop[i]] != comp[i]) + i + 1
-            if pairs.add(np.full(len(far), doc[i]), doc[far], n[far], key[far]):
-                yield pairs.take()
-
     for whole in batches:
         for cut in range(0, whole.num_rows, 200_000):
             batch = whole.slice(cut, 200_000)
-            columns = [np.asarray(batch.column(c)) for c in ("key", "doc", "n", "comp")]
+            found = [np.asarray(batch.column(c)) for c in columns]
             if rest is not None:
-                columns = [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            key, comp = columns[0], columns[3]
+                found = [np.concatenate(x) for x in zip(rest, found, strict=True)]
+            key, comp = found[0], found[columns.index("comp")]
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(begin[1:], len(key))
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             for k in np.flatnonzero(mixed[:-1]):
-                yield from spanning(*(c[begin[k] : ends[k]] for c in columns))
-            rest = [c[begin[-1] :] for c in columns]
+                yield from pick(pairs, *(c[begin[k] : ends[k]] for c in found))
+            rest = [c[begin[-1] :] for c in found]
     if rest is not None and len(rest[0]):
-        yield from spanning(*rest)
+        yield from pick(pairs, *rest)
     if pairs.size:
         yield pairs.take()
 
 
+def _spanning(batches, percent: int):
+    """Pairs of a list's entries that lie in different components, have different hubs and fit in size."""
+
+    def pick(pairs, key, doc, n, comp, hub):
+        if hub.min() == hub.max():
+            return
+        stop = np.searchsorted(n, 100 * n // percent, side="right")
+        for i in range(len(doc) - 1):
+            far = np.flatnonzero((comp[i + 1 : stop[i]] != comp[i]) & (hub[i + 1 : stop[i]] != hub[i])) + i + 1
+            if pairs.add(np.full(len(far), doc[i]), doc[far], n[far], key[far]):
+                yield pairs.take()
+
+    return _by_list(batches, ("key", "doc", "n", "comp", "hub"), pick)
+
+
+def _least_common(n, percent: int):
+    """The least overlap of two sets that link, from the sum of their sizes."""
+    return -(-percent * n // (100 + percent))
+
+
+def _residual(batches, percent: int):
+    """Pairs of a list's entries that lie in different components, with the number of differences to share as n.
+
+    If the removed shingles alone tell that a link must share added ones, only those count (odd keys).
+    """
+
+    def pick(pairs, key, doc, n, comp, excess, apart):
+        added = bool(key[0] & 1)
+        stop = np.searchsorted(n, 100 * n // percent, side="right")
+        for i in range(len(doc) - 1):
+            at = np.flatnonzero(comp[i + 1 : stop[i]] != comp[i]) + i + 1
+            both = n[at] + n[i]
+            of_added = np.maximum(excess[at], excess[i]) + _least_common(both, percent)
+            of_all = (apart[at] + apart[i] - both + 2 * _least_common(both, percent) + 1) // 2
+            wanted = (of_added >= 1) if added else (of_added < 1)
+            if added:
+                wanted |= of_all >= 1
+            need = np.where(of_added >= 1, np.minimum(of_added, SHARED), of_all)
+            at, need = at[wanted], need[wanted]
+            if pairs.add(np.full(len(at), doc[i]), doc[at], need, np.full(len(at), key[0])):
+                yield pairs.take()
+
+    return _by_list(batches, ("key", "doc", "n", "comp", "excess", "apart"), pick)
+
+
+def _differences(hubs: DataFrame, rows: DataFrame, classes: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+    """doc, hub, n, excess, apart and keys of each row of hubs (doc, hub).
+
+    excess: how many shingles of the hub the set lacks, less the hub's size; apart: size of the symmetric difference.
+    The keys stand for a shingle and the hub: added ones (odd), as far as a link needs them, and removed ones
+    (even) where a link may do without added ones.
+    """
+    ranks = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))).astype(np.int64)
+    shipped = rows.sparkSession.sparkContext.broadcast(ranks)  # fixed size
+    wanted = hubs.select("doc").unionByName(hubs.select(F.col("hub").alias("doc"))).distinct()
+    sets = stored(_sets(rows.join(classes.select("doc", "h1", "h2").join(wanted, "doc"), "doc"), size).dropDuplicates(["doc"]))
+    both = hubs.join(sets.select("doc", F.col("items").alias("x")), "doc").join(sets.select(F.col("doc").alias("hub"), F.col("items").alias("y")), "hub").select("doc", "hub", "x", "y")
+
+    def run(batches):
+        ranks = shipped.value
+        for whole in batches:
+            for cut in range(0, whole.num_rows, 500):
+                batch = whole.slice(cut, 500)
+                out = []
+                for hub, x, y in zip(batch.column("hub").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    added, removed = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                    excess, least = len(removed) - len(y), -(-percent * len(x) // 100)
+                    must = excess + _least_common(len(x) + least, percent)
+                    if must >= 1:
+                        part = added[np.lexsort((added, ranks[_class_of(added)]))][: max(0, len(added) - must + SHARED)]
+                        removed_too = removed[:0]
+                    else:
+                        part, removed_too = added, removed
+                    salt = mix(np.array([hub], np.int64).view(np.uint64))
+                    keys = np.concatenate([mix(part + salt) | np.uint64(1), mix(removed_too + salt) & ~np.uint64(1)])
+                    out.append((len(x), excess, len(added) + len(removed), keys.tobytes()))
+                n, excess, apart, keys = zip(*out, strict=True) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("hub"), *(pa.array(c, pa.int64()) for c in (n, excess, apart)), pa.array(keys, pa.binary())], names=["doc", "hub", "n", "excess", "apart", "keys"])
+
+    return both.mapInArrow(run, schema("doc long, hub long, n long, excess long, apart long, keys binary"))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
     wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
@@ -300,11 +384,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int,
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc (null ids as the smallest long), n_shingles and component_id of each row."""
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
-    keyed = stored(keyed_sets(rows, class_counts(rows, size), size, percent))
+    counts = class_counts(rows, size)
+    keyed = stored(keyed_sets(rows, counts, size, percent))
     members = keyed.select("doc", "n", "h1", "h2")
     classes = stored(keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
-    listed = _listed(classes.withColumns({"comp": F.col("doc"), "live": F.lit(0).cast("long")}), "n", "doc")
+    listed = _listed(classes, ["doc", "n"], "n", "doc")
     near = stored(_summed(listed.mapInArrow(lambda b: _neighbours(b, percent), schema(_COUNTED))))
 
     def verified(pairs):
@@ -320,11 +405,27 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = near.where("a <> b").where(_enough(percent, 2)).select("a", "b")
     links = verified(first)
     # the original of a group of edited copies shares the largest part of its keys and is likely to link with all of them
-    stars = _summed(_listed(labelled(links), F.desc("live"), "doc").mapInArrow(lambda b: _stars(b, percent), schema(_COUNTED)))
-    second = stored(stars.where(_enough(percent, 2)).select("a", "b").join(first, ["a", "b"], "left_anti"))
+    starred = _listed(labelled(links), ["doc", "n", "comp", "live"], F.desc("live"), "doc").mapInArrow(lambda b: _stars(b, percent), schema(_COUNTED))
+    packed = _summed(starred).withColumns({"far": F.col("n") % 2 == 1, "n": F.floor(F.col("n") / 2)})
+    stars = stored(packed.where(_enough(percent, 2)))
+    second = stored(stars.where("far").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     links = links.unionByName(verified(second))
-    spanning = _summed(_listed(labelled(links), "n", "doc").mapInArrow(lambda b: _spanning(b, percent), schema(_COUNTED))).where(_enough(percent)).select("a", "b")
-    more = verified(stored(spanning.join(first.unionByName(second), ["a", "b"], "left_anti")))
+    labels = stored(labelled(links))
+
+    # every pair of an entry with its hub is verified by now or lies in one component
+    single = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1").select("doc")
+    plain = stars.join(single.withColumnRenamed("doc", "a"), "a", "left_semi").join(single.withColumnRenamed("doc", "b"), "b", "left_semi")
+    best = plain.groupBy("b").agg(F.max_by("a", F.struct(F.col("single") + F.col("paired"), -F.col("a"))).alias("hub")).select(F.col("b").alias("doc"), "hub")
+    chosen = best.select(F.col("hub").alias("doc")).distinct()
+    hubs = best.join(chosen, "doc", "left_anti").unionByName(chosen.select("doc", F.col("doc").alias("hub")))
+    split = hubs.join(labels.select("doc", "comp"), "doc").groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("hub")
+    apart = stored(_differences(hubs.join(split, "hub"), rows, classes, counts, size, percent))
+
+    places = labels.select("doc", "n", "comp", "keys").join(apart.select("doc", "hub"), "doc", "left").withColumn("hub", F.coalesce("hub", "doc"))
+    spanning = _summed(_listed(places, ["doc", "n", "comp", "hub"], "n", "doc").mapInArrow(lambda b: _spanning(b, percent), schema(_COUNTED))).where(_enough(percent)).select("a", "b")
+    around = apart.join(labels.select("doc", "comp"), "doc")
+    residual = _summed(_listed(around, ["doc", "n", "comp", "excess", "apart"], "n", "doc").mapInArrow(lambda b: _residual(b, percent), schema(_COUNTED))).where(F.col("single") + F.col("paired") >= F.col("n")).select("a", "b")
+    more = verified(stored(spanning.unionByName(residual).distinct().join(first.unionByName(second), ["a", "b"], "left_anti")))
     same = members.where("n > 0").join(classes.select("h1", "h2", F.col("doc").alias("rep")), ["h1", "h2"])
     repeated = keyed.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc")
     shared = same.join(repeated, "doc").select(F.col("doc").alias("a"), F.col("rep").alias("b"))

@@ -87,6 +87,39 @@ def test_components(docs):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_edited_copies(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+
+    def edited(text, edits):
+        out = list(text)
+        for _ in range(edits):
+            at, how = rng.randrange(len(out)), rng.random()
+            out[at : at + (how < 0.8)] = [] if how < 0.15 else [rng.choice(words)]
+        return out
+
+    texts = []
+    for length, with_original in ((60, True), (110, True), (110, False), (30, True)):
+        original = [rng.choice(words) for _ in range(length)]
+        near = [edited(original, rng.randrange(1, 7)) for _ in range(60)]
+        second = [edited(rng.choice(near), rng.randrange(1, 4)) for _ in range(25)]  # copies of copies share their edits
+        texts += [original] * with_original + near + second
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))} for w in texts]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * len(a & b) >= 85 * len(a | b)]
+    want = list(range(len(texts)))
+    before = None
+    while want != before:
+        before = want[:]
+        for i, j in links:
+            want[i] = want[j] = min(want[i], want[j])
+    assert 40 < len(set(want)) < len(texts) - 40
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_documents(docs).collect()}
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, want, strict=True))}
+
+
 @pytest.mark.parametrize("mode", ["all", "first"])
 def test_lines(docs, mode):
     rows = {(r.doc_id, r.text) for r in docs.collect()}
