@@ -4,7 +4,7 @@ A word's vector is the mean of the hashed vectors of the word and of its charact
 bounds); a document's is the mean of its words' vectors plus the mean of its hashed word-pair
 vectors, and a softmax layer gives the classes. A pair of equal words hashes to one shared bucket,
 so that repetition itself can be learnt. Training is stochastic gradient descent (steps scaled by
-past gradients) in numpy on the driver, over a bounded sample: the `rows` labelled rows with the
+past gradients) in numpy in one task, over a bounded sample: the `rows` labelled rows with the
 smallest hash of their id, of each at most `chars` characters from a place given by that hash. Scores
 use whole texts and nothing but text.
 
@@ -150,15 +150,25 @@ def train(texts: list[str], labels: list[int], epochs: int | None = None, batch:
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Train on a bounded sample of the labelled documents that train_on (over doc_id) selects."""
     marked = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    there = docs.where(train_on & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"))
-    ids = marked.join(there, "id", "left_semi").groupBy("id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(rows).collect()
-    y_of = {r.id: r.y for r in ids}
+    usable = docs.where(train_on & F.col(text).isNotNull())
+    picked = marked.join(usable.select(F.col(doc_id).alias("id")), "id", "left_semi").groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     part = F.expr(f"substring({text}, 1 + pmod(xxhash64(cast({doc_id} as string)), greatest(length({text}) - {chars}, 1)), {chars})")
-    found = docs.where(train_on & F.col(doc_id).isin(list(y_of)) & F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), part.alias("t")).collect() if y_of else []
-    found = sorted(((r.id, r.t) for r in found), key=lambda r: (str(r[0]), r[1]))[: 2 * rows]
-    if not found:
+    found = usable.select(F.col(doc_id).alias("id"), part.alias("t")).join(F.broadcast(picked), "id")  # at most `rows` ids
+    sample = found.orderBy(F.col("id").cast("string"), "t").limit(2 * rows).select("t", "y")  # ids may be repeated
+
+    def run(batches):
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column("t").to_pylist()
+            marks += batch.column("y").to_pylist()
+        if texts:
+            model = train(texts, marks)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.table, model.weights, model.bias)], names=["table", "weights", "bias"])
+
+    made = sample.mapInArrow(run, "table binary, weights binary, bias binary").collect()
+    if not made:
         return Model(np.zeros((1 << BUCKET_BITS, DIM)), np.zeros((DIM, 2)), np.zeros(2))
-    return train([t for _, t in found], [y_of[i] for i, _ in found])
+    return Model(np.frombuffer(made[0].table, np.float32).reshape(-1, DIM), np.frombuffer(made[0].weights).reshape(DIM, 2), np.frombuffer(made[0].bias))
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
