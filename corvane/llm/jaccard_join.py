@@ -198,6 +198,7 @@ def _neighbours(batches, percent: int):
     """
     pairs = _Pairs()
     last = hub = None
+    counted = False
     for whole in batches:
         for cut in range(0, whole.num_rows, 200_000):
             batch = whole.slice(cut, 200_000)
@@ -216,9 +217,12 @@ def _neighbours(batches, percent: int):
             if last is not None:
                 near[0] = False
             pairs.add(doc[:-1][same], doc[1:][same], n[1:][same], key[1:][same])
-            # an entry may be counted twice, by both its neighbours; that only admits more
+            # each entry counts once, by the one before it or else by the one after it
+            after = np.concatenate([[counted], same])
+            alone = same & ~after[:-1]
             pairs.add(doc[1:][same], doc[1:][same], n[1:][same], key[1:][same])
-            pairs.add(doc[:-1][same], doc[:-1][same], n[:-1][same], key[:-1][same])
+            pairs.add(doc[:-1][alone], doc[:-1][alone], n[:-1][alone], key[:-1][alone])
+            counted = after[-1]
             full = pairs.add(hub_doc[near], doc[near], n[near], key[near])
             hub, last = (key[-1], hub_doc[-1], hub_n[-1]), (key[-1], doc[-1], n[-1])
             if full:
