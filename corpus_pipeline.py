@@ -60,7 +60,7 @@ STAGES = [
     ("tokens", tokenized),
 ]
 
-#: The classifier and the tokenizer are beyond SQL; tests hold the stages against brute force.
+#: The classifier and the tokenizer are beyond SQL; tests hold the operators of the stages against brute force.
 ORACLE_SQL = None
 
 
