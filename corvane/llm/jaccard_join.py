@@ -14,9 +14,9 @@ the largest part of its keys, its hub; then, against the components so far, ever
 and has enough keys in common, counted over all lists. Pairs within one component could not change it; no other pair is left out.
 
 Edited copies of one text share most of their keys whether they link or not. So a pair with the same hub is not
-looked up by its keys but by what sets it apart from the hub: removed and added shingles. The sizes of these
-differences tell how many of them a link must have in common, and such lists are short. Two sets that need none in
-common are both linked with the hub, and so in one component.
+looked up by its keys but by its differences from the hub: the shingles that only one of the two sets has. If two sets
+link and do not both link with the hub, they must share several of these. So a prefix of them, rare ones
+first, is enough, and a key counts only where enough differences follow it. Any set may be a hub, so the hub of a hub replaces it.
 
 Documents with fewer words than a shingle have their whole sequence as the only one; without words
 (null, empty) they have no set and link with nothing. Rows with the same doc_id are one document
@@ -40,6 +40,8 @@ CLASS_BITS = 16
 SHARED = 16
 #: A class is frequent if it has this many times the mean of all.
 FREQUENT = 2
+#: How often the hub of a set is replaced by the hub's own hub.
+HUB_STEPS = 2
 NULL_ID = -(2**63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -302,37 +304,47 @@ def _least_common(n, percent: int):
     return -(-percent * n // (100 + percent))
 
 
+def _apart_at_most(both, percent: int):
+    """The largest symmetric difference of two sets that link, from the sum of their sizes."""
+    return both - 2 * _least_common(both, percent)
+
+
+def _least_shared(n: int, apart: int, hub_n: int, linked: bool, percent: int) -> int:
+    """The least number of differences from the hub that a set shares with any other that it could newly join.
+
+    One of the two at least does not link with the hub, or they are in one component by it. So it is never below 1.
+    """
+    other = np.arange(-(-percent * n // 100), 100 * n // percent + 1)
+    most = _apart_at_most(n + other, percent)
+    least = np.maximum(np.abs(other - hub_n), apart - most)
+    if linked:
+        least = np.maximum(least, _apart_at_most(other + hub_n, percent) + 2)
+    return max(1, int(np.min(-((most - apart - least) // 2))))
+
+
 def _residual(batches, percent: int):
-    """Pairs of a list's entries that lie in different components, with the number of differences to share as n.
+    """Pairs of a list's entries that lie in different components and do not both link with the hub.
 
-    If the removed shingles alone tell that a link must share added ones, only those count (odd keys).
+    rest counts the differences from the key on. If it is the first one that two sets share, they share no more than that.
     """
 
-    def pick(pairs, key, doc, n, comp, excess, apart):
-        added = bool(key[0] & 1)
+    def pick(pairs, key, doc, n, comp, linked, apart, rest):
         stop = np.searchsorted(n, 100 * n // percent, side="right")
         for i in range(len(doc) - 1):
-            at = np.flatnonzero(comp[i + 1 : stop[i]] != comp[i]) + i + 1
-            both = n[at] + n[i]
-            of_added = np.maximum(excess[at], excess[i]) + _least_common(both, percent)
-            of_all = (apart[at] + apart[i] - both + 2 * _least_common(both, percent) + 1) // 2
-            wanted = (of_added >= 1) if added else (of_added < 1)
-            if added:
-                wanted |= of_all >= 1
-            need = np.where(of_added >= 1, np.minimum(of_added, SHARED), of_all)
-            at, need = at[wanted], need[wanted]
-            if pairs.add(np.full(len(at), doc[i]), doc[at], need, np.full(len(at), key[0])):
+            at = np.flatnonzero((comp[i + 1 : stop[i]] != comp[i]) & (linked[i + 1 : stop[i]] + linked[i] < 2)) + i + 1
+            at = at[2 * np.minimum(rest[at], rest[i]) >= apart[at] + apart[i] - _apart_at_most(n[at] + n[i], percent)]
+            if pairs.add(np.full(len(at), doc[i]), doc[at], n[at], np.full(len(at), key[0])):
                 yield pairs.take()
 
-    return _by_list(batches, ("key", "doc", "n", "comp", "excess", "apart"), pick)
+    return _by_list(batches, ("key", "doc", "n", "comp", "linked", "apart", "rest"), pick)
 
 
 def _differences(hubs: DataFrame, rows: DataFrame, classes: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc, hub, n, excess, apart and keys of each row of hubs (doc, hub).
+    """doc, hub, n, linked (1 if it links with the hub), apart and keys of each row of hubs (doc, hub).
 
-    excess: how many shingles of the hub the set lacks, less the hub's size; apart: size of the symmetric difference.
-    The keys stand for a shingle and the hub: added ones (odd), as far as a link needs them, and removed ones
-    (even) where a link may do without added ones.
+    apart is the number of shingles that only one of the two sets has. They have one order for all sets of a hub: added
+    ones, then removed ones, each by rarity. The keys stand for the hub and the first of them: as many as hold one of
+    those that any set shares that this one could newly join.
     """
     ranks = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))).astype(np.int64)
     shipped = rows.sparkSession.sparkContext.broadcast(ranks)  # fixed size
@@ -349,20 +361,15 @@ def _differences(hubs: DataFrame, rows: DataFrame, classes: DataFrame, counts: n
                 for hub, x, y in zip(batch.column("hub").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     added, removed = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-                    excess, least = len(removed) - len(y), -(-percent * len(x) // 100)
-                    must = excess + _least_common(len(x) + least, percent)
-                    if must >= 1:
-                        part = added[np.lexsort((added, ranks[_class_of(added)]))][: max(0, len(added) - must + SHARED)]
-                        removed_too = removed[:0]
-                    else:
-                        part, removed_too = added, removed
+                    differ = np.concatenate([part[np.lexsort((part, ranks[_class_of(part)]))] for part in (added, removed)])
+                    linked = 100 * (len(x) - len(added)) >= percent * (len(x) + len(removed))
+                    indexed = len(differ) + 1 - _least_shared(len(x), len(differ), len(y), linked, percent)
                     salt = mix(np.array([hub], np.int64).view(np.uint64))
-                    keys = np.concatenate([mix(part + salt) | np.uint64(1), mix(removed_too + salt) & ~np.uint64(1)])
-                    out.append((len(x), excess, len(added) + len(removed), keys.tobytes()))
-                n, excess, apart, keys = zip(*out, strict=True) if out else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("hub"), *(pa.array(c, pa.int64()) for c in (n, excess, apart)), pa.array(keys, pa.binary())], names=["doc", "hub", "n", "excess", "apart", "keys"])
+                    out.append((len(x), int(linked), len(differ), mix(differ[: max(0, indexed)] + salt).view(np.int64)))
+                n, linked, apart, keys = zip(*out, strict=True) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("hub"), *(pa.array(c, pa.int64()) for c in (n, linked, apart)), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "hub", "n", "linked", "apart", "keys"])
 
-    return both.mapInArrow(run, schema("doc long, hub long, n long, excess long, apart long, keys binary"))
+    return both.mapInArrow(run, schema("doc long, hub long, n long, linked long, apart long, keys array<long>"))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -411,24 +418,29 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # the original of a group of edited copies shares the largest part of its keys and is likely to link with all of them
     starred = _listed(labelled(links), ["doc", "n", "comp", "live"], F.desc("live"), "doc").mapInArrow(lambda b: _stars(b, percent), schema(_COUNTED))
     packed = _summed(starred).withColumns({"far": F.col("n") % 2 == 1, "n": F.floor(F.col("n") / 2)})
-    stars = stored(packed.where(_enough(percent, 2)))
-    second = stored(stars.where("far").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    stars = stored(packed.where(_enough(percent, 8)))
+    second = stored(stars.where("far").where(_enough(percent, 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
     links = links.unionByName(verified(second))
     labels = stored(labelled(links))
 
-    # every pair of an entry with its hub is verified by now or lies in one component
+    # a set's differences from its hub tell whether it links with it, so any hub that comes before it is right
     single = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1").select("doc")
     plain = stars.join(single.withColumnRenamed("doc", "a"), "a", "left_semi").join(single.withColumnRenamed("doc", "b"), "b", "left_semi")
-    best = plain.groupBy("b").agg(F.max_by("a", F.struct(F.col("single") + F.col("paired"), -F.col("a"))).alias("hub")).select(F.col("b").alias("doc"), "hub")
+    best = stored(plain.groupBy("b").agg(F.max_by("a", F.struct(F.col("single") + F.col("paired"), -F.col("a"))).alias("hub")).select(F.col("b").alias("doc"), "hub"))
+    for _ in range(HUB_STEPS):
+        best = best.join(best.toDF("hub", "further"), "hub", "left").select("doc", F.coalesce("further", "hub").alias("hub"))
+    best = stored(best)
     chosen = best.select(F.col("hub").alias("doc")).distinct()
     hubs = best.join(chosen, "doc", "left_anti").unionByName(chosen.select("doc", F.col("doc").alias("hub")))
     split = hubs.join(labels.select("doc", "comp"), "doc").groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("hub")
     apart = stored(_differences(hubs.join(split, "hub"), rows, classes, counts, size, percent))
+    links = links.unionByName(apart.where("linked = 1 and doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
 
     places = labels.select("doc", "n", "comp", "keys").join(apart.select("doc", "hub"), "doc", "left").withColumn("hub", F.coalesce("hub", "doc"))
     spanning = _summed(_listed(places, ["doc", "n", "comp", "hub"], "n", "doc").mapInArrow(lambda b: _spanning(b, percent), schema(_COUNTED))).where(_enough(percent)).select("a", "b")
-    around = apart.join(labels.select("doc", "comp"), "doc")
-    residual = _summed(_listed(around, ["doc", "n", "comp", "excess", "apart"], "n", "doc").mapInArrow(lambda b: _residual(b, percent), schema(_COUNTED))).where(F.col("single") + F.col("paired") >= F.col("n")).select("a", "b")
+    numbered = apart.join(labels.select("doc", "comp"), "doc").select("doc", "n", "comp", "linked", "apart", F.posexplode("keys").alias("place", "key"))
+    around = numbered.select("key", "doc", "n", "comp", "linked", "apart", (F.col("apart") - F.col("place")).alias("rest"))
+    residual = around.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(lambda b: _residual(b, percent), schema(_COUNTED)).select("a", "b")
     more = verified(stored(spanning.unionByName(residual).distinct().join(first.unionByName(second), ["a", "b"], "left_anti")))
     same = members.where("n > 0").join(classes.select("h1", "h2", F.col("doc").alias("rep")), ["h1", "h2"])
     repeated = keyed.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc")
