@@ -32,8 +32,8 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates."""
-    groups = jaccard_join.join_documents(docs)
+    """The document with the smallest doc_id of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    groups = jaccard_join.join_documents(docs, size=5, percent=80)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(*COLUMNS)
 
