@@ -24,8 +24,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten documents or more have; a document that keeps no visible text goes."""
-    kept = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1))
+    """Of the lines that ten documents or more have, only the first stays, so that a text with many copies stays once; a document that keeps no visible text goes."""
+    kept = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs, min_docs=10, min_chars=1, mode="first"))
     changed = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
     out = kept.select("doc_id", changed.alias("text"), "lang", "source", F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"), "n_dropped")
     return out.where(~((F.col("n_dropped") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == ""))).select(*COLUMNS)

@@ -1,0 +1,19 @@
+"""Stages of the corpus pipeline in a row."""
+
+import pytest
+
+
+def test_one_of_many_copies_stays(spark):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    text = "\n".join(" ".join(f"w{n}x{k}" for k in range(12)) for n in range(4))
+    rows = [(i, text, "en", "x", len(text)) for i in range(5, 17)]
+    rows += [(i, f"only here {i}\nshared line", "en", "x", 20) for i in range(20, 32)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.without_common_lines(spark, docs, "").cache()
+    got = {r.doc_id: r.text for r in lines.collect()}
+    assert got[5] == text and not set(range(6, 17)) & set(got)
+    assert got[20] == "only here 20\nshared line" and got[21] == "only here 21"
+    kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.one_of_each_group(spark, lines, "").collect()}
+    assert kept[5] == (text, len(text))
