@@ -1,40 +1,44 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are lower-cased words and one end. The root of the tree predicts by add-one unigram
-probabilities (their sum over a text is the base score). A context is one word or more before a
-token; words with less than `symbol_share` of the training tokens appear in contexts as one symbol for all
-others, and texts begin after a start symbol. All training documents are counted, level by level. A context is a
-candidate if its share of the tokens is at least `context_share`, next symbols are told apart if theirs is at least
-`next_share` (the rest are one), and counts of a context with a next symbol are kept from `pair_share` on:
-these shares bound the tree, whatever the size of the corpus. A context stays if its next-symbol
-distribution diverges from that of its longest shorter suffix: share * KL divergence >= `least_gain`.
-Distributions are smoothed: kept counts are discounted, and the mass that this frees goes to all other symbols
-in proportion to the suffix's distribution. A token is predicted in the state of the longest suffix that the
-tree has; the score is the sum of the log10 probabilities.
+probabilities (their sum over a text is the base score). A context is one to three words before a
+token; texts begin after a start symbol. All training documents are counted, length by length: every context
+and every pair of a context with a next word that occurs `least_count` times is a candidate, at any size, so
+the tree grows with the corpus. A context stays if its next-word distribution diverges from that of its longest
+shorter suffix: count * KL divergence >= `least_gain` nats. Distributions are smoothed: kept counts are
+discounted, and the mass that this frees goes to all other words in proportion to the suffix's distribution.
+A token is predicted in the state of the longest suffix that the tree has; the score is the sum of the log10
+probabilities.
+
+The tree is a table, never gathered. A pair is the n-gram of its context and next word, and what one n-gram
+adds to the log probability of a text does not depend on the rest (see `_longer`), so a text's score is a sum over
+a join of its n-grams with the table. Two things of fixed size only save work, without any effect on the result: executors
+hold the values of the `cached` most frequent n-grams, and filters that tell most n-grams that are not in a table.
 
 Counts of words with at least `frequent_share` of all tokens (at most 1 / frequent_share of them) are
 sent to executors; all other words are joined with the full table of counts. Null and empty texts are
-one end. Repeated rows score alike; each row counts in training. Words are compared by 64-bit hashes.
+one end. Repeated rows score alike; each row counts in training. Words and n-grams are compared by 64-bit hashes.
 Without training rows, counts are 0 and every token has probability 1.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import as_bytes, schema, slices, stored
 
-DEPTH, SYMBOL_SHARE, CONTEXT_SHARE, NEXT_SHARE, PAIR_SHARE = 3, 1e-4, 2e-5, 2e-5, 1e-6
-LEAST_GAIN, DISCOUNT, FREQUENT_SHARE = 1e-7, 0.6, 1e-6
-#: Stands for the end in place of a word's hash.
-END_TOKEN = np.uint64(0x5EED0E4D)
-FLUSH = 1_000_000
+DEPTH, LEAST_COUNT, LEAST_GAIN, DISCOUNT = 3, 3, 2.0, 0.6
+FREQUENT_SHARE, CACHED = 1e-6, 1_000_000
+#: Stand for the end and the start in place of a word's hash.
+END_TOKEN, START_TOKEN = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
+FLUSH = 250_000
+#: Bits of a filter at most, and of the pieces that it is put together from, as powers of 2.
+FILTER_BITS, PIECE_BITS = 28, 16
 
 
 class Vocabulary(dict):
@@ -42,17 +46,17 @@ class Vocabulary(dict):
 
     LIMIT = 400_000
 
-    def __init__(self, tree: Tree | None = None) -> None:
+    def __init__(self, frequent: np.ndarray | None = None) -> None:
         super().__init__()
-        self.tree = tree
+        self.frequent = frequent
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self[b"\n"], self[b"\r"] = 0, 1  # no word is white space
-        self.new = [int(END_TOKEN), 0]
+        self.new = [int(END_TOKEN), int(START_TOKEN)]
         self.hashes = np.zeros(0, np.uint64)
-        self.place = self.symbol = self.following = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self)
@@ -75,11 +79,8 @@ class Vocabulary(dict):
             fresh = np.array(self.new, np.uint64)
             self.new = []
             self.hashes = np.concatenate([self.hashes, fresh])
-            if self.tree is not None:
-                at, symbol, following = self.tree.read(fresh)
-                if not len(self.place):
-                    at[1], symbol[1], following[1] = -1, 1, 0
-                self.place, self.symbol, self.following = (np.concatenate(x) for x in ((self.place, at), (self.symbol, symbol), (self.following, following)))
+            if self.frequent is not None:
+                self.place = np.concatenate([self.place, _find(self.frequent, fresh)])
         return np.concatenate(parts) if parts else np.zeros(0, np.int64), np.array(bounds)
 
 
@@ -109,7 +110,7 @@ class Lookup:
         return ((h >> np.uint64(24)).astype(np.int64) + (self.probes if probe is None else probe)) & self.mask
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """-1 where a key is not in the list; keys are not negative."""
+        """-1 where a key is not in the list; no key is -1."""
         slot = self._slot(keys, 0)
         at = self.keys[slot]
         out = np.where(at == keys, self.places[slot], -1).astype(np.int64)
@@ -126,34 +127,40 @@ class Lookup:
 
 
 class Counter:
-    """Sums of equal keys, bounded by giving up the sums when there are too many."""
+    """Sums of equal keys, bounded by giving up the sums when there are too many. Columns beside a key depend on it."""
 
     def __init__(self) -> None:
         self.held, self.size = [], 0
 
-    def add(self, keys: np.ndarray, n: np.ndarray | None = None):
-        self.held.append(np.unique(keys, return_counts=True) if n is None else (keys, n))
-        self.size += len(self.held[-1][0])
+    def add(self, keys: np.ndarray, n: np.ndarray | None, *beside: np.ndarray):
+        if n is None:
+            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+            beside = [x[at] for x in beside]
+        self.held.append((keys, n, *beside))
+        self.size += len(keys)
         if self.size > 3 * FLUSH:
-            k, n = self.sums()
-            self.held, self.size = [(k, n)], len(k)
+            full = self.sums()
+            self.held, self.size = [full], len(full[0])
             if self.size > FLUSH:
                 self.held, self.size = [], 0
-                return k, n
+                return full
         return None
 
     def sums(self):
-        k = np.concatenate([x for x, _ in self.held]) if self.held else np.zeros(0, np.int64)
-        n = np.concatenate([x for _, x in self.held]) if self.held else np.zeros(0, np.int64)
-        keys, back = np.unique(k, return_inverse=True)
-        return keys, np.bincount(back, n, len(keys)).astype(np.int64)
+        k, n, *beside = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        keys, at, back = np.unique(k, return_index=True, return_inverse=True)
+        return keys, np.bincount(back, n, len(keys)).astype(np.int64), *(x[at] for x in beside)
+
 
+def _counted(docs: DataFrame, make, names: list[str]) -> DataFrame:
+    """names and n over all that make()(texts) gives for the training rows of docs (text, train): keys, counts (or None, one by one), columns beside.
 
-def _counted(docs: DataFrame, make) -> DataFrame:
-    """key and n over all keys (with counts or one by one) that make()(texts) gives for the training rows of docs (text, train)."""
+    The last columns have the names; the key itself is not among them where there are columns beside it.
+    """
+    spec = schema(", ".join(f"{c} long" for c in [*names, "n"]))
 
-    def batch_of(keys, n):
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+    def batch_of(keys, n, *beside):
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in [*(beside or [keys]), n]], names=spec.names)
 
     def run(batches):
         keys_of, counter = make(), Counter()
@@ -165,7 +172,7 @@ def _counted(docs: DataFrame, make) -> DataFrame:
         if counter.held:
             yield batch_of(*counter.sums())
 
-    return docs.mapInArrow(run, schema("key long, n long")).groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, spec).groupBy(*names).agg(F.sum("n").alias("n"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -180,7 +187,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         return keys
 
-    return _counted(docs, make)
+    return _counted(docs, make, ["key"])
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -191,216 +198,207 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-@dataclass
-class Tree:
-    """contexts[d]: sorted codes of the retained contexts of d + 1 symbols, numbered on from those before."""
-
-    words: np.ndarray  # hashes of the words told apart, sorted
-    counts: np.ndarray
-    total: int
-    distinct: int
-    symbol_of: np.ndarray  # of each of words, in contexts; 0 is any other word, 1 the start
-    next_of: np.ndarray  # of each of words, as a next symbol; 0 is any other
-    contexts: list[np.ndarray] = field(default_factory=list)
-    parent: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    back_off: np.ndarray = field(default_factory=lambda: np.zeros(1))  # log10 of the factor for other symbols
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # node * width + next symbol, sorted
-    log_p: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    def __post_init__(self) -> None:
-        self.made: dict[str, tuple[np.ndarray, Lookup]] = {}
-        self.radix = int(self.symbol_of.max(initial=1)) + 1
-        self.width = int(self.next_of.max(initial=0)) + 1
-        base = np.log10((self.counts + 1) / self.divisor)
-        self.root = np.zeros(self.width)  # of each next symbol told apart
-        self.root[self.next_of[self.next_of > 0]] = base[self.next_of > 0]
-        self.base = base
-
-    @property
-    def divisor(self) -> float:
-        return float(self.total + self.distinct + 1)
-
-    def read(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place in words (-1: none), context symbol and next symbol of each token."""
-        at = _find(self.words, hashes)
-        none = at < 0
-        return at, np.where(none, 0, self.symbol_of[at]) if len(self.words) else np.zeros(len(at), np.int64), np.where(none, 0, self.next_of[at]) if len(self.words) else np.zeros(len(at), np.int64)
-
-    def before(self, symbols: np.ndarray, d: int) -> np.ndarray:
-        """Code of the d symbols before each place but the first DEPTH."""
-        out = np.zeros(len(symbols) - DEPTH, np.int64)
-        for k in range(d, 0, -1):
-            out = out * self.radix + symbols[DEPTH - k : len(symbols) - k]
-        return out
+def joined(prefix: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Key of the n-gram of a shorter one and a word after it; the key of a single word is its hash."""
+    h = prefix * np.uint64(0x9E3779B97F4A7C15) + last
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def grams(hashes: np.ndarray, starts: np.ndarray):
+    """For n from 1 to DEPTH + 1: keys of the n-grams that end at each token, and whether they lie in one text."""
+    keys, inside = hashes, np.ones(len(hashes), bool)
+    yield keys, inside
+    for _ in range(DEPTH):
+        keys = np.concatenate([keys[:1], joined(keys[:-1], hashes[1:])])
+        inside = np.concatenate([[False], inside[:-1]])[: len(hashes)] & ~starts
+        yield keys, inside
+
+
+class Filter:
+    """Tells most keys that are not in a table; never denies one that is."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        self.bits = bits = min(FILTER_BITS, max(PIECE_BITS, (16 * keys.count()).bit_length()))
+        size = 1 << PIECE_BITS
+
+        def run(batches):
+            pieces = {}
+            for batch in batches:
+                slot = np.asarray(batch.column("slot"))
+                order = np.argsort(slot)
+                slot = slot[order]
+                at, first = np.unique(slot // size, return_index=True)
+                for piece, part in zip(at.tolist(), np.split(slot % size, first[1:]), strict=True):
+                    pieces.setdefault(piece, np.zeros(size, bool))[part] = True
+            if pieces:
+                packed = [np.packbits(x, bitorder="little").tobytes() for x in pieces.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array(packed, pa.binary())], names=["piece", "bitmap"])
+
+        slots = keys.select(F.shiftrightunsigned("key", 64 - bits).alias("slot"))
+        dealt = slots.repartition(F.shiftrightunsigned("slot", PIECE_BITS))
+        self.bitmap = np.zeros(1 << (bits - 3), np.uint8)
+        for row in dealt.mapInArrow(run, schema("piece long, bitmap binary")).toArrow().to_batches():
+            for piece, bitmap in zip(row.column("piece").to_pylist(), row.column("bitmap"), strict=True):
+                self.bitmap[piece * size // 8 : (piece + 1) * size // 8] = np.frombuffer(bitmap.as_buffer(), np.uint8)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys >> np.uint64(64 - self.bits)
+        return (self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
 
-    def states(self, symbols: np.ndarray) -> np.ndarray:
-        """The longest suffix in the tree before each place but the first DEPTH."""
-        node, first = np.zeros(len(symbols) - DEPTH, np.int64), 1
-        for d, codes in enumerate(self.contexts):
-            at = self.lookup(f"level {d}", codes)(self.before(symbols, d + 1))
-            node = np.where(at >= 0, first + at, node)
-            first += len(codes)
-        return node
-
-    def lookup(self, name: str, keys: np.ndarray) -> Lookup:
-        found = self.made.get(name)
-        if found is None or found[0] is not keys:
-            found = self.made[name] = (keys, Lookup(keys))
-        return found[1]
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"made": {}}
-
-    def log_next(self, node: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 factor of each next symbol in a node; where it ends in the root, the factor to multiply the root's with, and True."""
-        out, rooted = np.zeros(len(node)), np.zeros(len(node), bool)
-        at, node = np.arange(len(node)), node.copy()
-        while len(at):
-            k = self.lookup("pairs", self.pairs)(node * self.width + symbol[at])
-            k[node == 0] = -1
-            hit = k >= 0
-            out[at[hit]] += self.log_p[k[hit]]
-            done = ~hit & (node == 0)
-            rooted[at[done]] = True
-            on = ~hit & (node > 0)
-            out[at[on]] += self.back_off[node[on]]
-            at, node = at[on], self.parent[node[on]]
-        return out, rooted
-
-    def gains(self, symbols: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """By how much each token's log10 probability exceeds its base, but for the first DEPTH."""
-        following = following[DEPTH:]
-        log, rooted = self.log_next(self.states(symbols), following)
-        return log - np.where(rooted, 0.0, self.root[following])
-
-    def grow(self, codes: np.ndarray, keys: np.ndarray, n: np.ndarray, context_total: np.ndarray, least_gain: float) -> None:
-        """Add a level: candidate contexts (sorted codes, with their totals) and counts by context place * width + next symbol."""
-        parent = np.zeros(len(codes), np.int64)
-        first = 1
-        for d, known in enumerate(self.contexts):
-            at = _find(known, codes % self.radix ** (d + 1))
-            parent = np.where(at >= 0, first + at, parent)
-            first += len(known)
-        ctx, symbol = keys // self.width, keys % self.width
-        seen = symbol > 0
-        ctx, symbol, n = ctx[seen], symbol[seen], n[seen]
-        p = (n - DISCOUNT) / context_total[ctx]
-        log, rooted = self.log_next(parent[ctx], symbol)
-        q = 10.0 ** (log + np.where(rooted, self.root[symbol], 0.0))
-        mass, above = (np.minimum(np.bincount(ctx, x, len(codes)), 1 - 1e-6) for x in (p, q))
-        rest, rest_above = 1 - mass, 1 - above
-        kl = np.bincount(ctx, p * np.log(p / q), len(codes)) + rest * np.log(rest / rest_above)
-        stay = context_total / max(self.total, 1) * kl >= least_gain
-        number = np.cumsum(stay) - 1 + first
-        self.contexts.append(codes[stay])
-        self.parent = np.concatenate([self.parent, parent[stay]])
-        self.back_off = np.concatenate([self.back_off, np.log10(rest / rest_above)[stay]])
-        kept = stay[ctx]
-        pairs = np.concatenate([self.pairs, number[ctx[kept]] * self.width + symbol[kept]])
-        log_p = np.concatenate([self.log_p, np.log10(p[kept])])
-        order = np.argsort(pairs)
-        self.pairs, self.log_p = pairs[order], log_p[order]
-
-
-def _level(docs: DataFrame, tree: Tree, d: int, codes: np.ndarray) -> DataFrame:
-    """Counts by context place * (width + radix) + next symbol, or + width + context symbol for next symbols not told apart."""
-    shipped = docs.sparkSession.sparkContext.broadcast((tree, codes))
+def _gram_counts(docs: DataFrame, shorter: Filter, size: int) -> DataFrame:
+    """prefix, last (a word's hash) and n of the n-grams of this size of which both shorter parts may be in the table."""
+    shipped = docs.sparkSession.sparkContext.broadcast(shorter)
 
     def make():
-        tree, codes = shipped.value
-        known, contexts = Vocabulary(tree), Lookup(codes)
+        known, may = Vocabulary(), shipped.value
 
         def keys(texts):
-            ids, _ = known.read(texts, DEPTH)
-            symbols, following = known.symbol[ids], known.following[ids]
-            at = contexts(tree.before(symbols, d))
-            symbols, following = symbols[DEPTH:], following[DEPTH:]
-            key = at * (tree.width + tree.radix) + np.where(following > 0, following, tree.width + symbols)
-            return (key[(at >= 0) & (ids[DEPTH:] != 1)],)
+            ids, _ = known.read(texts, 1)
+            hashes, before = known.hashes[ids], None
+            for n, (key, inside) in enumerate(grams(hashes, ids == 1), 1):
+                if n == size:
+                    break
+                before = key
+            passed = may(before)
+            at = np.flatnonzero(inside[1:] & passed[1:] & passed[:-1]) + 1
+            return key[at], None, before[at - 1], hashes[at]
 
         return keys
 
-    return _counted(docs, make)
+    return _counted(docs, make, ["prefix", "last"])
 
 
-def fit_tree(docs: DataFrame, words: DataFrame, depth: int = DEPTH, symbol_share: float = SYMBOL_SHARE, context_share: float = CONTEXT_SHARE, next_share: float = NEXT_SHARE, pair_share: float = PAIR_SHARE, least_gain: float = LEAST_GAIN, frequent_share: float = FREQUENT_SHARE) -> Tree:
-    """docs: text and train; words: key and n of all training tokens."""
-    total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
-    total = total or 0
-    often = words.where((F.col("n") >= max(1, frequent_share * total))).toArrow()
-    keys, n = often["key"].to_numpy().view(np.uint64), often["n"].to_numpy()
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    symbol_of, next_of = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-    common = np.flatnonzero(n >= max(2, symbol_share * total))
-    symbol_of[common] = np.arange(len(common)) + 2
-    told = np.flatnonzero(n >= max(2, next_share * total))
-    next_of[told] = np.arange(len(told)) + 1
-    tree = Tree(keys, n, total, distinct, symbol_of, next_of)
-    enough = max(3, context_share * total)
-    codes = np.arange(tree.radix)
-    for d in range(1, depth + 1):
-        if not total or not len(codes):
+def _keys(df: DataFrame, size: int) -> DataFrame:
+    """df with key and suffix of n-grams of this size, from prefix, last and the suffix of the prefix."""
+    kept = df.columns
+
+    def run(batches):
+        for batch in batches:
+            prefix, last, above = (np.asarray(batch.column(c)).view(np.uint64) for c in ("prefix", "last", "prefix_suffix"))
+            suffix = last if size == 2 else joined(above, last)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(x.view(np.int64)) for x in (joined(prefix, last), suffix)], names=[*kept, "key", "suffix"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema, *schema("key long, suffix long")]))
+
+
+def _longer(docs: DataFrame, shorter: DataFrame, size: int, least_count: int, least_gain: float) -> tuple[DataFrame, DataFrame]:
+    """The n-grams of one size more than shorter's, and key, value and n of their contexts that stay.
+
+    Rows have key, n, suffix, log_p (log10 probability of the last word in the state of the words before, if
+    the longest context is theirs) and value. An n-gram's value is log_p less that of its suffix and
+    less the back-off factor of its context; a context's is its back-off factor. Then the values of all n-grams that
+    end in a token and of all contexts before it add up to its log10 probability less that of the root: those of
+    shorter n-grams cancel out, and the factors stay of contexts too long for the token. (An n-gram's suffix
+    has its count at least, so it is in the table too.)
+    """
+    counts = _gram_counts(docs, Filter(shorter), size).where(F.col("n") >= least_count)
+    prefixes = shorter.select(F.col("key").alias("prefix"), F.col("n").alias("context_n"), F.col("suffix").alias("prefix_suffix"))
+    suffixes = shorter.select(F.col("key").alias("suffix"), F.col("log_p").alias("log_q"))
+    found = stored(_keys(stored(counts).join(prefixes, "prefix"), size).join(suffixes, "suffix"))
+    p, q = (F.col("n") - DISCOUNT) / F.col("context_n"), F.pow(F.lit(10.0), "log_q")
+    by_context = found.groupBy("prefix").agg(F.max("context_n").alias("n"), F.sum(p).alias("mass"), F.sum(q).alias("above"), F.sum(p * F.log(p / q)).alias("kl"))
+    rest, rest_above = (1 - F.least(F.col(c), F.lit(1 - 1e-6)) for c in ("mass", "above"))
+    gain = F.col("n") * (F.col("kl") + rest * F.log(rest / rest_above))
+    stay = stored(by_context.where(gain >= least_gain).select(F.col("prefix").alias("key"), F.log10(rest / rest_above).alias("value"), "n"))
+    with_context = found.join(stay.select(F.col("key").alias("prefix"), F.col("value").alias("back_off")), "prefix", "left")
+    log_p = F.when(F.col("back_off").isNull(), F.col("log_q")).otherwise(F.log10(p))
+    value = F.when(F.col("back_off").isNull(), F.lit(0.0)).otherwise(F.log10(p) - F.col("log_q") - F.col("back_off"))
+    return stored(with_context.select("key", "n", "suffix", log_p.alias("log_p"), value.alias("value"))), stay
+
+
+def fit_tree(docs: DataFrame, words: DataFrame, divisor: float, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """key, value and n of all n-grams of the tree. docs: text and train; words: key and n of all training tokens."""
+    start = words.where(F.col("key") == int(END_TOKEN)).select(F.lit(int(START_TOKEN)).alias("key"), "n")
+    log_p = F.log10((F.col("n") + 1) / divisor)
+    grown = stored(words.unionByName(start).where(F.col("n") >= least_count).select("key", "n", F.lit(0).cast("long").alias("suffix"), log_p.alias("log_p")))
+    parts = []
+    for size in range(2, DEPTH + 2):
+        grown, stay = _longer(docs, grown, size, least_count, least_gain)
+        parts += [stay, grown.where("value != 0").select("key", "value", "n")]
+        docs.sparkSession.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of this size
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return stored(out.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")))
+
+
+def _bucket(n: str) -> Column:
+    return F.floor(4 * F.log2(n))
+
+
+def _most_frequent(tree: DataFrame, cached: int) -> int:
+    """The least bucket of counts so that those from it on have at most so many n-grams."""
+    sizes = dict(tree.groupBy(_bucket("n").alias("b")).count().collect())
+    least = max(sizes, default=0) + 1
+    for b in sorted(sizes, reverse=True):
+        cached -= sizes[b]
+        if cached < 0:
             break
-        counts = stored(_level(docs, tree, d, codes))
-        wide = tree.width + tree.radix
-        by_context = counts.groupBy(F.floor(F.col("key") / wide).alias("c")).agg(F.sum("n").alias("n")).toArrow()
-        kept = counts.where((F.col("n") >= max(2, pair_share * total)) | (F.col("key") % wide >= tree.width)).toArrow()
-        key, m = kept["key"].to_numpy(), kept["n"].to_numpy()
-        totals = np.zeros(len(codes), np.int64)
-        totals[by_context["c"].to_numpy()] = by_context["n"].to_numpy()
-        candidate = totals >= enough
-        place = np.cumsum(candidate) - 1
-        ctx, symbol = key // wide, key % wide
-        mine = candidate[ctx] & (symbol < tree.width)
-        # next symbols as context symbols, for the contexts of the next level
-        as_symbol = np.zeros(tree.width, np.int64)
-        as_symbol[next_of[told]] = symbol_of[told]
-        longer = codes[ctx] * tree.radix + np.where(symbol < tree.width, as_symbol[np.minimum(symbol, tree.width - 1)], symbol - tree.width)
-        tree.grow(codes[candidate], place[ctx[mine]] * tree.width + symbol[mine], m[mine], totals[candidate], least_gain)
-        found, back = np.unique(longer, return_inverse=True)
-        codes = found[np.bincount(back, m, len(found)) >= enough]
-    return tree
-
-
-def score(docs: DataFrame, train: Column, text: str = "text", **options) -> DataFrame:
+        least = b
+    return least
+
+
+def score(docs: DataFrame, train: Column, text: str = "text", frequent_share: float = FREQUENT_SHARE, cached: int = CACHED, **options) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score; rows with train are learnt from."""
     learnt = docs.select(F.col(text).alias("text"), train.alias("train"))
     words = stored(word_counts(learnt))
-    tree = fit_tree(learnt, words, **options)
-    shipped = docs.sparkSession.sparkContext.broadcast(tree)
+    total, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
+    total = total or 0
+    divisor = float(total + distinct + 1)
+    tree = fit_tree(learnt, words, divisor, **options)
+    often = words.where(F.col("n") >= max(1, frequent_share * total)).toArrow()
+    frequent, times = often["key"].to_numpy().view(np.uint64), often["n"].to_numpy()
+    order = np.argsort(frequent)
+    least = _most_frequent(tree, cached)
+    held = tree.where(_bucket("n") >= least).select("key", "value").toArrow()
+    joins = tree.where(_bucket("n") < least).select("key", "value")
+    shipped = docs.sparkSession.sparkContext.broadcast((frequent[order], np.log10((times[order] + 1) / divisor), held["key"].to_numpy(), held["value"].to_numpy(), Filter(joins)))
     kept = [c for c in docs.columns if c not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
     source = docs.select(*kept, F.col(text).alias("__text"))
     out = source.drop("__text").schema
-    for part in schema("__n_tokens long, __known long, __base double, __gain double, __rare array<long>, __times array<long>"):
+    for part in schema("__n_tokens long, __known long, __base double, __gain double, __rare array<long>, __times array<long>, __grams array<long>"):
         out.add(part)
 
+    def lists(keys, doc, texts):
+        edges = np.searchsorted(doc, np.arange(texts + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(edges), pa.array(keys))
+
     def run(batches):
-        tree = shipped.value
-        known = Vocabulary(tree)
+        frequent, log_base, keys, values, may = shipped.value
+        known, lookup = Vocabulary(frequent), Lookup(keys)
         for batch in batches:
             for piece in slices(batch, "__text"):
-                ids, bounds = known.read(as_bytes(piece.column("__text")), DEPTH)
-                place, real = known.place[ids], ids != 1
-                hit = place >= 0
-                base, gain = np.where(hit, tree.base[place] if len(tree.base) else 0.0, 0.0), np.zeros(len(ids))
-                if len(ids) > DEPTH:
-                    gain[DEPTH:] = tree.gains(known.symbol[ids], known.following[ids])
-                gain[~real] = 0
-                first = bounds[:-1]
-                sums = [np.add.reduceat(x, first) for x in (real.astype(np.int64), (hit & real).astype(np.int64), base, gain)]
+                ids, bounds = known.read(as_bytes(piece.column("__text")), 1)
+                place, real, hashes = known.place[ids], ids != 1, known.hashes[ids]
+                hit = (place >= 0) & real
+                base, gain = np.where(hit, log_base[place] if len(log_base) else 0.0, 0.0), np.zeros(len(ids))
+                first, texts = bounds[:-1], len(bounds) - 1
+                doc = np.repeat(np.arange(texts), np.diff(bounds))
+                others, docs_of = [], []
+                for key, inside in grams(hashes, ~real):
+                    at = lookup(key.view(np.int64))
+                    in_cache = inside & (at >= 0)
+                    gain[in_cache] += values[at[in_cache]]
+                    left = np.flatnonzero(inside & (at < 0) & may(key))
+                    others.append(key[left].view(np.int64))
+                    docs_of.append(doc[left])
+                others, docs_of = np.concatenate(others), np.concatenate(docs_of)
+                order = np.argsort(docs_of, kind="stable")
+                sums = [np.add.reduceat(x, first) for x in (real.astype(np.int64), hit.astype(np.int64), base, gain)]
                 rare = real & ~hit
-                doc = np.repeat(np.arange(len(first)), np.diff(bounds))[rare]
-                pairs, times = np.unique(doc * len(known) + ids[rare], return_counts=True)
-                edges = np.searchsorted(pairs // len(known), np.arange(len(first) + 1)).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(edges), pa.array(v)) for v in (known.hashes[pairs % len(known)].view(np.int64), times)]
-                yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(len(kept))] + [pa.array(x) for x in sums] + lists, names=out.names)
+                pairs, times = np.unique(doc[rare] * len(known) + ids[rare], return_counts=True)
+                of = pairs // len(known)
+                arrays = [lists(known.hashes[pairs % len(known)].view(np.int64), of, texts), lists(times, of, texts), lists(others[order], docs_of[order], texts)]
+                yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(len(kept))] + [pa.array(x) for x in sums] + arrays, names=out.names)
 
-    divisor = F.lit(tree.divisor)
     scored = stored(source.mapInArrow(run, out).withColumn("__row", F.monotonically_increasing_id()))
     rare = scored.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("x")).select("__row", F.col("x.__rare").alias("key"), F.col("x.__times").alias("t"))
     counted = rare.join(words, "key", "left").select("__row", "t", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = counted.groupBy("__row").agg(F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("__more"), F.sum(F.col("t") * F.log10((F.col("n") + 1) / divisor)).alias("__rest"))
-    joined = scored.drop("__rare", "__times").join(sums, "__row", "left")
+    sums = counted.groupBy("__row").agg(F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("__more"), F.sum(F.col("t") * F.log10((F.col("n") + 1) / F.lit(divisor))).alias("__rest"))
+    gains = scored.select("__row", F.explode("__grams").alias("key")).join(joins, "key").groupBy("__row").agg(F.sum("value").alias("__other"))
+    joined_all = scored.drop("__rare", "__times", "__grams").join(sums, "__row", "left").join(gains, "__row", "left")
     base = F.col("__base") + F.coalesce("__rest", F.lit(0.0))
-    return joined.select(*kept, F.col("__n_tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("__gain")).alias("score"))
+    return joined_all.select(*kept, F.col("__n_tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("__gain") + F.coalesce("__other", F.lit(0.0))).alias("score"))
