@@ -1,26 +1,29 @@
 """N-gram Jaccard self-join by token-combination prefixes, and the components of its links.
 
-A document is the set of its distinct shingles (hashed to 64 bits). All shingles have one order: rare
-classes first, by a fixed-size table of counts over all documents, then by hash. Equal sets become
-one class at once. If two different sets reach the threshold, their prefixes, each SHARED - 1 longer
-than the usual ones, share at least SHARED shingles (or all that the threshold asks for, if fewer).
-Each class indexes the rare shingles of its extended prefix alone and, of the frequent ones, all
-pairs: f shared frequent shingles show as f (f - 1) / 2 shared pairs, and none as one at most. So the
-keys that two classes have in common tell whether they can share enough.
+A document is the set of its distinct shingles (hashed to 64 bits). All shingles have one order: rare ones first, by
+counts over all documents in a table of fixed size, then by hash. Equal sets become one class at once. If two different
+sets reach the threshold, their prefixes, extended by k - 1, share at least k shingles (or all that the
+threshold asks for, if fewer). A class indexes the rare shingles of its extended prefix alone and, of the frequent ones,
+pairs: not all of them, but those within one of g(n) groups by hash, so that a set of n shingles has a number of
+pairs in proportion to n. f shared frequent shingles show as f - g shared pairs at least, and k exceeds g by SHARED, so
+two sets that link have SHARED keys in common (or all but one that the threshold asks for, if fewer).
 
 Classes that share index keys are candidates, after a bound on their sizes. They are verified on
-their whole sets in three rounds: neighbours in each key's list; every entry of a list with the one that shares
-the largest part of its keys, its hub; then, against the components so far, every pair that still spans two of them
-and has enough keys in common, counted over all lists. Pairs within one component could not change it; no other pair is left out.
+their whole sets in two rounds: neighbours in each key's list, and every entry of a list with the one that shares
+the largest part of its keys; then, against the components so far, every pair that still spans two of them.
+Pairs within one component could not change it; no other pair is left out.
 
-Edited copies of one text share most of their keys whether they link or not. So a pair with the same hub is not
+Edited copies of one text share most of their keys whether they link or not. So classes that share many keys with the same
+entries are one family, and the entry that most of them share keys with is its hub. A pair of one family is not
 looked up by its keys but by its differences from the hub: the shingles that only one of the two sets has. If two sets
 link and do not both link with the hub, they must share several of these. So a prefix of them, rare ones
-first, is enough, and a key counts only where enough differences follow it. Any set may be a hub, so the hub of a hub replaces it.
+first, is enough, and a key counts only where enough differences follow it. This holds for any hub. Pairs of two families are
+looked up by their keys. The sets of the classes that have candidates are written once, for all rounds.
 
 Documents with fewer words than a shingle have their whole sequence as the only one; without words
 (null, empty) they have no set and link with nothing. Rows with the same doc_id are one document
-that has the links of all of them; a null doc_id counts as the smallest id.
+that has the links of all of them; a null doc_id counts as the smallest id. Very long texts have as many keys as others in
+proportion to their length. An empty table gives no rows. Other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,78 +31,100 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import as_bytes, explode, schema, stored
+from corvane.llm.common import Filter, Words, as_bytes, explode, mix, quoted, schema, slices, stored
 from corvane.llm.components import connected_components
 
 SHINGLE, PERCENT = 4, 85
-CLASS_BITS = 16
-#: Shingles that extended prefixes of a link share at least.
-SHARED = 16
-#: A class is frequent if it has this many times the mean of all.
-FREQUENT = 2
-#: How often the hub of a set is replaced by the hub's own hub.
-HUB_STEPS = 2
+#: Counters of shingles, as a power of 2, and how many of them travel together.
+COUNTER_BITS, BLOCK = 22, 4_096
+#: Index keys that two linked sets have in common at least.
+SHARED = 12
+#: A shingle is frequent if its counter has more than this, and more than twice the mean.
+FREQUENT = 3_000
 NULL_ID = -(2**63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a limit."""
+def shingles(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all texts in a row, repeats included, ASCII letters lower-cased, and the bounds of each text's."""
+    words = Words(texts)
+    w, counts = words.hashes, np.diff(words.bounds)
+    times = np.where(counts, np.maximum(counts - size + 1, 1), 0)
+    bounds = np.concatenate([[0], np.cumsum(times)])
+    at = np.arange(bounds[-1]) + np.repeat(words.bounds[:-1] - bounds[:-1], times)
+    length = np.repeat(np.minimum(counts, size), times)
+    h = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        if len(inside := np.flatnonzero(length > j)) == len(at):
+            h = mix(h + w[at + j] + np.uint64(j + 1))
+        else:
+            h[inside] = mix(h[inside] + w[at[inside] + j] + np.uint64(j + 1))
+    return h + length.astype(np.uint64), bounds
 
-    LIMIT = 300_000
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h
-        return h
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted, once each."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _ODD
-    return h ^ (h >> np.uint64(29))
+def _counter_of(h: np.ndarray) -> np.ndarray:
+    return ((h * _ODD) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
-def shingles(text: bytes | None, hashes: WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, ASCII letters lower-cased."""
-    words = text.lower().split() if text else []
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if not len(w):
-        return w
-    n = min(size, len(w))
-    h = np.zeros(len(w) - n + 1, np.uint64)
-    for j in range(n):
-        h = mix(h + w[j : len(w) - n + 1 + j] + np.uint64(j + 1))
-    return np.unique(h + np.uint64(n))
+class Ranks:
+    """How common shingles are: a step of a logarithmic scale for each counter."""
 
+    STEPS = 4
 
-def _class_of(h: np.ndarray) -> np.ndarray:
-    return ((h * _ODD) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
+    def __init__(self, table: np.ndarray, mean: float) -> None:
+        self.table = table
+        self.often = int(self.step(max(FREQUENT, 2 * mean)))
 
+    @classmethod
+    def step(cls, counts):
+        return np.ceil(cls.STEPS * np.log2(counts + 1.0)).astype(np.uint8)
 
-def class_counts(docs: DataFrame, size: int) -> np.ndarray:
-    """How many shingles of all documents fall in each class; the table's size is fixed."""
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        return self.table[_counter_of(h)]
 
-    def make():
-        hashes = WordHashes()
+    def sorted(self, h: np.ndarray) -> np.ndarray:
+        """Rare ones first."""
+        return h[np.lexsort((h, self(h)))]
 
-        def step(piece):
-            total = np.zeros(1 << CLASS_BITS, np.int64)
-            for t in as_bytes(piece.column("text")):
-                total += np.bincount(_class_of(shingles(t, hashes, size)), minlength=1 << CLASS_BITS)
-            seen = np.flatnonzero(total)
-            return [pa.array(seen), pa.array(total[seen])] if len(seen) else None
 
-        return step
+def shingle_ranks(docs: DataFrame, size: int) -> Ranks:
+    """Counts of the shingles of all documents (doc, text), in a table of fixed size."""
+    width = np.uint16(BLOCK)
 
-    counts = np.zeros(1 << CLASS_BITS, np.int64)
-    for c, n in explode(docs.select("text"), "text", make, schema("c long, n long")).groupBy("c").agg(F.sum("n")).collect():
-        counts[c] = n
-    return counts
+    def count(batches):
+        total = np.zeros(1 << COUNTER_BITS, np.uint32)
+        for batch in batches:
+            for piece in slices(batch, "text", 1 << 20):
+                np.add.at(total, _counter_of(shingles(as_bytes(piece.column("text")), size)[0]), np.uint32(1))
+        blocks = total.reshape(-1, width)
+        seen = np.flatnonzero(blocks.any(axis=1))
+        small = blocks.max(axis=1) < 256
+        raw = [(blocks[k].astype(np.uint8) if small[k] else blocks[k]).tobytes() for k in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(raw, pa.binary())], names=["block", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums.setdefault(block, np.zeros(BLOCK, np.int64))
+                sums[block] += np.frombuffer(raw, np.uint8 if len(raw) == BLOCK else np.uint32)
+        columns = [pa.array(list(sums), pa.int32()), pa.array([Ranks.step(x).tobytes() for x in sums.values()], pa.binary()), pa.array([int(x.sum()) for x in sums.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "steps", "total"])
+
+    table, total = np.zeros((1 << COUNTER_BITS) // BLOCK * BLOCK, np.uint8).reshape(-1, BLOCK), 0
+    for r in docs.select("text").mapInArrow(count, schema("block int, counts binary")).repartition("block").mapInArrow(add, schema("block int, steps binary, total long")).collect():  # fixed size
+        table[r.block] = np.frombuffer(r.steps, np.uint8)
+        total += r.total
+    return Ranks(table.ravel(), total / table.size)
 
 
 def needed(n, percent: int):
@@ -107,39 +132,88 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def index_keys(s: np.ndarray, ranks: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set: its rare shingles within the extended prefix, and the pairs of frequent ones there."""
-    if len(s) < 2:
-        return s[:0]
-    classes = _class_of(s)
-    order = np.lexsort((s, ranks[classes]))[: len(s) - needed(len(s), percent) + SHARED]
-    s, often = s[order], frequent[classes[order]]
-    f, one = s[often], np.uint64(1)
-    i, j = np.triu_indices(len(f), 1)
-    return np.concatenate([s[~often] & ~one, mix(mix(f[i]) + f[j] * np.uint64(3)) | one])  # the last bit tells pairs
+def groups(n: int) -> int:
+    """How many groups the frequent shingles of a set of n are dealt to; a power of 2."""
+    return 1 << max(0, (n // 32).bit_length() - 1)
 
 
-def keyed_sets(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+def index_keys(s: np.ndarray, ranks: Ranks, percent: int) -> np.ndarray:
+    """Keys of a set: its rare shingles within the extended prefix, and pairs of frequent ones there. The last bit tells pairs."""
+    n, one = len(s), np.uint64(1)
+    if n < 2:
+        return s[:0]
+    spread = 1 << int(np.ceil(np.log2(100 / percent)))  # a linked set has at most so many times the groups
+    r = ranks(s)
+    prefix = n - needed(n, percent) + SHARED + spread * groups(n)
+    if prefix < n:
+        at = np.argpartition((r.astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)), prefix - 1)[:prefix]
+        s, r = s[at], r[at]
+    often = r >= ranks.often
+    f = np.sort(s[often])
+    group = mix(f) & np.uint64(groups(n) - 1)
+    order = np.argsort(group, kind="stable")
+    f, group = f[order], group[order]
+    begin = np.searchsorted(group, group, side="left")
+    times = np.arange(len(f)) - begin
+    j = np.repeat(np.arange(len(f)), times)
+    i = np.arange(len(j)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
+    return np.concatenate([s[~often] & ~one, mix(mix(f[i]) + f[j] * np.uint64(3)) | one])
+
+
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
+
+
+def keyed_sets(docs: DataFrame, ranks: Ranks, size: int, percent: int) -> DataFrame:
     """doc, n, h1, h2 (hash of the set) and keys of every document of docs (doc, text)."""
-    ranks = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))).astype(np.int64)
-    shipped = docs.sparkSession.sparkContext.broadcast((ranks, counts > FREQUENT * counts.mean()))  # fixed size
+    shipped = docs.sparkSession.sparkContext.broadcast(ranks)  # fixed size
 
     def make():
-        hashes, (ranks, frequent) = WordHashes(), shipped.value
+        ranks = shipped.value
 
         def step(piece):
-            sizes, digests, keys = [], [], []
-            for t in as_bytes(piece.column("text")):
-                s = shingles(t, hashes, size)
-                sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(index_keys(s, ranks, frequent, percent).tobytes())
-            h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
-            return [piece.column("doc"), pa.array(sizes, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(keys, pa.binary())]
+            h, bounds = shingles(as_bytes(piece.column("text")), size)
+            sets = [distinct(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            found = _digests(sets)
+            keys = [index_keys(s, ranks, percent).tobytes() for s in sets]
+            return [piece.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(keys, pa.binary())]
 
         return step
 
-    return explode(docs, "text", make, schema("doc long, n long, h1 long, h2 long, keys binary"))
+    return explode(docs, "text", make, schema("doc long, n long, h1 long, h2 long, keys binary"), 1 << 20)
+
+
+def _mixed(doc: np.ndarray) -> np.ndarray:
+    return mix(mix(doc.view(np.uint64)))
+
+
+def live_sets(docs: DataFrame, live: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """doc and the whole set (items) of the classes whose doc is in live; texts are not shuffled."""
+
+    def keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_mixed(np.asarray(batch.column("doc"))).view(np.int64))], names=["key"])
+
+    shipped = docs.sparkSession.sparkContext.broadcast(Filter(live.select("doc").mapInArrow(keys, schema("key long"))))  # bounded
+
+    def make():
+        may = shipped.value
+
+        def step(piece):
+            wanted = pa.array(may(_mixed(np.asarray(piece.column("doc")))))
+            some = piece.filter(wanted)
+            if not some.num_rows:
+                return None
+            h, bounds = shingles(as_bytes(some.column("text")), size)
+            sets = [distinct(h[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            found = _digests(sets)
+            return [some.column("doc"), pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())]
+
+        return step
+
+    found = explode(docs, "text", make, schema("doc long, h1 long, h2 long, items binary"), 1 << 20)
+    wanted = classes.join(live.select("doc"), "doc", "left_semi").select("doc", "h1", "h2")
+    return found.join(wanted, ["doc", "h1", "h2"], "left_semi").dropDuplicates(["doc", "h1", "h2"])
 
 
 def _listed(classes: DataFrame, carried: list[str], *order) -> DataFrame:
@@ -163,44 +237,46 @@ class _Pairs:
     def __init__(self, directed: bool = False) -> None:
         self.parts, self.size, self.directed = [], 0, directed
 
-    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, key: np.ndarray) -> bool:
+    def add(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, key: np.ndarray, alone: np.ndarray | None = None) -> bool:
         """n: size of the larger set. Whether it is time to take the pairs."""
         if len(a):
-            self.parts.append((a if self.directed else np.minimum(a, b), b if self.directed else np.maximum(a, b), n, key & 1))
+            alone = np.zeros(len(a), bool) if alone is None else alone
+            self.parts.append((a if self.directed else np.minimum(a, b), b if self.directed else np.maximum(a, b), n, key & 1, alone))
             self.size += len(a)
         return self.size > 1_000_000
 
     def take(self) -> pa.RecordBatch:
-        a, b, n, combined = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        a, b, n, combined, alone = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
         order = np.lexsort((b, a))
-        a, b, n, combined = a[order], b[order], n[order], combined[order]
+        a, b, n, combined, alone = a[order], b[order], n[order], combined[order], alone[order]
         begin = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         times, pairs = np.diff(np.append(begin, len(a))), np.add.reduceat(combined, begin)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[begin], b[begin], n[begin], times - pairs, pairs)], names=["a", "b", "n", "single", "paired"])
+        columns = (a[begin], b[begin], n[begin], times - pairs, pairs, np.add.reduceat(alone.astype(np.int64), begin))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["a", "b", "n", "single", "paired", "alone"])
 
 
-_COUNTED = "a long, b long, n long, single long, paired long"
+_COUNTED = "a long, b long, n long, single long, paired long, alone long"
 
 
 def _summed(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.max("n").alias("n"), F.sum("single").alias("single"), F.sum("paired").alias("paired"))
+    return pairs.groupBy("a", "b").agg(F.max("n").alias("n"), *(F.sum(c).alias(c) for c in ("single", "paired", "alone")))
 
 
-def _enough(percent: int, part: int = 1):
-    """Whether the keys in common allow for as many shared shingles as a link has in its extended prefixes."""
-    often = F.when(F.col("paired") > 0, F.floor((1 + F.sqrt(1 + 8 * F.col("paired"))) / 2 + 1e-9)).otherwise(1)
-    return F.col("single") + often >= F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)) / part
+def _enough(percent: int, part: int = 1) -> Column:
+    """Whether the keys in common allow for a link, or are that many parts of it."""
+    least = F.greatest(F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100) - 1), F.lit(1))
+    return F.col("single") + F.col("paired") >= least / part
 
 
 def _neighbours(batches, percent: int):
-    """Pairs of each list's neighbours, and of each entry with the first of its list if that is large enough.
+    """Pairs of each list's neighbours that fit in size, the smaller first.
 
-    A pair of an entry with itself counts its keys in lists where it has such a neighbour.
+    alone counts the keys in whose lists the first of a pair has no such neighbour before it. So an entry's keys with a
+    neighbour are those of its pairs as the second, and alone of its pairs as the first.
     """
-    pairs = _Pairs()
-    last = hub = None
-    counted = False
+    pairs = _Pairs(directed=True)
+    last, counted = None, False
     for whole in batches:
         for cut in range(0, whole.num_rows, 200_000):
             batch = whole.slice(cut, 200_000)
@@ -208,25 +284,9 @@ def _neighbours(batches, percent: int):
             if last is not None:
                 key, doc, n = (np.concatenate([[x], y]) for x, y in zip(last, (key, doc, n), strict=True))
             same = (key[1:] == key[:-1]) & (100 * n[:-1] >= percent * n[1:])
-            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            first = np.repeat(begin, np.diff(np.append(begin, len(key))))
-            hub_doc, hub_n = doc[first], n[first]
-            if hub is not None and hub[0] == key[0]:
-                lead = first == 0
-                hub_doc, hub_n = np.where(lead, hub[1], hub_doc), np.where(lead, hub[2], hub_n)
-            near = (hub_doc != doc) & (100 * hub_n >= percent * n)
-            near[1:] &= hub_doc[1:] != doc[:-1]
-            if last is not None:
-                near[0] = False
-            pairs.add(doc[:-1][same], doc[1:][same], n[1:][same], key[1:][same])
-            # each entry counts once, by the one before it or else by the one after it
-            after = np.concatenate([[counted], same])
-            alone = same & ~after[:-1]
-            pairs.add(doc[1:][same], doc[1:][same], n[1:][same], key[1:][same])
-            pairs.add(doc[:-1][alone], doc[:-1][alone], n[:-1][alone], key[:-1][alone])
-            counted = after[-1]
-            full = pairs.add(hub_doc[near], doc[near], n[near], key[near])
-            hub, last = (key[-1], hub_doc[-1], hub_n[-1]), (key[-1], doc[-1], n[-1])
+            before = np.concatenate([[counted], same])
+            full = pairs.add(doc[:-1][same], doc[1:][same], n[1:][same], key[1:][same], ~before[:-1][same])
+            last, counted = (key[-1], doc[-1], n[-1]), before[-1]
             if full:
                 yield pairs.take()
     if pairs.size:
@@ -234,26 +294,23 @@ def _neighbours(batches, percent: int):
 
 
 def _stars(batches, percent: int):
-    """Pairs of each entry (b) with the first of its list (a), where they fit in size.
-
-    n is twice the size of the larger set, and one more if they lie in different components.
-    """
+    """Pairs of each entry (b) with the first of its list (a), where they fit in size."""
     pairs = _Pairs(directed=True)
     hub = None
     for whole in batches:
         for cut in range(0, whole.num_rows, 200_000):
             batch = whole.slice(cut, 200_000)
-            columns = [np.asarray(batch.column(c)) for c in ("key", "doc", "n", "comp")]
+            columns = [np.asarray(batch.column(c)) for c in ("key", "doc", "n")]
             if hub is not None:
                 columns = [np.concatenate([[x], y]) for x, y in zip(hub, columns, strict=True)]
-            key, doc, n, comp = columns
+            key, doc, n = columns
             if not len(key):
                 continue
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             first = np.repeat(begin, np.diff(np.append(begin, len(key))))
-            fits = (doc != doc[first]) & (100 * np.minimum(n, n[first]) >= percent * np.maximum(n, n[first]))
-            packed = 2 * np.maximum(n, n[first]) + (comp != comp[first])
-            full = pairs.add(doc[first][fits], doc[fits], packed[fits], key[fits])
+            most = np.maximum(n, n[first])
+            fits = (doc != doc[first]) & (100 * np.minimum(n, n[first]) >= percent * most)
+            full = pairs.add(doc[first][fits], doc[fits], most[fits], key[fits])
             hub = [c[begin[-1]] for c in columns]
             if full:
                 yield pairs.take()
@@ -339,17 +396,14 @@ def _residual(batches, percent: int):
     return _by_list(batches, ("key", "doc", "n", "comp", "linked", "apart", "rest"), pick)
 
 
-def _differences(hubs: DataFrame, rows: DataFrame, classes: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
+def _differences(hubs: DataFrame, sets: DataFrame, ranks: Ranks, percent: int) -> DataFrame:
     """doc, hub, n, linked (1 if it links with the hub), apart and keys of each row of hubs (doc, hub).
 
     apart is the number of shingles that only one of the two sets has. They have one order for all sets of a hub: added
     ones, then removed ones, each by rarity. The keys stand for the hub and the first of them: as many as hold one of
     those that any set shares that this one could newly join.
     """
-    ranks = np.floor(np.log2(np.maximum(counts / max(counts.mean(), 1e-9), 1))).astype(np.int64)
-    shipped = rows.sparkSession.sparkContext.broadcast(ranks)  # fixed size
-    wanted = hubs.select("doc").unionByName(hubs.select(F.col("hub").alias("doc"))).distinct()
-    sets = stored(_sets(rows.join(classes.select("doc", "h1", "h2").join(wanted, "doc"), "doc"), size).dropDuplicates(["doc"]))
+    shipped = sets.sparkSession.sparkContext.broadcast(ranks)  # fixed size
     both = hubs.join(sets.select("doc", F.col("items").alias("x")), "doc").join(sets.select(F.col("doc").alias("hub"), F.col("items").alias("y")), "hub").select("doc", "hub", "x", "y")
 
     def run(batches):
@@ -361,7 +415,7 @@ def _differences(hubs: DataFrame, rows: DataFrame, classes: DataFrame, counts: n
                 for hub, x, y in zip(batch.column("hub").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     added, removed = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-                    differ = np.concatenate([part[np.lexsort((part, ranks[_class_of(part)]))] for part in (added, removed)])
+                    differ = np.concatenate([ranks.sorted(added), ranks.sorted(removed)])
                     linked = 100 * (len(x) - len(added)) >= percent * (len(x) + len(removed))
                     indexed = len(differ) + 1 - _least_shared(len(x), len(differ), len(y), linked, percent)
                     salt = mix(np.array([hub], np.int64).view(np.uint64))
@@ -372,10 +426,8 @@ def _differences(hubs: DataFrame, rows: DataFrame, classes: DataFrame, counts: n
     return both.mapInArrow(run, schema("doc long, hub long, n long, linked long, apart long, keys array<long>"))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = stored(_sets(rows.join(classes.select("doc", "h1", "h2").join(wanted, "doc"), "doc"), size))
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches):
@@ -387,62 +439,62 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, size: int,
                     joined = np.sort(np.frombuffer(x + y, np.uint64), kind="stable")
                     common = int(np.count_nonzero(joined[1:] == joined[:-1]))
                     keep.append(100 * common >= percent * (len(joined) - common))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, schema("a long, b long"))
 
 
+def _family_hubs(stars: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc and hub of the classes that share many keys with others: the entry of their family that most share keys with."""
+    single = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1").select("doc")
+    plain = stars.join(single.withColumnRenamed("doc", "a"), "a", "left_semi").join(single.withColumnRenamed("doc", "b"), "b", "left_semi")
+    family = stored(connected_components(plain.select("a", "b")).toDF("doc", "family"))
+    followers = plain.groupBy("a").agg(F.count(F.lit(1)).alias("f")).withColumnRenamed("a", "doc")
+    leaders = family.join(followers, "doc").groupBy("family").agg(F.max_by("doc", F.struct("f", -F.col("doc"))).alias("hub"))
+    return family.join(leaders, "family").select("doc", "hub")
+
+
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc (null ids as the smallest long), n_shingles and component_id of each row."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text).alias("text"))
-    counts = class_counts(rows, size)
-    keyed = stored(keyed_sets(rows, counts, size, percent))
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50 and at most 100")
+    rows = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(quoted(text)).alias("text"))
+    ranks = shingle_ranks(rows, size)
+    keyed = stored(keyed_sets(rows, ranks, size, percent))
     members = keyed.select("doc", "n", "h1", "h2")
     classes = stored(keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     listed = _listed(classes, ["doc", "n"], "n", "doc")
     near = stored(_summed(listed.mapInArrow(lambda b: _neighbours(b, percent), schema(_COUNTED))))
-
-    def verified(pairs):
-        return stored(_verified(pairs, rows, classes, size, percent))
-
-    def labelled(links):
-        """The classes that have enough keys in common with any others, with their components so far."""
-        live = near.where("a = b").where(_enough(percent)).select(F.col("a").alias("doc"), (F.col("single") + F.col("paired")).alias("keys_shared"))
-        found = connected_components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-        share = F.floor(F.lit(1000) * F.col("keys_shared") / F.greatest(F.octet_length("keys") / 8, F.lit(1))).alias("live")
-        return classes.join(live, "doc").join(found, "doc", "left").select("doc", "n", "keys", F.coalesce("comp", "doc").alias("comp"), share)
-
-    first = near.where("a <> b").where(_enough(percent, 2)).select("a", "b")
-    links = verified(first)
+    seen = near.select(F.col("b").alias("doc"), (F.col("single") + F.col("paired")).alias("single")).unionByName(near.select(F.col("a").alias("doc"), F.col("alone").alias("single")))
+    sizes = classes.groupBy("doc").agg(F.min("n").alias("n"))
+    live = seen.groupBy("doc").agg(F.sum("single").alias("single")).withColumn("paired", F.lit(0)).join(sizes, "doc").where(_enough(percent))
+    live = stored(live.select("doc", F.col("single").alias("keys_shared")))
+    sets = stored(live_sets(rows, live, classes, size).select("doc", "items"))
+    classes = stored(classes.join(live, "doc").withColumn("live", F.floor(F.lit(1000) * F.col("keys_shared") / F.greatest(F.octet_length("keys") / 8, F.lit(1)))).drop("keys_shared"))
+    reps = keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
+
+    first = near.where("a <> b").where(_enough(percent, 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # the original of a group of edited copies shares the largest part of its keys and is likely to link with all of them
-    starred = _listed(labelled(links), ["doc", "n", "comp", "live"], F.desc("live"), "doc").mapInArrow(lambda b: _stars(b, percent), schema(_COUNTED))
-    packed = _summed(starred).withColumns({"far": F.col("n") % 2 == 1, "n": F.floor(F.col("n") / 2)})
-    stars = stored(packed.where(_enough(percent, 8)))
-    second = stored(stars.where("far").where(_enough(percent, 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(verified(second))
-    labels = stored(labelled(links))
-
-    # a set's differences from its hub tell whether it links with it, so any hub that comes before it is right
-    single = classes.groupBy("doc").agg(F.count(F.lit(1)).alias("sets")).where("sets = 1").select("doc")
-    plain = stars.join(single.withColumnRenamed("doc", "a"), "a", "left_semi").join(single.withColumnRenamed("doc", "b"), "b", "left_semi")
-    best = stored(plain.groupBy("b").agg(F.max_by("a", F.struct(F.col("single") + F.col("paired"), -F.col("a"))).alias("hub")).select(F.col("b").alias("doc"), "hub"))
-    for _ in range(HUB_STEPS):
-        best = best.join(best.toDF("hub", "further"), "hub", "left").select("doc", F.coalesce("further", "hub").alias("hub"))
-    best = stored(best)
-    chosen = best.select(F.col("hub").alias("doc")).distinct()
-    hubs = best.join(chosen, "doc", "left_anti").unionByName(chosen.select("doc", F.col("doc").alias("hub")))
+    starred = _listed(classes, ["doc", "n", "live"], F.desc("live"), "doc").mapInArrow(lambda b: _stars(b, percent), schema(_COUNTED))
+    stars = stored(_summed(starred).where(_enough(percent, 4)))
+    heads = stars.where(_enough(percent, 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tried = stored(first.unionByName(heads).distinct())
+    links = stored(_verified(tried, sets, percent))
+    labels = stored(classes.join(connected_components(links).toDF("doc", "comp"), "doc", "left").select("doc", "n", "keys", F.coalesce("comp", "doc").alias("comp")))
+
+    hubs = stored(_family_hubs(stars, classes))
     split = hubs.join(labels.select("doc", "comp"), "doc").groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("hub")
-    apart = stored(_differences(hubs.join(split, "hub"), rows, classes, counts, size, percent))
+    apart = stored(_differences(hubs.join(split, "hub"), sets, ranks, percent))
     links = links.unionByName(apart.where("linked = 1 and doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
 
-    places = labels.select("doc", "n", "comp", "keys").join(apart.select("doc", "hub"), "doc", "left").withColumn("hub", F.coalesce("hub", "doc"))
+    places = labels.select("doc", "n", "comp", "keys").join(hubs, "doc", "left").withColumn("hub", F.coalesce("hub", "doc"))
     spanning = _summed(_listed(places, ["doc", "n", "comp", "hub"], "n", "doc").mapInArrow(lambda b: _spanning(b, percent), schema(_COUNTED))).where(_enough(percent)).select("a", "b")
     numbered = apart.join(labels.select("doc", "comp"), "doc").select("doc", "n", "comp", "linked", "apart", F.posexplode("keys").alias("place", "key"))
     around = numbered.select("key", "doc", "n", "comp", "linked", "apart", (F.col("apart") - F.col("place")).alias("rest"))
     residual = around.repartition("key").sortWithinPartitions("key", "n", "doc").mapInArrow(lambda b: _residual(b, percent), schema(_COUNTED)).select("a", "b")
-    more = verified(stored(spanning.unionByName(residual).distinct().join(first.unionByName(second), ["a", "b"], "left_anti")))
-    same = members.where("n > 0").join(classes.select("h1", "h2", F.col("doc").alias("rep")), ["h1", "h2"])
+    more = stored(_verified(stored(spanning.unionByName(residual).distinct().join(tried, ["a", "b"], "left_anti")), sets, percent))
+    same = members.where("n > 0").join(reps, ["h1", "h2"])
     repeated = keyed.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc")
     shared = same.join(repeated, "doc").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     final = connected_components(links.unionByName(more).unionByName(shared)).select(F.col("node").alias("rep"), "component")
@@ -451,23 +503,6 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
-def _sets(rows: DataFrame, size: int) -> DataFrame:
-    """doc and the whole set of the rows whose set is that of h1 and h2."""
-
-    def make():
-        hashes = WordHashes()
-
-        def step(piece):
-            sets = [shingles(t, hashes, size) for t in as_bytes(piece.column("text"))]
-            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
-            right = (h[:, 0] == np.asarray(piece.column("h1"))) & (h[:, 1] == np.asarray(piece.column("h2")))
-            return [piece.column("doc").filter(pa.array(right)), pa.array([s.tobytes() for s, ok in zip(sets, right, strict=True) if ok], pa.binary())]
-
-        return step
-
-    return explode(rows, "text", make, schema("doc long, items binary"))
-
-
 def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row of docs."""
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c if c != "doc" else "doc_id")
