@@ -2,34 +2,42 @@
 
 Windows of `window` words are routed by content: each goes to the shard of its minimizer, the least
 hash of the word runs (seeds) in it, so equal windows always meet. Consecutive windows with one
-minimizer travel together as a segment of text, and only where the minimizer lies in two documents.
+minimizer travel together as a segment of text, and only where the minimizer may lie in two documents: filters of bounded
+size tell. Windows of a minimizer that more than `hot_docs` documents have are dealt further, by a second minimizer
+under another hash. A task sends the text of equal segments once, and a shard reads its segments in the order of
+their hashes, so copies take no memory there.
 
 A shard indexes its distinct segments: a suffix order of words, its Burrows-Wheeler transform in a
 bit-packed wavelet matrix with rank counts, and the smallest document of each class of suffixes that
-agree on a whole window. Documents' segments are streamed against it from right to left by backward
+agree on a whole window. Segments are streamed against it from right to left by backward
 search; once a window long, a match is cut back to its class and goes on with the next word, which
-gives the matching statistics at one step a word. Windows whose class has a smaller document are reported as intervals.
-
-A minimizer in more than `hot_docs` documents does not go to one shard: its windows are counted one
-by one, by 128-bit hashes, with the same result. Null and empty texts have no words. Rows that share a doc_id are no
-smaller than each other; a null doc_id counts as the smallest. Rows equal in id and text get the same result.
+gives the matching statistics at one step a word. In the smallest document of a segment, windows whose class has a smaller one are
+reported as intervals; in every other document the whole segment is.
+
+Null and empty texts have no words. Rows that share a doc_id are no
+smaller than each other; a null doc_id counts as the smallest. Rows equal in id and text get the same result. Long runs of one
+minimizer, as in repetitive texts, are cut to segments of SEGMENT windows. An empty table gives an empty one. Other columns are kept; one
+with the name of a result, in any case, is replaced. Words are routed by 64-bit hashes and compared as they are within a shard; equal
+segments are told by 128 bits.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import append, as_bytes, explode, schema, stored
-from corvane.llm.jaccard_join import NULL_ID, WordHashes, mix
+from corvane.llm.common import PLAIN, Filter, Words, append, as_bytes, explode, mix, others, quoted, released, schema, stored
+from corvane.llm.jaccard_join import NULL_ID
 
 WINDOW, SEED = 50, 8
-HOT_DOCS = 20_000
-#: Words of segments in one shard, on average.
-SHARD_WORDS = 400_000
+HOT_DOCS = 2_000
+#: Words of segments in one shard, on average; windows of a segment at most; segments that a task remembers to have sent.
+SHARD_WORDS, SEGMENT, SENT = 400_000, 1_000, 200_000
+SLICE = 1 << 20
 
 
 def rolling(w: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
@@ -46,14 +54,14 @@ def rolling(w: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     return out
 
 
-def minimizers(w: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """The least seed hash in each window."""
-    s, span, have = rolling(w, seed), window - seed + 1, 1
+def minimizers(w: np.ndarray, window: int, seed: int, salt: int = 0) -> np.ndarray:
+    """The least seed hash in each window, mixed again so that all its bits are even."""
+    s, span, have = rolling(w, seed, salt), window - seed + 1, 1
     while 2 * have <= span:
         s = np.minimum(s[:-have], s[have:])
         have *= 2
     rest = span - have
-    return np.minimum(s[: len(s) - rest], s[rest:]) if rest else s
+    return mix(mix(np.minimum(s[: len(s) - rest], s[rest:]) if rest else s))
 
 
 def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +109,7 @@ class Index:
         for s in segments:
             text[at : at + len(s)] = [number(w, len(self.codes) + 1) for w in s]
             at += len(s) + 1
-        self.text, self.begin = text, np.concatenate([[0], np.cumsum(lengths)])
+        self.text, self.begin = text.astype(np.int32), np.concatenate([[0], np.cumsum(lengths)])
         symbols = len(self.codes) + 1
         ranks = {1: text}
         have = 1
@@ -112,13 +120,12 @@ class Index:
             have *= 2
             ranks[have] = np.empty_like(text)
             ranks[have][order] = new
-        self.order = order
         half = have // 2
         ahead = np.append(ranks[half][window - half :], np.zeros(min(window - half, len(text)), np.int64))[: len(text)]
         a, b = ranks[half][order], ahead[order]
         first, stop = runs(a * (len(text) + symbols + 1) + b)
-        self.group = np.repeat(np.arange(len(first)), stop - first)
-        self.first, self.stop = first, stop
+        self.group = np.repeat(np.arange(len(first), dtype=np.int32), stop - first)
+        self.first, self.stop = first.astype(np.int32), stop.astype(np.int32)
         self.least = np.minimum.reduceat(np.repeat(docs, lengths)[order], first)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
         self.wavelet = Wavelet(text[order - 1], symbols)
@@ -160,150 +167,138 @@ class Index:
         return out
 
 
-def _merged(flags: np.ndarray, start: int, window: int) -> list[tuple[int, int]]:
-    """Word intervals that the flagged windows cover."""
+def _merged(flags: np.ndarray, window: int) -> list[int]:
+    """Starts and ends, by turns, of the words that the flagged windows cover."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return [(start + a, start + b - 1 + window) for a, b in edge.reshape(-1, 2).tolist()]
+    edge[1::2] += window - 1
+    return edge.tolist()
 
 
-_SPANS = "doc long, body long, start int, stop int"
+def _search_shard(rows: list[tuple], window: int) -> pa.RecordBatch:
+    """h1, h2, doc and spans (in its segment) of the distinct segments of a shard; rows: h1, h2, doc (the smallest), segment."""
+    h1, h2, docs, texts = zip(*rows, strict=True)
+    index = Index([t.split() for t in texts], np.array(docs, np.int64), window)
+    lanes = [index.text[a : b - 1] for a, b in zip(index.begin[:-1], index.begin[1:], strict=True)]
+    spans = [_merged(found < doc, window) for found, doc in zip(index.least_documents(lanes), docs, strict=True)]
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h1, h2, docs)), pa.array(spans, pa.list_(pa.int32()))], names=["h1", "h2", "least", "spans"])
 
 
-def _search_shard(shard: pa.Table, window: int) -> pa.Table:
-    """Intervals of the segments of a shard that a smaller document has."""
-    texts = shard["segment"].to_pylist()
-    docs = shard["doc"].to_numpy()
-    number: dict[bytes, int] = {}
-    which = np.array([number.setdefault(t, len(number)) for t in texts], np.int64)
-    least = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(least, which, docs)
-    segments = [t.split(b" ") for t in number]
-    index = Index(segments, least, window)
-    lanes = [index.text[a : b - 1] for a, b in zip(index.begin[:-1], index.begin[1:], strict=True)]
-    results = index.least_documents(lanes)
-    rows, start, stop = [], [], []
-    for i, (k, doc, at) in enumerate(zip(which.tolist(), docs.tolist(), shard["start"].to_pylist(), strict=True)):
-        for a, b in _merged(results[k] < doc, at, window):
-            rows.append(i)
-            start.append(a)
-            stop.append(b)
-    take = pa.array(rows, pa.int64())
-    return pa.table({"doc": shard["doc"].take(take), "body": shard["body"].take(take), "start": pa.array(start, pa.int32()), "stop": pa.array(stop, pa.int32())})
+def _search(batches, window: int):
+    """Segments (shard, h1, h2, doc, segment) come by shard, hash and document; the first of each hash is indexed."""
+    shard, held, last = None, [], None
+    for batch in batches:
+        for now, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "h1", "h2", "doc", "segment")), strict=True):
+            if now != shard and held:
+                yield _search_shard(held, window)
+                held = []
+            if (now, *row[:2]) != last:
+                held.append(row)
+            shard, last = now, (now, *row[:2])
+    if held:
+        yield _search_shard(held, window)
 
 
-def _hashes(tokens: list[bytes], known: WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+def _texts(piece: pa.RecordBatch):
+    """Number, word hashes, and word places in raw of each text of a slice; and raw."""
+    words = Words(as_bytes(piece.column("text")), PLAIN)
+    for i, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)):
+        yield i, words.hashes[a:b], words.begin[a:b], words.end[a:b], words.raw
 
 
 def _minimizer_rows(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """value, doc and body, once for each distinct minimizer of a document."""
+    """value and doc, once for each distinct minimizer of a document."""
 
     def make():
-        known = WordHashes()
-
         def step(piece):
-            values, times = [], []
-            for t in as_bytes(piece.column("text")):
-                tokens = t.split() if t else []
-                v = np.unique(minimizers(_hashes(tokens, known), window, seed)) if len(tokens) >= window else np.zeros(0, np.uint64)
-                values.append(v)
-                times.append(len(v))
-            take = pa.array(np.repeat(np.arange(len(times)), times))
-            return [pa.array(np.concatenate(values).view(np.int64)), piece.column("doc").take(take), piece.column("body").take(take)]
+            values = [np.unique(minimizers(w, window, seed)) if len(w) >= window else np.zeros(0, np.uint64) for _, w, _, _, _ in _texts(piece)]
+            take = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            return [pa.array(np.concatenate(values).view(np.int64)), piece.column("doc").take(take)]
 
         return step
 
-    return explode(rows, "text", make, schema("value long, doc long, body long"))
+    return explode(rows, "text", make, schema("value long, doc long"), SLICE)
 
 
-def _segments(rows: DataFrame, window: int, seed: int, shards: int) -> DataFrame:
-    """shard, doc, body, start and text of the segments whose minimizer is in the row's `live`."""
+def _segments(rows: DataFrame, window: int, seed: int, shards: int, live: Filter, hot: Filter) -> DataFrame:
+    """shard, h1, h2, doc, body, start and words of the segments whose minimizer may be live, and the text where the task sends it first."""
+    shipped = rows.sparkSession.sparkContext.broadcast((live, hot))  # of bounded size
 
     def make():
-        known = WordHashes()
+        (live, hot), sent = shipped.value, {}
 
         def step(piece):
-            take, shard, start, text = [], [], [], []
-            for i, (t, live) in enumerate(zip(as_bytes(piece.column("text")), piece.column("live").to_pylist(), strict=True)):
-                tokens = t.split()
-                v = minimizers(_hashes(tokens, known), window, seed)
-                begin, stop = runs(v)
-                wanted = np.isin(v[begin].view(np.int64), np.array(live, np.int64))
-                for a, b in zip(begin[wanted].tolist(), stop[wanted].tolist(), strict=True):
-                    take.append(i)
-                    shard.append(int(mix(v[a : a + 1])[0] % np.uint64(shards)))
-                    start.append(a)
-                    text.append(b" ".join(tokens[a : b - 1 + window]))
+            take, shard, digests, start, size, text = [], [], [], [], [], []
+            docs = piece.column("doc").to_pylist()
+            for i, w, begin, end, raw in _texts(piece):
+                if len(w) < window:
+                    continue
+                v = minimizers(w, window, seed)
+                wanted, often = live(v), hot(v)
+                if not wanted.any():
+                    continue
+                if (often & wanted).any():
+                    v = np.where(often, mix(v + minimizers(w, window, seed, 2)), v)
+                first, stop = runs(v)
+                for a, b in zip(first[wanted[first]].tolist(), stop[wanted[first]].tolist(), strict=True):
+                    to = int(v[a] % np.uint64(shards))
+                    for at in range(a, b, SEGMENT):
+                        last = min(b, at + SEGMENT) - 1 + window
+                        h = xxhash.xxh3_128_digest(w[at:last].tobytes())
+                        known = sent.get(h)
+                        new = known is None or docs[i] < known
+                        if new:
+                            sent[h] = docs[i]
+                        take.append(i)
+                        shard.append(to)
+                        digests.append(h)
+                        start.append(at)
+                        size.append(last - at)
+                        text.append(raw[begin[at] : end[last - 1]] if new else None)
+            if len(sent) > SENT:
+                sent.clear()
             if not take:
                 return None
             at = pa.array(take, pa.int32())
-            return [pa.array(shard, pa.int32()), piece.column("doc").take(at), piece.column("body").take(at), pa.array(start, pa.int32()), pa.array(text, pa.binary())]
-
-        return step
-
-    return explode(rows, "text", make, schema("shard int, doc long, body long, start int, segment binary"))
-
-
-def _hot_windows(rows: DataFrame, window: int, seed: int) -> DataFrame:
-    """Hash, document and start of every window whose minimizer is in the row's `live`."""
-
-    def make():
-        known = WordHashes()
-
-        def step(piece):
-            take, one, two, start = [], [], [], []
-            for i, (t, live) in enumerate(zip(as_bytes(piece.column("text")), piece.column("live").to_pylist(), strict=True)):
-                w = _hashes(t.split(), known)
-                at = np.flatnonzero(np.isin(minimizers(w, window, seed).view(np.int64), np.array(live, np.int64)))
-                take.append(np.full(len(at), i))
-                one.append(rolling(w, window, 1)[at])
-                two.append(rolling(w, window, 2)[at])
-                start.append(at)
-            at = pa.array(np.concatenate(take))
-            return [pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), piece.column("doc").take(at), piece.column("body").take(at), pa.array(np.concatenate(start).astype(np.int32))]
+            h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+            return [pa.array(shard, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), piece.column("doc").take(at), piece.column("body").take(at), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(text, pa.binary())]
 
         return step
 
-    return explode(rows, "text", make, schema("h1 long, h2 long, doc long, body long, start int"))
+    return explode(rows, "text", make, schema("shard int, h1 long, h2 long, doc long, body long, start int, words int, segment binary"), SLICE)
 
 
 def repeated_spans(rows: DataFrame, window: int = WINDOW, seed: int = SEED, hot_docs: int = HOT_DOCS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc, body, start and stop of word intervals covered by windows that a smaller document has; rows: doc, body, text."""
-    found = stored(_minimizer_rows(rows, window, seed))
+    """doc, body and spans (starts and ends of word intervals by turns, in any order) covered by windows that a smaller document has; rows: doc, body, text."""
+    found = _minimizer_rows(rows, window, seed)
     values = found.groupBy("value").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-    live = stored(values.select("value", "n"))
-    size = live.agg(F.sum(F.when(F.col("n") <= hot_docs, F.col("n"))).alias("n"), F.max("n").alias("most")).first()
-    shards = max(1, -(-(size.n or 0) * 3 * window // 2 // shard_words))
-
-    def with_live(condition):
-        some = found.join(live.where(condition).select("value"), "value").groupBy("doc", "body").agg(F.collect_set("value").alias("live"))
-        return rows.join(some, ["doc", "body"])
-
-    segments = _segments(with_live(F.col("n") <= hot_docs), window, seed, shards)
-    spans = segments.groupBy("shard").applyInArrow(lambda t: _search_shard(t, window), schema(_SPANS))
-    if (size.most or 0) > hot_docs:
-        windows = stored(_hot_windows(with_live(F.col("n") > hot_docs), window, seed))
-        least = windows.groupBy("h1", "h2").agg(F.min("doc").alias("least"))
-        hot = windows.join(least, ["h1", "h2"]).where("least < doc").select("doc", "body", "start", (F.col("start") + window).alias("stop"))
-        spans = spans.unionByName(hot)
-    return spans
+    live = stored(values.select(F.col("value").alias("key"), "n"))
+    total = live.agg(F.sum("n")).first()[0] or 0
+    shards = max(1, -(-total * 3 * window // 2 // shard_words))
+    segments = stored(_segments(rows, window, seed, shards, Filter(live), Filter(live.where(F.col("n") > hot_docs))))
+    texts = segments.where("segment is not null").select("shard", "h1", "h2", "doc", "segment")
+    dealt = texts.repartition("shard").sortWithinPartitions("shard", "h1", "h2", "doc")
+    least = stored(dealt.mapInArrow(released(lambda b: _search(b, window)), schema("h1 long, h2 long, least long, spans array<int>")))
+    met = segments.select("h1", "h2", "doc", "body", "start", "words").join(least, ["h1", "h2"])
+    whole = F.array(F.col("start"), F.col("start") + F.col("words"))
+    spans = F.when(F.col("doc") > F.col("least"), whole).otherwise(F.transform("spans", lambda x: x + F.col("start")))
+    return met.select("doc", "body", spans.alias("spans")).where(F.size("spans") > 0).groupBy("doc", "body").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with n_words, removed_spans (word intervals) and kept_text, the words left joined by one space."""
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)), "__body": F.xxhash64(text)})
-    rows = keyed.select(F.col("__doc").alias("doc"), F.col("__body").alias("body"), F.col(text).alias("text"))
-    spans = repeated_spans(rows, **options).groupBy("doc", "body").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
-    joined = keyed.join(spans.select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), "__spans"), ["__doc", "__body"], "left")
+    """docs with n_words, removed_spans (starts and ends of word intervals by turns) and kept_text, the words left joined by one space."""
+    kept = others(docs, "n_words", "removed_spans", "kept_text")
+    keyed = docs.select(*kept, F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NULL_ID)).alias("__doc"), F.xxhash64(quoted(text)).alias("__body"), F.col(quoted(text)).alias("__text"))
+    spans = repeated_spans(keyed.select(F.col("__doc").alias("doc"), F.col("__body").alias("body"), F.col("__text").alias("text")), **options)
+    joined = keyed.join(spans.select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("spans").alias("__spans")), ["__doc", "__body"], "left")
 
     def make():
         def step(piece):
-            counts, gone, kept = [], [], []
-            for t, spans in zip(as_bytes(piece.column(text)), piece.column("__spans").to_pylist(), strict=True):
+            counts, gone, left_text = [], [], []
+            for t, spans in zip(as_bytes(piece.column("__text")), piece.column("__spans").to_pylist(), strict=True):
                 tokens = t.split() if t else []
                 counts.append(len(tokens))
                 merged: list[list[int]] = []
-                for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
+                for a, b in sorted(zip(spans[::2], spans[1::2], strict=True)) if spans else ():
                     if merged and a <= merged[-1][1]:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
@@ -312,11 +307,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 for a, b in merged:
                     left += tokens[at:a]
                     at = b
-                kept.append(b" ".join(left + tokens[at:]))
+                left_text.append(b" ".join(left + tokens[at:]))
                 gone.append([x for pair in merged for x in pair])
-            return [pa.array(counts, pa.int64()), pa.array(gone, pa.list_(pa.int64())), pa.array(kept, pa.binary()).cast(pa.string())]
+            return [pa.array(counts, pa.int64()), pa.array(gone, pa.list_(pa.int64())), pa.array(left_text, pa.binary()).cast(pa.string())]
 
         return step
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("removed_spans", T.ArrayType(T.LongType())), T.StructField("kept_text", T.StringType())]
-    return append(joined, text, make, fields).drop("__doc", "__body", "__spans")
+    return append(joined, "__text", make, fields).drop("__doc", "__body", "__spans", "__text")
