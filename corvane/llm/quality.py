@@ -4,35 +4,42 @@ A word's vector is the mean of the hashed vectors of the word and of its charact
 bounds); a document's is the mean of its words' vectors plus the mean of its hashed word-pair
 vectors, and a softmax layer gives the classes. A pair of equal words hashes to one shared bucket,
 so that repetition itself can be learnt. Training is stochastic gradient descent (steps scaled by
-past gradients) in numpy in one task, over a bounded sample: the `rows` labelled rows with the
-smallest hash of their id, of each at most `chars` characters from a place given by that hash. Scores
-use whole texts and nothing but text.
+past gradients) in numpy in one task, for EPOCHS passes over the whole texts of a bounded sample: the `rows` labelled
+rows with the smallest hash of their id; texts over LONG characters are taken only if there are not enough others. Scores
+use whole texts and nothing but text; a long text is scored in pieces of PIECE characters, whose sums are added, with the same result.
 
 Null and empty texts have the vector 0 and get the score that the bias gives. Repeated rows score
-alike. Rows without a label, or with a label other than 0 and 1, do not train; without any training
-row every score is 0.5.
+alike; ties in the sample's order go to the smaller id and text. A run without white space of over PIECE characters counts
+as several words. Rows without a label, or with a label other than 0 and 1, do not train; without any training
+row every score is 0.5. An empty table gives no rows. Other columns are kept, except those named score or predicted in
+any case, which are replaced.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import append
+from corvane.llm.common import append, quoted, released
 
-SAMPLE_ROWS, SAMPLE_CHARS = 4_000, 2_500
-BUCKET_BITS, DIM, GRAMS = 16, 8, (2, 3, 4)
+SAMPLE_ROWS, LONG, EPOCHS = 1_000, 100_000, 8
+BUCKET_BITS, DIM, GRAMS = 17, 8, (2, 3, 4)
+#: Characters of a text scored at once, and bytes of texts.
+PIECE, SCORED_BYTES = 1 << 18, 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MULT = np.uint64(0x100000001B3)
+_WHITE = re.compile(r"\s")
 
 
 def _bucket(hashes: np.ndarray, salt: int) -> np.ndarray:
     mixed = (hashes ^ np.uint64(salt * 0x5851F42D4C957F2D & (2**64 - 1))) * _ODD
     mixed ^= mixed >> np.uint64(29)
-    return ((mixed * _MULT) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    return ((mixed * _MULT) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,61 +65,153 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets)[order], np.concatenate([[0], np.cumsum(np.bincount(everyone, minlength=len(words)))]), hashes
 
 
-class Documents:
-    """Texts as word numbers, with the features of each distinct word and of each pair of neighbours."""
+def _pair_buckets(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    pairs = hashes[a] * _MULT + hashes[b]
+    pairs[a == b] = 0
+    return _bucket(pairs, 99)
+
 
-    def __init__(self, texts: list[str | None]) -> None:
+class Batch:
+    """Training texts as numbers of the table's rows that they touch: features of each distinct word, and pairs of neighbours."""
+
+    def __init__(self, texts: list[str], labels: np.ndarray) -> None:
         number: dict[str, int] = {}
-        ids, self.bounds = [], [0]
-        for t in texts:
-            if t:
-                ids += [number.setdefault(w, len(number)) for w in t.split()]
-            self.bounds.append(len(ids))
-        self.ids = np.array(ids, np.int64)
-        self.bounds = np.array(self.bounds, np.int64)
-        self.n = len(texts)
-        self.doc = np.repeat(np.arange(self.n), np.diff(self.bounds))
-        self.features, self.edges, hashes = subwords(list(number)) if number else (np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64))
-        self.owner = np.repeat(np.arange(len(number)), np.diff(self.edges))
+        ids = [[number.setdefault(w, len(number)) for w in t.split()] for t in texts]
+        self.n, self.labels = len(texts), labels
+        self.ids = np.array([i for x in ids for i in x], np.int32)
+        self.doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) for x in ids])
+        features, edges, hashes = subwords(list(number)) if number else (np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.uint64))
+        self.owner = np.repeat(np.arange(len(number), dtype=np.int32), np.diff(edges))
         inside = self.doc[1:] == self.doc[:-1]
-        a, b = self.ids[:-1][inside], self.ids[1:][inside]
-        pairs = hashes[a] * _MULT + hashes[b]
-        pairs[a == b] = 0
-        self.pairs, self.pair_doc = _bucket(pairs, 99), self.doc[1:][inside]
+        pairs = _pair_buckets(hashes, self.ids[:-1][inside], self.ids[1:][inside])
+        self.pair_doc = self.doc[1:][inside]
+        self.rows, local = np.unique(np.concatenate([features, pairs]), return_inverse=True)
+        self.features, self.pairs = local[: len(features)].astype(np.int32), local[len(features) :].astype(np.int32)
         self.words = np.maximum(np.bincount(self.doc, minlength=self.n), 1)
         self.n_pairs = np.maximum(np.bincount(self.pair_doc, minlength=self.n), 1)
-        self.width = np.maximum(np.diff(self.edges), 1)
+        self.width = np.maximum(np.diff(edges), 1)
 
     def vectors(self, table: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, table.shape[1]))
-        if not len(self.ids):
-            return out
-        sums = np.add.reduceat(table[self.features], self.edges[:-1], axis=0)
-        word = sums / self.width[:, None]
-        full = np.diff(self.bounds) > 0
-        out[full] = np.add.reduceat(word[self.ids], self.bounds[:-1][full], axis=0) / self.words[full, None]
-        if len(self.pairs):
-            starts = np.flatnonzero(np.diff(self.pair_doc, prepend=-1))
-            out[self.pair_doc[starts]] += np.add.reduceat(table[self.pairs], starts, axis=0) / self.n_pairs[self.pair_doc[starts], None]
+        """table: its rows that are touched."""
+        out = np.empty((self.n, table.shape[1]))
+        for d in range(table.shape[1]):
+            word = np.bincount(self.owner, table[self.features, d], len(self.width)) / self.width
+            out[:, d] = np.bincount(self.doc, word[self.ids], self.n) / self.words + np.bincount(self.pair_doc, table[self.pairs, d], self.n) / self.n_pairs
         return out
 
-    def spread_back(self, grad: np.ndarray, size: int) -> np.ndarray:
-        """Gradient of the table, given that of the document vectors."""
-        out = np.empty((size, grad.shape[1]))
+    def loss_and_gradients(self, table: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Mean cross entropy, and its gradients by the touched rows, the weights and the bias."""
+        v = self.vectors(table)
+        p = _softmax(v @ weights + bias)
+        loss = -np.log(p[np.arange(self.n), self.labels]).mean()
+        p[np.arange(self.n), self.labels] -= 1
+        p /= self.n
+        grad = p @ weights.T
         by_word, by_pair = grad / self.words[:, None], grad / self.n_pairs[:, None]
-        for d in range(grad.shape[1]):
+        out = np.empty(table.shape)
+        for d in range(table.shape[1]):
             word = np.bincount(self.ids, by_word[self.doc, d], len(self.width)) / self.width
-            out[:, d] = np.bincount(self.features, word[self.owner], size) + np.bincount(self.pairs, by_pair[self.pair_doc, d], size)
-        return out
+            out[:, d] = np.bincount(self.features, word[self.owner], len(table)) + np.bincount(self.pairs, by_pair[self.pair_doc, d], len(table))
+        return loss, out, v.T @ p, p.sum(axis=0)
 
 
 class Model:
     def __init__(self, table: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
         self.table, self.weights, self.bias = table.astype(np.float32), weights, bias
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+
+class _Words(dict):
+    """Vectors and hashes of words as they come; forgets everything when it is full."""
+
+    LIMIT = 100_000
+
+    def __init__(self, table: np.ndarray) -> None:
+        super().__init__()
+        self.table = table
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.vectors, self.hashes = np.zeros((0, self.table.shape[1]), np.float32), np.zeros(0, np.uint64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = i = len(self)
+        self.fresh.append(word)
+        return i
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        for at in range(0, len(self.fresh), 20_000):
+            features, edges, hashes = subwords(self.fresh[at : at + 20_000])
+            sums = np.add.reduceat(self.table[features], edges[:-1], axis=0) / np.diff(edges)[:, None]
+            self.vectors, self.hashes = np.concatenate([self.vectors, sums.astype(np.float32)]), np.concatenate([self.hashes, hashes])
+        self.fresh = []
+        return ids
+
+
+def _pieces(text: str, size: int):
+    """A text cut at white space into pieces of about size characters."""
+    at = 0
+    while len(text) - at > size:
+        found = _WHITE.search(text, at + size, at + 2 * size)
+        stop = found.start() if found else at + size
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
+class Scorer:
+    def __init__(self, model: Model, piece: int = PIECE) -> None:
+        self.model, self.known, self.piece = model, _Words(model.table), piece
+
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the word vectors and of the pair vectors of each text, and how many of each."""
+        if len(self.known) > self.known.LIMIT:
+            self.known.forget()
+        words = [t.split() for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        ids = self.known.numbers([w for x in words for w in x])
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        inside = np.flatnonzero(doc[1:] == doc[:-1])
+        pairs = _pair_buckets(self.known.hashes, ids[inside], ids[inside + 1])
+        n_pairs = np.maximum(sizes - 1, 0)
+        return self._added(self.known.vectors[ids], sizes), sizes, self._added(self.model.table[pairs], n_pairs), n_pairs
+
+    @staticmethod
+    def _added(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        out, some = np.zeros((len(sizes), rows.shape[1])), sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.float64)
+        return out
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
         """Probability of class 1."""
-        return _softmax(Documents(texts).vectors(self.table) @ self.weights + self.bias)[:, 1]
+        parts, owner, counted = [], [], []
+        for k, t in enumerate(texts):
+            before = None
+            for part in _pieces(t or "", self.piece):
+                if before is not None:  # the pair that the cut has parted; its words are in the pieces
+                    last, first = before.split()[-1:], part.split(None, 1)[:1]
+                    parts.append(" ".join(last + first))
+                    owner.append(k)
+                    counted.append(0)
+                parts.append(part)
+                owner.append(k)
+                counted.append(1)
+                before = part
+        words, pairs = np.zeros((len(texts), self.model.table.shape[1])), np.zeros((len(texts), self.model.table.shape[1]))
+        n_words, n_pairs = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        sizes = np.cumsum([len(p) for p in parts]) // (2 * self.piece)
+        for at in (np.flatnonzero(sizes == s) for s in np.unique(sizes)):
+            word, n, pair, m = self._sums([parts[i] for i in at])
+            to, whole = np.array(owner)[at], np.array(counted)[at]
+            np.add.at(words, to, word * whole[:, None])
+            np.add.at(n_words, to, n * whole)
+            np.add.at(pairs, to, pair)
+            np.add.at(n_pairs, to, m)
+        v = words / np.maximum(n_words, 1)[:, None] + pairs / np.maximum(n_pairs, 1)[:, None]
+        return _softmax(v @ self.model.weights + self.model.bias)[:, 1]
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -120,41 +219,39 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[int], epochs: int | None = None, batch: int = 32, rate: float = 0.15, seed: int = 7) -> Model:
-    epochs = epochs or min(30, max(5, 24_000 // max(len(texts), 1)))  # about as many steps for any sample
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, batch: int = 16, rate: float = 0.2, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
-    size = 1 << BUCKET_BITS
-    table = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM))
-    weights, bias = np.zeros((DIM, 2)), np.zeros(2)
-    weights[:] = rng.normal(0, 0.5, (DIM, 2))
-    seen, seen_w, seen_b = np.full(table.shape, 1e-6), np.full(weights.shape, 1e-2), np.full(2, 1e-2)
+    table = rng.uniform(-1 / DIM, 1 / DIM, (1 << BUCKET_BITS, DIM)).astype(np.float32)
+    weights, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    seen, seen_w, seen_b = np.full(table.shape, 1e-6, np.float32), np.full(weights.shape, 1e-2), np.full(2, 1e-2)
     y = np.array(labels, np.int64)
-    groups = [np.arange(i, min(i + batch, len(y))) for i in range(0, len(y), batch)]
     order = rng.permutation(len(y))
-    prepared = [(Documents([texts[i] for i in order[g]]), y[order[g]]) for g in groups]
+    batches = [Batch([texts[i] for i in order[k : k + batch]], y[order[k : k + batch]]) for k in range(0, len(y), batch)]
     for epoch in range(epochs):
-        for k in rng.permutation(len(prepared)):
-            docs, target = prepared[k]
-            v = docs.vectors(table)
-            p = _softmax(v @ weights + bias)
-            p[np.arange(len(target)), target] -= 1
-            p /= len(target)
-            step = rate * (1 - epoch / epochs)
-            g_table, g_w, g_b = docs.spread_back(p @ weights.T, size), v.T @ p, p.sum(axis=0)
-            for value, grad, past in ((table, g_table, seen), (weights, g_w, seen_w), (bias, g_b, seen_b)):
+        step = rate * (1 - epoch / epochs)
+        for k in rng.permutation(len(batches)):
+            b = batches[k]
+            _, g_table, g_w, g_b = b.loss_and_gradients(table[b.rows], weights, bias)
+            past = seen[b.rows] + g_table * g_table
+            seen[b.rows] = past
+            table[b.rows] -= step * g_table / np.sqrt(past)
+            for value, grad, past in ((weights, g_w, seen_w), (bias, g_b, seen_b)):
                 past += grad * grad
                 value -= step * grad / np.sqrt(past)
     return Model(table, weights, bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_on: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Train on a bounded sample of the labelled documents that train_on (over doc_id) selects."""
-    marked = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    usable = docs.where(train_on & F.col(text).isNotNull())
-    picked = marked.join(usable.select(F.col(doc_id).alias("id")), "id", "left_semi").groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    part = F.expr(f"substring({text}, 1 + pmod(xxhash64(cast({doc_id} as string)), greatest(length({text}) - {chars}, 1)), {chars})")
-    found = usable.select(F.col(doc_id).alias("id"), part.alias("t")).join(F.broadcast(picked), "id")  # at most `rows` ids
-    sample = found.orderBy(F.col("id").cast("string"), "t").limit(2 * rows).select("t", "y")  # ids may be repeated
+def fit(docs: DataFrame, labels: DataFrame, train_on: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
+    """Train on at most `rows` labelled documents that train_on (over doc_id) selects; an id with several labels has the smallest."""
+    marked = labels.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(label)).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
+    marked = marked.groupBy("id").agg(F.min("y").alias("y"))
+    usable = docs.where(train_on & F.col(quoted(text)).isNotNull()).select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(text)).alias("t"))
+    order = [F.length("t") > LONG, F.xxhash64("id"), F.col("id").cast("string"), F.xxhash64("t")]
+    keyed = usable.select("id", *(c.alias(f"o{k}") for k, c in enumerate(order)))
+    picked = keyed.join(marked, "id").orderBy(*(f"o{k}" for k in range(len(order)))).limit(rows)
+    chosen = picked.select("id", "y", "o3").distinct()
+    found = usable.withColumn("o3", F.xxhash64("t")).join(F.broadcast(chosen), ["id", "o3"])  # at most `rows` ids
+    sample = found.orderBy(F.xxhash64("id"), F.col("id").cast("string"), "t").limit(rows).select("t", "y")  # rows may be repeated
 
     def run(batches):
         texts, marks = [], []
@@ -165,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, doc_id: str = "doc
             model = train(texts, marks)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (model.table, model.weights, model.bias)], names=["table", "weights", "bias"])
 
-    made = sample.mapInArrow(run, "table binary, weights binary, bias binary").collect()
+    made = sample.mapInArrow(released(run), "table binary, weights binary, bias binary").collect()
     if not made:
         return Model(np.zeros((1 << BUCKET_BITS, DIM)), np.zeros((DIM, 2)), np.zeros(2))
     return Model(np.frombuffer(made[0].table, np.float32).reshape(-1, DIM), np.frombuffer(made[0].weights).reshape(DIM, 2), np.frombuffer(made[0].bias))
@@ -176,12 +273,12 @@ def classify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed
 
     def make():
-        fitted = shipped.value
+        scorer = Scorer(shipped.value)
 
         def step(piece):
-            s = fitted.score(piece.column(text).to_pylist())
+            s = scorer(piece.column(text).to_pylist())
             return [pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
 
         return step
 
-    return append(docs, text, make, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return append(docs, text, make, [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], SCORED_BYTES)
