@@ -4,26 +4,30 @@ A text is cut into pre-tokens by a pattern. A pre-token that is a whole vocabula
 by a minimal perfect hash; any other is merged from its bytes, a doubly linked list whose adjacent
 pairs wait in a heap by rank. Ids equal those of the public reference tokenizer without special tokens.
 
-Null and empty texts have no ids and decode to no bytes. Repeated rows are encoded alike; other
-columns are kept, except one named as an output, which is replaced.
+Null and empty texts have no ids and decode to no bytes. Repeated rows are encoded alike; a very long text is
+handled alone; an empty table gives an empty one. Other columns are kept, except one named as an output in any case, which is replaced.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corvane.llm.common import append
+from corvane.llm.common import append, released
 
 #: Resolved pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
+#: Ids decoded at once, and those of one more text.
+DECODED = 1 << 20
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 
@@ -111,7 +115,7 @@ class Tokenizer:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.bytes_of.append(b"")  # at -1, for a null id
         self.known = _Memory(self.resolve, remembered)
 
     def resolve(self, piece: str) -> bytes:
@@ -132,6 +136,10 @@ class _Memory(dict):
         super().__init__()
         self.resolve, self.limit, self.older = resolve, limit, {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, key):
         if (value := self.older.get(key)) is None:
             value = self.resolve(key)
@@ -168,33 +176,32 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
         def step(piece):
             packed = [tokenizer.encode(t) if t else b"" for t in piece.column(text).to_pylist()]
-            offsets = np.zeros(len(packed) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)  # a slice has fewer than 2 ** 31 bytes
             return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))]
 
+        step.close = tokenizer.known.forget
         return step
 
     return append(df, text, make, [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """df and the bytes that each array of ids stands for; null arrays give no bytes."""
+    """df and the bytes that each array of ids stands for; null arrays and null ids give no bytes."""
     raw = _shipped(df, path)
-    names = [n for n in df.columns if n != out]
-    result = T.StructType([df.schema[n] for n in names] + [T.StructField(out, T.BinaryType())])
+    kept = [i for i, n in enumerate(df.columns) if n.lower() != out.lower()]
+    result = T.StructType([df.schema[i] for i in kept] + [T.StructField(out, T.BinaryType())])
 
     def run(batches):
         tokenizer = _tokenizer(raw.value, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                piece = batch.slice(start, 512)
-                column = piece.column(ids)
-                values = column.flatten().to_numpy(zero_copy_only=False)
-                counts = np.array([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
-                ends = np.concatenate([[0], np.cumsum(tokenizer.lengths[values])])
-                offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                data = b"".join(map(tokenizer.bytes_of.__getitem__, values.tolist()))
-                decoded = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([piece.column(n) for n in names] + [decoded], names=result.names)
-
-    return df.mapInArrow(run, result)
+            counts = np.array([n or 0 for n in batch.column(ids).value_lengths().to_pylist()], np.int64)
+            part = np.cumsum(counts) // DECODED
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows]]).tolist()
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = batch.slice(start, stop - start)
+                values = np.asarray(pc.fill_null(piece.column(ids).flatten(), -1)).tolist()
+                pieces = map(tokenizer.bytes_of.__getitem__, values)
+                decoded = pa.array([b"".join(islice(pieces, n)) for n in counts[start:stop].tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column(i) for i in kept] + [decoded], names=result.names)
+
+    return df.mapInArrow(released(run), result)
