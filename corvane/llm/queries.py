@@ -45,7 +45,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = fold("doc_id", 7) == 2
-    out = suffix_tree_lm.score(docs, ~held)
+    out = suffix_tree_lm.score(docs, ~held, keep=["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -58,7 +58,7 @@ def test_scores(spark, cached):
     want, lengths = brute_scores(rows, 3, 2.0)
     assert lengths == 3
     docs = spark.createDataFrame(rows, "text string, train boolean")
-    got = suffix_tree_lm.score(docs, F.col("train"), cached=cached, frequent_share=0.01).collect()
+    got = suffix_tree_lm.score(docs, F.col("train"), cached=cached, frequent=10).collect()
     assert len(got) == len(rows)
     for r in got:
         assert math.isclose(r.score, want[r.text], rel_tol=1e-9, abs_tol=1e-9)
