@@ -22,10 +22,6 @@ CONCEPT_STOPWORDS = [
 WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def _list(words: list[str]) -> Column:
-    return F.array(*map(F.lit, words))
-
-
 def words(c) -> Column:
     return F.filter(F.split(c, WHITE), lambda x: x != "")
 
@@ -33,12 +29,12 @@ def words(c) -> Column:
 def keywords(c) -> Column:
     """Keyword tokens in order, with repeats."""
     tokens = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9\-]+)"), 1)
-    return F.filter(tokens, lambda x: (F.length(x) > 2) & ~F.array_contains(_list(KEYWORD_STOPWORDS), x))
+    return F.filter(tokens, lambda x: (F.length(x) > 2) & ~x.isin(KEYWORD_STOPWORDS))
 
 
 def concept_words(c) -> Column:
     tokens = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z][a-z0-9\-]{2,})"), 1)
-    return F.filter(tokens, lambda x: ~F.array_contains(_list(CONCEPT_STOPWORDS), x))
+    return F.filter(tokens, lambda x: ~x.isin(CONCEPT_STOPWORDS))
 
 
 def grams(c) -> Column:
@@ -80,6 +76,17 @@ def published_year(c) -> Column:
     return F.when(y != "", y.cast("long"))
 
 
+def writer_context(chunks) -> Column:
+    """What a draft is written from: each retrieved chunk (source_id, source_title, chunk_index, text) under a heading, parted by rules."""
+    head = lambda c: F.concat(F.lit("[arxiv:"), c["source_id"], F.lit('] "'), c["source_title"], F.lit('" (chunk '), c["chunk_index"].cast("string"), F.lit(")\n"), c["text"])
+    return F.array_join(F.transform(chunks, head), "\n\n---\n\n")
+
+
+def judge_context(chunks) -> Column:
+    """What a draft is judged by: each retrieved chunk with its whole text."""
+    return F.array_join(F.transform(chunks, lambda c: F.concat(F.lit("[arxiv:"), c["source_id"], F.lit("] "), c["text"])), "\n\n")
+
+
 def one_line(c) -> Column:
     return F.regexp_replace(F.trim(c), "\n", " ")
 

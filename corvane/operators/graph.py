@@ -64,11 +64,9 @@ def seed_papers(seeds: DataFrame, considered: int = 3) -> DataFrame:
     return first.withColumn("place", place).where(F.col("place") <= considered).select("qid", F.col("source_id").alias("src"))
 
 
-def expanded(pool: DataFrame, questions: DataFrame, chunks: DataFrame, e: DataFrame, weight: float, graph_weight: float, top: int = 5, candidates: int = 20, neighbours: int = 3) -> DataFrame:
-    """Hybrid search whose seeds bring in chunks of related papers; pool has sim and kw, chunks are embedded."""
+def neighbour_chunks(pool: DataFrame, questions: DataFrame, chunks: DataFrame, e: DataFrame, weight: float, candidates: int = 20, neighbours: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The hybrid seeds of each question, and the best chunks of papers related to the first of them, with their score and the paper's share of the largest relatedness."""
     seeds = retrieval.ranked(retrieval.blend(pool, weight), candidates)
-    if graph_weight <= 0:
-        return seeds.where(F.col("rank") <= top).select("qid", "rank", "source_id", "chunk_index", "score")
     starts = seed_papers(seeds)
     found = starts.join(related(starts, e, neighbours), "src").select("qid", F.col("other").alias("source_id"), "relatedness")
     fresh = found.join(seeds.select("qid", "source_id"), ["qid", "source_id"], "left_anti").groupBy("qid", "source_id").agg(F.max("relatedness").alias("relatedness"))
@@ -78,10 +76,29 @@ def expanded(pool: DataFrame, questions: DataFrame, chunks: DataFrame, e: DataFr
     near = chunks.select("source_id", "chunk_index", "v", "norm2").join(fresh, "source_id").join(q, "qid")
     scored = near.select("qid", "source_id", "chunk_index", "share", retrieval.cosine(T.dot("qv", "v"), F.col("qn"), F.col("norm2")).alias("sim"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "source_id", "chunk_index"))
-    best = retrieval.blend(retrieval.overlap(scored.withColumn("place", place).where(F.col("place") <= candidates), questions, chunks), weight)
-    boosted = best.select("qid", "source_id", "chunk_index", (F.col("score") * ((F.lit(1.0) - F.lit(graph_weight)) + F.lit(graph_weight) * F.col("share"))).alias("score"), F.lit(1).alias("origin"))
-    both = seeds.select("qid", "source_id", "chunk_index", "score", F.lit(0).alias("origin")).unionByName(boosted)
+    near = retrieval.overlap(scored.withColumn("place", place).where(F.col("place") <= candidates), questions, chunks)
+    return seeds, retrieval.blend(near, weight).select("qid", "source_id", "chunk_index", "score", "share")
+
+
+def merged(seeds: DataFrame, near: DataFrame, graph_weight, top: int = 5, by: tuple[str, ...] = ("qid",)) -> DataFrame:
+    """The best of seeds and of neighbours' chunks, whose score is discounted by graph_weight and share; each chunk once, seeds first on ties."""
+    g = graph_weight if not isinstance(graph_weight, (int, float)) else F.lit(float(graph_weight))
+    boosted = near.select(*by, "source_id", "chunk_index", (F.col("score") * ((F.lit(1.0) - g) + g * F.col("share"))).alias("score"), F.lit(1).alias("origin"))
+    both = seeds.select(*by, "source_id", "chunk_index", "score", F.lit(0).alias("origin")).unionByName(boosted)
     order = [F.desc("score"), "origin", "source_id", "chunk_index"]
-    once = both.withColumn("nth", F.row_number().over(Window.partitionBy("qid", "source_id", "chunk_index").orderBy(*order))).where("nth = 1")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(*order))
-    return once.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select("qid", "rank", "source_id", "chunk_index", F.round("score", 4).alias("score"))
+    once = both.withColumn("nth", F.row_number().over(Window.partitionBy(*by, "source_id", "chunk_index").orderBy(*order))).where("nth = 1")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return once.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select(*by, "rank", "source_id", "chunk_index", F.round("score", 4).alias("score"))
+
+
+def expanded(pool: DataFrame, questions: DataFrame, chunks: DataFrame, e: DataFrame, weight: float, graph_weight: float, top: int = 5, candidates: int = 20, neighbours: int = 3) -> DataFrame:
+    """Hybrid search whose seeds bring in chunks of related papers; pool has sim and kw, chunks are embedded."""
+    if graph_weight <= 0:
+        return retrieval.hybrid(pool, weight, top)
+    return merged(*neighbour_chunks(pool, questions, chunks, e, weight, candidates, neighbours), graph_weight, top)
+
+
+def nodes(papers: DataFrame, e: DataFrame) -> DataFrame:
+    """id and type of all papers and of what they are linked with."""
+    linked = e.select(F.col("dst").alias("id"), F.element_at(F.split("dst", ":"), 1).alias("type"))
+    return papers.select(F.col("source_id").alias("id"), F.lit("paper").alias("type")).unionByName(linked).distinct()

@@ -2,34 +2,106 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 
 from corvane.functions import text as T
 
+BUCKETS = 64
+#: Questions whose vectors are sent to the executors at once.
+QUESTION_BLOCK = 4_096
+
+
+class _Buckets(dict):
+    """Buckets of words by the last digits of their MD5, remembered up to a limit."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = b = hashlib.md5(word.encode()).digest()[-1] % BUCKETS
+        return b
+
 
 def embed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, v (counts by bucket) and norm2 of the hashed bag of words of text; texts without words have zeros."""
-    counts = df.select(*keys, F.explode(T.embed_words("text")).alias("w")).groupBy(*keys, T.bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    maps = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.coalesce(F.col("m")[b], F.lit(0).cast("long")))
-    return df.join(maps, keys, "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,bigint>"))).withColumn("v", vector).withColumn("norm2", T.dot("v", "v")).drop("m")
+    """df with v (counts by bucket) and norm2 of the hashed bag of words of text; texts without words have zeros.
+
+    One pass over Arrow batches without a shuffle, since a row needs no other; a word is hashed once a task.
+    """
+    kept = [i for i, c in enumerate(df.columns) if c not in ("v", "norm2")]
+    out = D.StructType([df.schema[i] for i in kept] + [D.StructField("v", D.ArrayType(D.LongType())), D.StructField("norm2", D.LongType())])
+
+    def run(batches):
+        words, buckets = re.compile("[a-z]+"), _Buckets()
+        for batch in batches:
+            found = [words.findall((t or "").lower()) for t in batch.column("text").to_pylist()]
+            row = np.repeat(np.arange(len(found)), [len(w) for w in found])
+            at = np.fromiter((buckets[w] for x in found for w in x), np.int64, len(row))
+            v = np.bincount(row * BUCKETS + at, minlength=BUCKETS * len(found)).reshape(-1, BUCKETS)
+            vectors = pa.ListArray.from_arrays(np.arange(0, v.size + 1, BUCKETS, dtype=np.int32), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [vectors, pa.array((v * v).sum(axis=1))], names=out.names)
+
+    return df.mapInArrow(run, out)
 
 
 def cosine(dot, a, b):
     return F.when(a * b > 0, dot.cast("double") / F.sqrt((a * b).cast("double"))).otherwise(F.lit(0.0))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(-1, BUCKETS)
+
+
+def _best_of(chunks: DataFrame, block: pa.Table, pool: int) -> DataFrame:
+    """The best chunks of each Arrow batch for each question of a block."""
+    ids = block["qid"].combine_chunks()
+    q, qn = _matrix(block["v"].combine_chunks()), block["norm2"].to_numpy().astype(np.float64)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            dots = q @ _matrix(batch.column("v")).T  # sums of integers: exact
+            norms = qn[:, None] * np.asarray(batch.column("norm2"), np.float64)[None, :]
+            sims = np.divide(dots, np.sqrt(norms), out=np.zeros_like(dots), where=norms > 0)
+            sources = batch.column("source_id").to_pylist()
+            places = list(zip((s.encode() for s in sources), batch.column("chunk_index").to_pylist(), strict=True))
+            order = np.empty(len(places), np.int64)
+            order[sorted(range(len(places)), key=places.__getitem__)] = np.arange(len(places))
+            which, at = [], []
+            for k, sim in enumerate(sims):
+                some = np.flatnonzero(sim >= np.partition(sim, len(sim) - pool)[len(sim) - pool]) if len(sim) > pool else np.arange(len(sim))
+                at.append(some[np.lexsort((order[some], -sim[some]))][:pool])
+                which.append(np.full(len(at[-1]), k))
+            which, at = np.concatenate(which), np.concatenate(at)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), batch.column("source_id").take(pa.array(at)), batch.column("chunk_index").take(pa.array(at)), pa.array(sims[which, at])], names=["qid", "source_id", "chunk_index", "sim"])
+
+    out = D.StructType([D.StructField("qid", D.LongType()), D.StructField("source_id", D.StringType()), D.StructField("chunk_index", D.LongType()), D.StructField("sim", D.DoubleType())])
+    return chunks.select("source_id", "chunk_index", "v", "norm2").mapInArrow(run, out)
+
+
 def vector_top(questions: DataFrame, chunks: DataFrame, pool: int = 20) -> DataFrame:
     """qid, source_id, chunk_index, sim and rank: the chunks of the highest cosine (ties: smaller key) of each question.
 
-    questions and chunks are embedded. The question batch meets all chunks; the plan keeps the best of each task before its shuffle.
+    questions (qid a long) and chunks are embedded. Questions go to the executors in blocks of bounded size; each batch of
+    chunks meets a block in one matrix product and gives its best only, so what is shuffled does not hold the pairs.
     """
-    q = questions.select("qid", F.col("v").alias("qv"), F.col("norm2").alias("qn"))
-    pairs = chunks.select("source_id", "chunk_index", "v", "norm2").crossJoin(q)
-    scored = pairs.select("qid", "source_id", "chunk_index", cosine(T.dot("qv", "v"), F.col("qn"), F.col("norm2")).alias("sim"))
+    q = questions.select(F.col("qid").cast("long").alias("qid"), "v", "norm2")
+    blocks = max(1, -(-q.count() // QUESTION_BLOCK))
+    found = None
+    for k in range(blocks):
+        block = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).toArrow()
+        one = _best_of(chunks, block, pool)
+        found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("sim"), "source_id", "chunk_index"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= pool)
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= pool)
 
 
 def overlap(pool: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:

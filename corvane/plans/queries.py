@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from corvane.functions import replies
 from corvane.functions import text as T
 from corvane.operators import agent, chunking, evaluation, graph, retrieval
+from corvane.sources.scratch import stored
 
 KNOWN_IDS = ("0", "1", "2", "3")
 
@@ -33,9 +34,9 @@ def _chunks(spark, sf_dir) -> DataFrame:
 
 
 def _scored(spark, sf_dir):
-    """Embedded questions and chunks, and the candidate pool with keyword overlap."""
-    q, c = _questions(spark, sf_dir), _chunks(spark, sf_dir)
-    return q, c, retrieval.overlap(retrieval.vector_top(q, c), q, c)
+    """Embedded questions and chunks, and the candidate pool with keyword overlap; each is computed once."""
+    q, c = stored(_questions(spark, sf_dir)), stored(_chunks(spark, sf_dir))
+    return q, c, stored(retrieval.overlap(retrieval.vector_top(q, c), q, c))
 
 
 def _graph(spark, sf_dir):
@@ -122,13 +123,13 @@ def kg_nodes_stats(spark, sf_dir):
 def related_papers(spark, sf_dir):
     _, _, pool = _scored(spark, sf_dir)
     seeds = retrieval.ranked(retrieval.blend(pool, 0.3), 20)
-    return graph.related(graph.seed_papers(seeds), _graph(spark, sf_dir)[2], 5).select("src", "other", "relatedness", "rank")
+    return graph.related(graph.seed_papers(seeds), stored(_graph(spark, sf_dir)[2]), 5).select("src", "other", "relatedness", "rank")
 
 
 def _expanded(graph_weight: float):
     def query(spark, sf_dir):
         q, c, pool = _scored(spark, sf_dir)
-        return graph.expanded(pool.persist(), q, c, _graph(spark, sf_dir)[2], 0.3, graph_weight)
+        return graph.expanded(pool, q, c, stored(_graph(spark, sf_dir)[2]), 0.3, graph_weight)
 
     return query
 
@@ -139,13 +140,20 @@ def keyword_recall(spark, sf_dir):
 
 
 def retrieval_sweep(spark, sf_dir):
+    """All strategies at once: those without a graph differ by a weight of the same pool, those with one by a weight of the same neighbours."""
     q, c, pool = _scored(spark, sf_dir)
-    q, c, pool, e = q.persist(), c.persist(), pool.persist(), _graph(spark, sf_dir)[2].persist()
-    expected, records = evaluation.expected_keywords(q), None
-    for k, (name, weight, graph_weight) in enumerate(evaluation.STRATEGIES):
-        one = evaluation.keyword_recall(graph.expanded(pool, q, c, e, weight, graph_weight), c, expected).select(F.lit(name).alias("strategy"), F.lit(k).cast("long").alias("ordinal"), "recall", "n_papers")
-        records = one if records is None else records.unionByName(one)
-    return evaluation.sweep_summary(records)
+    rows = [(name, k, weight, graph_weight) for k, (name, weight, graph_weight) in enumerate(evaluation.STRATEGIES)]
+    all_of = spark.createDataFrame(rows, "strategy string, ordinal long, weight double, graph_weight double")
+    key = ("strategy", "ordinal", "qid")
+    plain = pool.crossJoin(F.broadcast(all_of.where("graph_weight = 0")))  # a few literal rows
+    hybrid = retrieval.ranked(retrieval.blend(plain, F.col("weight")), 5, key)
+    seeds, near = graph.neighbour_chunks(pool, q, c, stored(_graph(spark, sf_dir)[2]), 0.3)
+    graphs = F.broadcast(all_of.where("graph_weight > 0"))
+    expanded = graph.merged(seeds.crossJoin(graphs), stored(near).crossJoin(graphs), F.col("graph_weight"), by=(*key, "graph_weight"))
+    columns = [*key, "rank", "source_id", "chunk_index"]
+    found = hybrid.select(columns).unionByName(expanded.select(columns))
+    asked = evaluation.expected_keywords(q).select("qid", "expected").crossJoin(F.broadcast(all_of.select("strategy", "ordinal")))
+    return evaluation.sweep_summary(evaluation.keyword_recall(found, c, asked, key))
 
 
 def best_strategy(spark, sf_dir):
@@ -175,6 +183,39 @@ def structural_check(spark, sf_dir):
     return _answers(spark, sf_dir).select("conv_id", "turn", F.coalesce(issue["verdict"], F.lit("pass")).alias("verdict"))
 
 
+def eval_slice(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.length("text").cast("long").alias("n_chars"))
+    return evaluation.question_slice(q, 5, 10)
+
+
+def critic_route(spark, sf_dir):
+    """Every check of a draft and where it sends it: structure, then the judge's reply, then the bound on retries."""
+    known = F.array(*map(F.lit, KNOWN_IDS))
+    drafts = _answers(spark, sf_dir).select("conv_id", "turn", F.when(F.col("conv_id") % 5 == 0, F.lit("no source")).otherwise(F.col("draft")).alias("draft"), (F.col("conv_id") % 3).alias("retries"))
+    state = drafts.withColumns({"retrieved": known, "judge_reply": _pick(REPLIES, "conv_id")})
+    o = agent.critic(state, 2).select("conv_id", "turn", "outcome.*")
+    route = F.when(F.col("verdict").isin("approved", "unverified"), F.lit("end")).when(F.col("verdict") == "needs_retrieval", F.lit("retriever")).otherwise(F.lit("synthesis"))
+    return o.select("conv_id", "turn", "verdict", F.col("retries").cast("long").alias("retries"), route.alias("route"))
+
+
+def quota_cut(spark, sf_dir):
+    """Whether each labelled document counts before the first failure of a run of three strategies (the quota cut)."""
+    r = table(spark, sf_dir, "labels").select((F.col("doc_id") % 3).alias("ordinal"), F.col("doc_id").alias("question_no"), ((F.col("doc_id") % 3 == 1) & (F.col("doc_id") > 500)).alias("failed"))
+    return evaluation.until_quota(r.withColumn("strategy", F.col("ordinal").cast("string")))
+
+
+def contexts(spark, sf_dir):
+    """Context of a draft and of its judgement, over the first chunks of each document."""
+    c = chunking.chunks(documents(spark, sf_dir)).where("chunk_index < 3").withColumn("source_title", F.concat(F.lit("Paper "), "source_id"))
+    rows = c.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "source_id", "source_title", "text"))).alias("found"))
+    return rows.select("source_id", F.md5(T.writer_context(F.col("found"))).alias("writer_md5"), F.md5(T.judge_context(F.col("found"))).alias("judge_md5"))
+
+
+def kg_nodes(spark, sf_dir):
+    p, _, e = _graph(spark, sf_dir)
+    return graph.nodes(p, e)
+
+
 REPLIES = ['{"faithful": true, "issues": "", "sufficient_context": true}', '```json\n{"faithful": false, "issues": "x"}\n```', 'Verdict: {"faithful": true} as asked', "The draft looks fine.", "[true]", '{"issues": "none"}', '{"faithful": "true"}', '{"faithful": true, "sufficient_context": "no"}']
 ERRORS = ["connection reset", '429 retryDelay: "7s"', "RESOURCE_EXHAUSTED PerDay", '429 retryDelay: "200s"', "429 slow down"]
 
@@ -229,7 +270,7 @@ def agent_loop(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [chunk_stats, chunk_payload, keyword_counts, published_year, hashed_embedding, vector_topk, vector_topk_embeddings, filtered_vector_topk, keyword_overlap, doc_frequency, tfidf_concepts, kg_edges, kg_nodes_stats, related_papers, keyword_recall, retrieval_sweep, best_strategy, citation_validity, extract_citations, has_citations, structural_check, judge_parse, retry_decision, message_text, agent_eval_summary, agent_loop]
+    named = [chunk_stats, chunk_payload, keyword_counts, published_year, hashed_embedding, vector_topk, vector_topk_embeddings, filtered_vector_topk, keyword_overlap, doc_frequency, tfidf_concepts, kg_edges, kg_nodes_stats, related_papers, keyword_recall, retrieval_sweep, best_strategy, citation_validity, extract_citations, has_citations, structural_check, judge_parse, retry_decision, message_text, agent_eval_summary, agent_loop, eval_slice, critic_route, quota_cut, contexts, kg_nodes]
     out = {f.__name__: f for f in named}
     out |= {"chunk_windows": _windows(800, 120), "chunk_windows_200": _windows(200, 30)}
     out |= {"hybrid_vector_only": _hybrid(0.0), "hybrid_light": _hybrid(0.15), "hybrid_search": _hybrid(0.3), "hybrid_heavy": _hybrid(0.5)}

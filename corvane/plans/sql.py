@@ -113,7 +113,7 @@ SWEEP = with_(
     EDGES,
     *[part for s, w, g in STRATEGIES for part in (expanded(s, w, g), recall(f"{s}_recall", s))],
     "records AS (" + " UNION ALL ".join(f"SELECT '{s}' AS strategy, {k}::bigint AS ordinal, recall, n_papers FROM {s}_recall" for k, (s, _, _) in enumerate(STRATEGIES)) + ")",
-    "summary AS (SELECT strategy, ordinal, round(avg(recall), 4) AS mean_recall, count(*) FILTER (recall = 1.0)::bigint AS perfect, round(avg(n_papers), 2) AS mean_papers FROM records GROUP BY ALL)",
+    "summary AS (SELECT strategy, ordinal, ((20000 * sum(round(recall * 60)::bigint) + 60 * count(*)) // (120 * count(*)))::double / 10000 AS mean_recall, count(*) FILTER (recall = 1.0)::bigint AS perfect, ((200 * sum(n_papers) + count(*)) // (2 * count(*)))::double / 100 AS mean_papers FROM records GROUP BY ALL)",
     "FROM summary",
 )
 _ANSWERS = r"""answers AS (SELECT conv_id, turn, text || ' [arxiv:' || (conv_id % 7)::varchar || '] and [arxiv:' || (turn % 3)::varchar || ']' AS draft FROM conversations WHERE role = 'assistant')"""
@@ -121,7 +121,19 @@ _CITED = r"list_sort(list_distinct(regexp_extract_all(draft, '\[arxiv:([^\]]+)\]
 _REPLIES = """replies AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN '{"faithful": true, "issues": "", "sufficient_context": true}' WHEN 1 THEN '```json' || chr(10) || '{"faithful": false, "issues": "x"}' || chr(10) || '```' WHEN 2 THEN 'Verdict: {"faithful": true} as asked' WHEN 3 THEN 'The draft looks fine.' WHEN 4 THEN '[true]' WHEN 5 THEN '{"issues": "none"}' WHEN 6 THEN '{"faithful": "true"}' ELSE '{"faithful": true, "sufficient_context": "no"}' END AS raw FROM labels)"""
 _ERRORS = """errors AS (SELECT doc_id, (doc_id % 4)::bigint AS attempt, CASE doc_id % 5 WHEN 0 THEN 'connection reset' WHEN 1 THEN '429 retryDelay: "7s"' WHEN 2 THEN 'RESOURCE_EXHAUSTED PerDay' WHEN 3 THEN '429 retryDelay: "200s"' ELSE '429 slow down' END AS error FROM labels)"""
 
+_ROUTED = f"""c AS (SELECT conv_id, turn, {_CITED} AS cited, conv_id % 3 AS n, CASE conv_id % 8 WHEN 0 THEN '{{"faithful": true, "issues": "", "sufficient_context": true}}' WHEN 1 THEN '{{"faithful": false, "issues": "x"}}' WHEN 2 THEN '{{"faithful": true}}' WHEN 3 THEN 'x' WHEN 4 THEN '[true]' WHEN 5 THEN '{{"issues": "none"}}' WHEN 6 THEN '{{"faithful": "true"}}' ELSE '{{"faithful": true, "sufficient_context": "no"}}' END AS raw
+  FROM (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'no source' ELSE draft END AS draft FROM answers)),
+j AS (SELECT *, coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END, '$.faithful') = 'BOOLEAN' AND coalesce(json_type(CASE WHEN json_valid(raw) THEN raw END, '$.sufficient_context') = 'BOOLEAN', true), false) AS valid, coalesce(json_extract(CASE WHEN json_valid(raw) THEN raw END, '$.faithful') = 'true', false) AS faithful FROM c),
+v AS (SELECT *, CASE WHEN len(cited) = 0 THEN 'needs_retrieval' WHEN len(list_filter(cited, lambda x: NOT list_contains(['0', '1', '2', '3'], x))) > 0 THEN 'needs_rewrite' WHEN valid AND faithful THEN 'approved' ELSE 'needs_rewrite' END AS first FROM j),
+r AS (SELECT *, CASE WHEN first <> 'approved' AND n >= 2 THEN 'unverified' ELSE first END AS verdict FROM v)"""
+_CONTEXT = """f AS (SELECT source_id, chunk_index, text FROM chunks WHERE chunk_index < 3)"""
+
 SQL = {
+    "eval_slice": "SELECT item_id AS qid, length(text)::bigint AS n_chars FROM benchmark ORDER BY item_id LIMIT 10 OFFSET 5",
+    "critic_route": with_(_ANSWERS, _ROUTED, "SELECT conv_id, turn, verdict, (n + (verdict IN ('needs_retrieval', 'needs_rewrite'))::bigint)::bigint AS retries, CASE WHEN verdict IN ('approved', 'unverified') THEN 'end' WHEN verdict = 'needs_retrieval' THEN 'retriever' ELSE 'synthesis' END AS route FROM r"),
+    "quota_cut": "WITH r AS (SELECT (doc_id % 3)::bigint AS ordinal, doc_id AS question_no, doc_id % 3 = 1 AND doc_id > 500 AS failed FROM labels), s AS (SELECT min(question_no) AS q FROM r WHERE failed) SELECT ordinal, question_no, ordinal::varchar AS strategy, q IS NOT NULL AS stopped_early FROM r, s WHERE q IS NULL OR ordinal < 1 OR (ordinal = 1 AND question_no < q)",
+    "contexts": with_(chunks(), _CONTEXT, """SELECT source_id, md5(string_agg('[arxiv:' || source_id || '] "Paper ' || source_id || '" (chunk ' || chunk_index::varchar || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index)) AS writer_md5, md5(string_agg('[arxiv:' || source_id || '] ' || text, chr(10) || chr(10) ORDER BY chunk_index)) AS judge_md5 FROM f GROUP BY source_id"""),
+    "kg_nodes": with_(EDGES, "SELECT source_id AS id, 'paper' AS type FROM papers UNION SELECT dst, split_part(dst, ':', 1) FROM edges"),
     "chunk_windows": with_(chunks(), "SELECT source_id, chunk_index, md5(text) AS text_md5, length(text)::bigint AS n_chars FROM chunks"),
     "chunk_windows_200": with_(chunks(200, 30), "SELECT source_id, chunk_index, md5(text) AS text_md5, length(text)::bigint AS n_chars FROM chunks"),
     "chunk_stats": with_(chunks(), "SELECT count(*) AS n_chunks, quantile_cont(length(text), 0.5)::double AS median_chars, round(avg(least(500, length(text)) / length(text)::double), 6) AS shown_share FROM chunks"),

@@ -62,7 +62,7 @@ def test_agent_loop(spark):
     assert calls(got[1]) == ("approved", 1, 1, 2, 1)
     assert calls(got[2]) == ("unverified", 2, 3, 3, 0)
     assert calls(got[3]) == ("unverified", 2, 1, 3, 3)
-    assert "Last issue: unsupported" in got[3].answer
+    assert "Reason: unsupported" in got[3].answer
 
 
 def test_graph(spark):
@@ -76,9 +76,12 @@ def test_graph(spark):
 
 def test_index_is_idempotent(spark, tmp_path):
     c = spark.createDataFrame([("a", 0, "x"), ("b", 0, "y")], "source_id string, chunk_index long, text string")
-    for _ in range(2):
-        store.upsert_chunks(c, str(tmp_path / "index"))
-    assert spark.read.parquet(str(tmp_path / "index")).count() == 2
+    path = str(tmp_path / "index")
+    assert [store.upsert_chunks(c, path) for _ in range(3)] == [2, 2, 2]
+    assert store.read_index(spark, path).count() == 2 and len(store._versions(spark, path)) == 2
+    (tmp_path / "index" / "v000000000009").mkdir()  # a version whose writer was lost
+    store.upsert_chunks(c.limit(1).withColumn("text", F.lit("new")), path)
+    assert sorted(r.text for r in store.read_index(spark, path).collect()) == ["new", "y"]
 
 
 def test_every_sql_has_a_query():
