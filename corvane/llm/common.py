@@ -201,6 +201,16 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow for columns of any name, dots included; the worker's memory is given back at the end."""
+    names = df.columns
+
+    def named(batches):
+        return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(released(named), schema)
+
+
 def quoted(name: str) -> str:
     """A column's name as Spark resolves it literally, dots included."""
     return "`" + name.replace("`", "``") + "`"
@@ -241,7 +251,7 @@ def append(df: DataFrame, text: str, make: Callable[[], Callable], fields: list[
                 yield pa.RecordBatch.from_arrays([piece.column(i) for i in kept] + step(piece), names=out)
         getattr(step, "close", int)()
 
-    return df.mapInArrow(released(run), schema)
+    return map_arrow(df, run, schema)
 
 
 def explode(df: DataFrame, text: str, make: Callable[[], Callable], schema: T.StructType, limit: int = SLICE_BYTES) -> DataFrame:
@@ -255,7 +265,7 @@ def explode(df: DataFrame, text: str, make: Callable[[], Callable], schema: T.St
                 if (arrays := step(piece)) is not None:
                     yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return df.mapInArrow(released(run), schema)
+    return map_arrow(df, run, schema)
 
 
 def schema(spec: str) -> T.StructType:
