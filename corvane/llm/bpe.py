@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from corvane.llm.common import append, released
+from corvane.llm.common import append, map_arrow
 
 #: Resolved pre-tokens that a worker remembers in each of two generations.
 REMEMBERED = 150_000
@@ -204,4 +204,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "token_ids", out:
                 decoded = pa.array([b"".join(islice(pieces, n)) for n in counts[start:stop].tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([piece.column(i) for i in kept] + [decoded], names=result.names)
 
-    return df.mapInArrow(released(run), result)
+    return map_arrow(df, run, result)

@@ -155,6 +155,8 @@ def _pieces(text: str, size: int):
     at = 0
     while len(text) - at > size:
         found = _WHITE.search(text, at + size, at + 2 * size)
+        if not found and len(text) - at <= 2 * size:
+            break
         stop = found.start() if found else at + size
         yield text[at:stop]
         at = stop

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import Filter, Words, as_bytes, drop_stored, others, quoted, released, schema, settle, slices, stored
+from corvane.llm.common import Filter, Words, as_bytes, drop_stored, map_arrow, others, quoted, released, schema, settle, slices, stored
 
 DEPTH, LEAST_COUNT, LEAST_GAIN, DISCOUNT = 3, 3, 2.0, 0.6
 FREQUENT, CACHED = 500_000, 500_000
@@ -401,7 +401,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
                 arrays = [lists(hashes[rare[begin]].view(np.int64), of, texts), lists(times, of, texts), packed]
                 yield pa.RecordBatch.from_arrays([piece.column(i) for i in range(len(kept))] + [pa.array(x) for x in sums] + arrays, names=out.names)
 
-    scored = stored(source.mapInArrow(released(run), out).withColumn("__row", F.monotonically_increasing_id()))
+    scored = stored(map_arrow(source, run, out).withColumn("__row", F.monotonically_increasing_id()))
     rare = scored.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("x")).select("__row", F.col("x.__rare").alias("key"), F.col("x.__times").alias("t"))
     counted = rare.join(words, "key", "left").select("__row", "t", F.coalesce("n", F.lit(0)).alias("n"))
     sums = counted.groupBy("__row").agg(F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("__more"), F.sum(F.col("t") * F.log10((F.col("n") + 1) / F.lit(divisor))).alias("__rest"))
