@@ -20,8 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table below this size, in bytes, is dealt to all cores: it may lie in a single row group, which one task would read.
+SMALL_TABLE = 1 << 30
+
+
+def texts(spark, sf_dir) -> DataFrame:
+    df = table(spark, sf_dir, "documents")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
+
+
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text")
+    return texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), "text")
 
 
 def _questions(spark, sf_dir) -> DataFrame:
@@ -40,7 +50,7 @@ def _scored(spark, sf_dir):
 
 
 def _graph(spark, sf_dir):
-    p = chunking.papers(table(spark, sf_dir, "documents"))
+    p = chunking.papers(texts(spark, sf_dir))
     found = graph.concepts(p)
     return p, found, graph.edges(p, found)
 
@@ -58,11 +68,11 @@ def chunk_stats(spark, sf_dir):
 
 
 def chunk_payload(spark, sf_dir):
-    return chunking.payload(chunking.chunks(documents(spark, sf_dir)), chunking.papers(table(spark, sf_dir, "documents")))
+    return chunking.payload(chunking.chunks(documents(spark, sf_dir)), chunking.papers(texts(spark, sf_dir)))
 
 
 def keyword_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.keywords("text")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, sf_dir).select("doc_id", F.explode(T.keywords("text")).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def published_year(spark, sf_dir):
@@ -103,7 +113,7 @@ def _hybrid(weight: float):
 
 
 def doc_frequency(spark, sf_dir):
-    p = chunking.papers(table(spark, sf_dir, "documents"))
+    p = chunking.papers(texts(spark, sf_dir))
     return graph.document_frequency(graph.gram_counts(p), p.agg(F.count(F.lit(1)).alias("n_docs"))).select("term", "df")
 
 
