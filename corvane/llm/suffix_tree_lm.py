@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from corvane.llm.common import Filter, Words, as_bytes, drop_stored, map_arrow, others, quoted, released, schema, settle, slices, stored
 
 DEPTH, LEAST_COUNT, LEAST_GAIN, DISCOUNT = 3, 3, 2.0, 0.6
-FREQUENT, CACHED = 500_000, 500_000
+FREQUENT, CACHED = 500_000, 1_000_000
 #: Stand for the end and the start in place of a word's hash.
 END_TOKEN, START_TOKEN = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
 #: Sums that a worker holds, bytes of text at once, n-grams that a part of a table of counts has about.
@@ -208,7 +208,8 @@ def _gram_counts(docs: DataFrame, shorter: Filter, size: int, tokens: int, least
     def merge(batches):
         last, held = None, []
         for batch in batches:
-            for part, n, raw in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+            for part, n, raw in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), batch.column("grams"), strict=True):
+                raw = raw.as_py()
                 if part != last and held:
                     yield total(held)
                     held = []
@@ -324,11 +325,13 @@ def _sums_of_values(wanted: DataFrame, tree: DataFrame) -> DataFrame:
         part = None
         held, keys, values = [], np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
-            for now, side, k, v in zip(*(batch.column(c).to_pylist() for c in spec.names), strict=True):
+            parts, sides = batch.column("part").to_pylist(), batch.column("side").to_pylist()
+            for now, side, k, v in zip(parts, sides, batch.column("keys"), batch.column("beside"), strict=True):
+                k, v = k.as_buffer(), v.as_buffer()  # no copies of the packed arrays
                 if now != part:
                     part, held, keys, values = now, [], np.zeros(0, np.uint64), np.zeros(0)
                 if side == 0:
-                    held.append((np.frombuffer(k, np.uint64), np.frombuffer(v, np.float64)))
+                    held.append((np.array(np.frombuffer(k, np.uint64)), np.array(np.frombuffer(v, np.float64))))
                     continue
                 if held:
                     keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -404,8 +407,8 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     scored = stored(map_arrow(source, run, out).withColumn("__row", F.monotonically_increasing_id()))
     rare = scored.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("x")).select("__row", F.col("x.__rare").alias("key"), F.col("x.__times").alias("t"))
     counted = rare.join(words, "key", "left").select("__row", "t", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = counted.groupBy("__row").agg(F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("__more"), F.sum(F.col("t") * F.log10((F.col("n") + 1) / F.lit(divisor))).alias("__rest"))
-    gains = _sums_of_values(scored.select(F.col("__row").alias("row"), F.col("__grams").alias("grams")), joins).toDF("__row", "__other")
+    sums = stored(counted.groupBy("__row").agg(F.sum(F.when(F.col("n") > 0, F.col("t")).otherwise(0)).alias("__more"), F.sum(F.col("t") * F.log10((F.col("n") + 1) / F.lit(divisor))).alias("__rest")))
+    gains = stored(_sums_of_values(scored.select(F.col("__row").alias("row"), F.col("__grams").alias("grams")), joins).toDF("__row", "__other"))
     joined_all = scored.drop("__rare", "__times", "__grams").join(sums, "__row", "left").join(gains, "__row", "left")
     base = F.col("__base") + F.coalesce("__rest", F.lit(0.0))
     return joined_all.select(*kept, F.col("__n_tokens").alias("n_tokens"), (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("__gain") + F.coalesce("__other", F.lit(0.0))).alias("score"))
