@@ -26,7 +26,7 @@ SMALL_TABLE = 1 << 30
 
 def texts(spark, sf_dir) -> DataFrame:
     df = table(spark, sf_dir, "documents")
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
 
 
