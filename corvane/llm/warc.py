@@ -2,18 +2,24 @@
 
 write() makes one gzip stream over many records, as careless tools do. normalise() inflates such a
 stream once, from front to back in bounded memory, rewrites every record as a gzip member of its own
-and writes a sidecar index (offset, length, type, record id) beside it. read() fetches members by
-their offsets. Files lie in the shared folder, under names of their own for each attempt of a task;
-only files that a task has returned are ever read, so a lost or repeated task leaves no mix.
+and writes a sidecar index (offset, length, type, record id) beside it. read() takes the offsets from the
+sidecar, fetches the members, and measures and hashes the payloads; what disagrees with a head or
+with the index is an error. A revisit has no payload, so its length and digest are those that it states,
+and check_revisits() holds them against those measured in the response that it refers to. Files lie in the shared
+folder, under names of their own for each attempt of a task; only files that a task has returned
+are ever read, so a lost or repeated task leaves no mix.
 
 Duplicates: of records with equal payloads of at least min_bytes, each with the largest page_id (ties: all of
 them) is the response, the others are revisits of it. Null html is an empty payload, null url is
-left out, null page_id is never the largest unless the group has no other. Other columns do not matter.
+left out, null page_id is never the largest unless the group has no other. Repeated rows are records of their own,
+each with its own record id. Very long payloads are written and read one at a time. An empty table gives no archive
+and no rows. Other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import uuid
 import zlib
@@ -23,8 +29,9 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from corvane.llm.common import schema, shared_dir, slices
+from corvane.llm.common import quoted, schema, scratch, slices, stored
 
 #: Bytes of records in one archive.
 ARCHIVE_BYTES = 256 << 20
@@ -33,27 +40,33 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def mark_duplicates(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, sha1 and refers_to (the response's page_id; null for responses)."""
-    payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
-    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(groups, "sha1", "left").select("page_id", "url", "payload", "sha1", F.expr("case when not (page_id <=> last) and last is not null then last end").alias("refers_to"))
+    """page_id, url, payload, sha1, row (a number of its own), refers_to and refers_row (the response's page_id and row; null for responses).
 
+    pages is a table, read alike each time. Payloads are equal if SHA-1 and another hash are.
+    """
+    payload = F.coalesce(F.col(quoted(html)).cast("binary"), F.lit(b""))
+    rows = pages.select(F.col(quoted(page_id)).cast("long").alias("page_id"), F.col(quoted(url)).cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "beside": F.xxhash64("payload")})
+    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1", "beside").agg(F.max("page_id").alias("last"), F.max_by("row", "page_id").alias("last_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    marked = rows.join(groups, ["sha1", "beside"], "left")
+    return marked.select("page_id", "url", "payload", "sha1", "row", F.when(revisit, F.col("last")).alias("refers_to"), F.when(revisit, F.col("last_row")).alias("refers_row"))
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
 
+def record_id(page_id: int | None, row: int) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{row}>"
 
-def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, date: str) -> bytes:
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, row: int, refers_to: int | None, refers_row: int | None, date: str) -> bytes:
     """One record; a revisit has the HTTP head alone, whose Content-Length is that of the full payload."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     body = head + payload if refers_to is None else head
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", date)]
+    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(page_id, row)), ("WARC-Date", date)]
     if url is not None:
         fields.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     fields.append(("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(sha1)).decode()))
     if refers_to is not None:
-        fields += [("WARC-Refers-To", record_id(refers_to)), ("WARC-Profile", PROFILE)]
+        fields += [("WARC-Refers-To", record_id(refers_to, refers_row)), ("WARC-Profile", PROFILE)]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + body + b"\r\n\r\n"
 
@@ -132,7 +145,7 @@ def write(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", arch
                     if out is None:
                         path = f"{base}/{uuid.uuid4().hex}.warc.gz"
                         out, deflate, size = files.open_output_stream(path, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31), 0
-                    raw = record(r["page_id"], r["url"], r["payload"], r["sha1"], r["refers_to"], date)
+                    raw = record(**r, date=date)
                     out.write(deflate.compress(raw))
                     size += len(raw)
                     if size >= archive_bytes:
@@ -145,82 +158,111 @@ def write(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", arch
 
 
 def normalise(paths: DataFrame, folder: str, level: int = 4, keep: bool = False) -> DataFrame:
-    """Rewrite each archive with a member for every record, beside a sidecar index, whose rows are returned."""
-    names = ["path", "offset", "length", "type", "record_id"]
+    """Rewrite each archive with a member for every record, beside a sidecar index; returns the path of each new archive and its number of records."""
 
     def run(batches):
         files, base = _open(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 target = f"{base}/{uuid.uuid4().hex}.members.warc.gz"
-                index, at = [], 0
-                with files.open_input_stream(path, compression=None) as source, files.open_output_stream(target, compression=None) as out:
+                n = at = 0
+                with files.open_input_stream(path, compression=None) as source, files.open_output_stream(target, compression=None) as out, files.open_output_stream(target + ".idx", compression=None) as side:
                     for fields, raw in records(source):
                         deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = deflate.compress(raw) + deflate.flush()
                         out.write(member)
-                        index.append((target, at, len(member), fields["warc-type"], fields["warc-record-id"]))
+                        side.write(f"{at}\t{len(member)}\t{fields['warc-type']}\t{fields['warc-record-id']}\n".encode())
                         at += len(member)
-                with files.open_output_stream(target + ".idx", compression=None) as side:
-                    side.write("".join(f"{o}\t{n}\t{t}\t{i}\n" for _, o, n, t, i in index).encode())
+                        n += 1
                 if not keep:
                     files.delete_file(path)
-                if index:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*index, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return paths.mapInArrow(run, schema("path string, offset long, length long, type string, record_id string"))
+    return paths.mapInArrow(run, schema("path string, records long"))
 
 
-def read_index(files: pafs.FileSystem, path: str) -> list[tuple[int, int, str, str]]:
-    """The sidecar index of an archive."""
+def read_index(files: pafs.FileSystem, path: str) -> Iterator[tuple[int, int, str, str]]:
+    """Offset, length, type and record id of each record of an archive, from its sidecar index."""
     with files.open_input_stream(path + ".idx", compression=None) as f:
-        rows = [x.split("\t") for x in f.read().decode().splitlines()]
-    return [(int(o), int(n), t, i) for o, n, t, i in rows]
-
-
-def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
-    """The records at the index's offsets: page_id, url, record_type, payload_bytes, payload_digest, refers_to and, if asked for, payload."""
-    out = schema("page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payload)
-    number = re.compile(r"<urn:page:(-?\d+)>")
+        left = b""
+        while raw := f.read(CHUNK):
+            *lines, left = (left + raw).split(b"\n")
+            for line in lines:
+                offset, length, kind, name = line.decode().split("\t")
+                yield int(offset), int(length), kind, name
+
+
+def parse_record(raw: bytes, kind: str, name: str) -> tuple[dict[str, str], int, str, bytes]:
+    """Head fields, payload length, payload digest and payload of a record, which the index says is of this type and id.
+
+    Length and digest of a response are measured in its payload; those of a revisit are what it states.
+    """
+    end = raw.index(b"\r\n\r\n")
+    fields = parse_head(raw[:end])
+    block = raw[end + 4 : -4]
+    if (fields["warc-type"], fields["warc-record-id"]) != (kind, name) or int(fields["content-length"]) != len(block):
+        raise ValueError(f"the index does not fit the record {fields['warc-record-id']}")
+    cut = block.index(b"\r\n\r\n") + 4
+    size, digest = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", block[:cut])[1]), fields["warc-payload-digest"].removeprefix("sha1:")
+    payload = block[cut:]
+    if kind == "response":
+        measured = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if measured != (size, digest):
+            raise ValueError(f"the payload of {name} is damaged")
+    return fields, size, digest, payload
+
+
+def read(archives: DataFrame, folder: str, payload: bool = True) -> DataFrame:
+    """The records of archives (path), found by their sidecars: record_id, page_id, url, record_type, payload_bytes, payload_digest, refers_id, refers_to and, if asked for, payload."""
+    spec = "record_id string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_id string, refers_to long"
+    out = schema(spec + ", payload binary" * payload)
+    arrow = to_arrow_schema(out)
+    number = re.compile(r"<urn:page:(-?\d+):\d+>")
+
+    def page_of(name):
+        found = number.fullmatch(name or "")
+        return found and int(found[1])
+
+    def rows_of(files, path):
+        with files.open_input_file(path) as source:
+            for offset, length, kind, name in read_index(files, path):
+                source.seek(offset)
+                fields, size, digest, content = parse_record(zlib.decompress(source.read(length), 31), kind, name)
+                of = fields.get("warc-refers-to")
+                yield (name, page_of(name), fields.get("warc-target-uri"), kind, size, digest, of, page_of(of)) + (content,) * payload
 
     def run(batches):
         files, _ = _open(folder)
-        name = source = None
         for batch in batches:
-            rows, held = [], 0
-            for path, offset, length in zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
-                if path != name:
-                    if source is not None:
-                        source.close()
-                    name, source = path, files.open_input_file(path)
-                source.seek(offset)
-                raw = zlib.decompress(source.read(length), 31)
-                end = raw.index(b"\r\n\r\n")
-                f = parse_head(raw[:end])
-                block = raw[end + 4 : end + 4 + int(f["content-length"])]
-                cut = block.index(b"\r\n\r\n") + 4
-                full = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", block[:cut])[1])
-                page, of = number.fullmatch(f["warc-record-id"]), number.fullmatch(f.get("warc-refers-to", ""))
-                row = [page and int(page[1]), f.get("warc-target-uri"), f["warc-type"], full, f["warc-payload-digest"].removeprefix("sha1:"), of and int(of[1])]
-                rows.append(row + [block[cut:]] * payload)
-                held += len(raw) * payload
-                if len(rows) >= 5_000 or held >= 8 << 20:
-                    yield pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in rows], schema=arrow)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in rows], schema=arrow)
-        if source is not None:
-            source.close()
-
-    arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload)
-    return index.mapInArrow(run, out)
-
-
-def archive_folder(pages: DataFrame) -> str:
-    return f"{shared_dir(pages.sparkSession)}/corvane-warc-{uuid.uuid4().hex}"
+            for path in batch.column("path").to_pylist():
+                rows, held = [], 0
+                for row in rows_of(files, path):
+                    rows.append(row)
+                    held += len(row[-1]) if payload else 0
+                    if len(rows) >= 5_000 or held >= 8 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    return archives.select("path").mapInArrow(run, out)
+
+
+def check_revisits(rows: DataFrame) -> None:
+    """An error unless each revisit of rows states the length and digest that were measured in the response that it refers to."""
+    stated = rows.where("record_type = 'revisit'").groupBy("refers_id", "payload_bytes", "payload_digest").count().drop("count")
+    found = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), "payload_bytes", "payload_digest")
+    for r in stated.join(found, ["refers_id", "payload_bytes", "payload_digest"], "left_anti").limit(1).collect():
+        raise ValueError(f"no response {r.refers_id} of {r.payload_bytes} bytes and digest {r.payload_digest}")
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, payload: bool = False, **columns) -> DataFrame:
-    """Write pages as archives, normalise them and read every record back, in one pass."""
-    folder = folder or archive_folder(pages)
-    return read(normalise(write(mark_duplicates(pages, **columns), folder), folder), folder, payload)
+    """Write pages as archives, normalise them, read every record back and check the revisits. Without a folder of their own the archives go afterwards."""
+    own = folder is None
+    folder = scratch(pages.sparkSession, "warc") if own else folder
+    rows = stored(read(normalise(write(mark_duplicates(pages, **columns), folder), folder), folder, payload))
+    check_revisits(rows)
+    if own:
+        target = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    return rows

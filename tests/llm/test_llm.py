@@ -1,8 +1,10 @@
 """The text operators on small fixtures, against brute force."""
 
 import base64
+import gzip
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -189,9 +191,40 @@ def test_archives(spark, tmp_path):
         last = best.get(html or "", page)
         want.append((str(page), "response" if last == page else "revisit", len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), None if last == page else last))
     assert by == sorted(want, key=lambda x: x[:4])
+    assert len({r.record_id for r in got}) == len(rows)
+    ids = {r.record_id: r.page_id for r in got if r.record_type == "response"}
+    assert all(ids[r.refers_id] == r.refers_to for r in got if r.record_type == "revisit")
     assert warc.round_trip(pages.limit(0), folder).count() == 0
 
 
+def test_damaged_archives(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    pages = spark.createDataFrame([(1, "u", "one page"), (2, "u", "another"), (3, "u", "another")], "page_id long, url string, html string")
+    archives = warc.normalise(warc.write(warc.mark_duplicates(pages).coalesce(1), folder), folder).collect()
+    assert sum(r.records for r in archives) == 3
+    path = archives[0].path
+    table = spark.createDataFrame(archives)
+    rows = warc.read(table, folder)
+    warc.check_revisits(rows)
+    with pytest.raises(ValueError):
+        warc.check_revisits(rows.where("page_id <> 3"))
+    with open(path, "rb") as f:
+        whole = f.read()
+    side = open(path + ".idx").read()
+    raw = gzip.decompress(whole)
+    # another payload of the same length, and an index that tells another record
+    for content, index in [(raw.replace(b"one page", b"one pace"), None), (raw, side.replace("response", "revisit"))]:
+        members = [gzip.compress(x + b"\r\n\r\n") for x in re.split(rb"\r\n\r\n(?=WARC/|$)", content) if x]
+        at = np.cumsum([0] + [len(m) for m in members]).tolist()
+        lines = [x.split("\t") for x in (index or side).splitlines()]
+        with open(path, "wb") as f:
+            f.write(b"".join(members))
+        with open(path + ".idx", "w") as f:
+            f.write("".join(f"{a}\t{len(m)}\t{x[2]}\t{x[3]}\n" for a, m, x in zip(at, members, lines)))
+        with pytest.raises(Exception, match="is damaged|does not fit"):
+            warc.read(table, folder).collect()
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, None), (61, [float("nan")] * 8), (62, [None, 1.0]), (63, [0.5]), (100, [0.25] * 8), (100, [0.25] * 8), (None, [1.0] * 8)]
