@@ -8,6 +8,7 @@ from corvane.operators import agent, chunking, evaluation, graph, retrieval
 from corvane.plans import queries as plans
 from corvane.plans import sql
 from corvane.sources import store
+from corvane.streaming import ingest
 
 
 def one(df):
@@ -86,3 +87,16 @@ def test_index_is_idempotent(spark, tmp_path):
 
 def test_every_sql_has_a_query():
     assert set(sql.SQL) <= set(plans.queries())
+
+
+def test_streamed_documents_reach_the_index(spark, tmp_path):
+    source, index, checkpoint = (str(tmp_path / x) for x in ("source", "index", "checkpoint"))
+    schema = "doc_id long, text string"
+    for rows in ([(1, "a b c d e"), (2, None), (3, "x y")], [(3, "z y"), (4, "new")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        ingest.ingest(spark, source, schema, index, checkpoint, 4, 1).awaitTermination()
+    got = {(r.source_id, r.chunk_index): r.text for r in store.read_index(spark, index).collect()}
+    assert got == {("1", 0): "a b c d", ("1", 1): "d e", ("3", 0): "z y", ("4", 0): "new"}
+    again = ingest.ingest(spark, source, schema, index, checkpoint, 4, 1)
+    again.awaitTermination()
+    assert store.read_index(spark, index).count() == 4
