@@ -8,8 +8,10 @@ bounds), and then all words of the window are compared.
 
 Windows that end anywhere in a document count. Null and empty texts have no words and are never hit;
 items without words, or with a null id, take no part; items with the same id are one item. Repeated
-documents are judged alike. The item windows are sent to executors in slices of bounded size; each
-slice is one more step in the same scan, so a larger benchmark costs steps and not memory or shuffles.
+documents are judged alike. Very long texts are taken whole, one at a time. The item windows are sent to executors in slices of bounded size; after each
+slice but the last the documents are written with what was found so far, and its index goes. So a larger benchmark
+costs passes over the documents, and not memory or shuffles. An empty table gives an empty one; columns of docs
+with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import append, as_bytes, explode, schema
+from corvane.llm.common import append, as_bytes, drop_stored, explode, schema, stored
 
 WINDOW = 10
-#: Characters of item text in one slice.
-SLICE_CHARS = 8 << 20
+#: Bytes of item text in one slice; the index of one has some 75 times as many.
+SLICE_CHARS = 2 << 20
 #: Candidate places compared at once.
 AT_ONCE = 200_000
 
@@ -139,14 +141,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", spans_type), T.StructField("items", T.ArrayType(T.StringType()))]
     sc = docs.sparkSession.sparkContext
     out = docs.drop("n_words", "hit_spans", "items")
-    first = True
+    shipped = before = None
     for part in _item_slices(items, item_id, item_text, slice_chars):
+        if shipped is not None:
+            done = stored(out)
+            shipped.destroy()
+            if before is not None:
+                drop_stored(before)
+            out = before = done
         found = Windows(part, window)
-        counts = _word_counts(docs, text, sc.broadcast(found.vocabulary))
-        found.index(counts)
-        out = append(out, text, _step(text, sc.broadcast(found), first), fields)
-        first = False
-    if first:
+        vocabulary = sc.broadcast(found.vocabulary)
+        found.index(_word_counts(docs, text, vocabulary))
+        vocabulary.destroy()
+        first, shipped = shipped is None, sc.broadcast(found)
+        out = append(out, text, _step(text, shipped, first), fields)
+    if shipped is None:
         out = append(out, text, _step(text, sc.broadcast(None), True), fields)
     return out
 
