@@ -274,3 +274,9 @@ def test_empty_tables(docs):
     assert substring_dedup.remove_repeats(none).count() == 0
     assert line_dedup.drop_lines(none, line_dedup.keep_bitmaps(none)).count() == 0
     assert topk.top_k(none.selectExpr("doc_id as vec_id", "array(1.0D) as embedding"), none.selectExpr("doc_id as vec_id", "array(1.0D) as embedding")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [0, 50, 101])
+def test_thresholds_without_keys(docs, percent):
+    with pytest.raises(ValueError, match="percent"):
+        jaccard_join.join_documents(docs, percent=percent)
