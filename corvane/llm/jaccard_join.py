@@ -9,8 +9,8 @@ pairs in proportion to n. f shared frequent shingles show as f - g shared pairs
 two sets that link have SHARED keys in common (or all but one that the threshold asks for, if fewer).
 
 Classes that share index keys are candidates, after a bound on their sizes. They are verified on
-their whole sets in two rounds: neighbours in each key's list, and every entry of a list with the one that shares
-the largest part of its keys; then, against the components so far, every pair that still spans two of them.
+their whole sets in two rounds: neighbours in each key's list, and every entry of a list with those that share
+the largest part of their keys, one of each size; then, against the components so far, every pair that still spans two of them.
 Pairs within one component could not change it; no other pair is left out.
 
 Edited copies of one text share most of their keys whether they link or not. So classes that share many keys with the same
@@ -294,26 +294,41 @@ def _neighbours(batches, percent: int):
 
 
 def _stars(batches, percent: int):
-    """Pairs of each entry (b) with the first of its list (a), where they fit in size."""
+    """Pairs of each list's leaders (a) with later entries (b) that fit in size. An entry that fits with no leader before it is one.
+
+    Leaders do not fit with each other. So an entry has a few at most, and a first entry of another size leaves none without.
+    """
     pairs = _Pairs(directed=True)
-    hub = None
+    leaders = None
     for whole in batches:
         for cut in range(0, whole.num_rows, 200_000):
             batch = whole.slice(cut, 200_000)
             columns = [np.asarray(batch.column(c)) for c in ("key", "doc", "n")]
-            if hub is not None:
-                columns = [np.concatenate([[x], y]) for x, y in zip(hub, columns, strict=True)]
+            if leaders is not None:
+                columns = [np.concatenate(x) for x in zip(leaders, columns, strict=True)]
             key, doc, n = columns
             if not len(key):
                 continue
+            place = np.arange(len(key))
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            first = np.repeat(begin, np.diff(np.append(begin, len(key))))
-            most = np.maximum(n, n[first])
-            fits = (doc != doc[first]) & (100 * np.minimum(n, n[first]) >= percent * most)
-            full = pairs.add(doc[first][fits], doc[fits], most[fits], key[fits])
-            hub = [c[begin[-1]] for c in columns]
-            if full:
-                yield pairs.take()
+            of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
+            led, last = np.zeros(len(key), bool), []
+            while not led.all():
+                lists, at = np.unique(of[~led], return_index=True)
+                leader = np.full(len(begin), len(key))
+                leader[lists] = place[~led][at]
+                led[leader[lists]] = True
+                if lists[-1] == len(begin) - 1:
+                    last.append(leader[-1])
+                later = np.flatnonzero(place > leader[of])
+                first = leader[of[later]]
+                most = np.maximum(n[later], n[first])
+                fits = 100 * np.minimum(n[later], n[first]) >= percent * most
+                led[later[fits]] = True
+                fits &= doc[later] != doc[first]
+                if pairs.add(doc[first[fits]], doc[later[fits]], most[fits], key[later[fits]]):
+                    yield pairs.take()
+            leaders = [c[last] for c in columns]
     if pairs.size:
         yield pairs.take()
 

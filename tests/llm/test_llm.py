@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,52 @@ def test_components_of_edited_copies(spark, seed):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, want, strict=True))}
 
 
+def test_leaders_of_each_size():
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(40), rng.choice([20, 24, 30, 31, 50, 200])) for k in range(12) for _ in range(rng.randrange(1, 25))]
+    want = {}
+    for k in range(12):
+        leaders = []
+        for _, doc, n in (r for r in rows if r[0] == k):
+            fitting = [(d, m) for d, m in leaders if 100 * min(n, m) >= 80 * max(n, m)]
+            for d, _ in fitting:
+                if d != doc:
+                    want[d, doc] = want.get((d, doc), 0) + 1
+            leaders += [] if fitting else [(doc, n)]
+        assert len(leaders) <= 4
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["key", "doc", "n"])
+    for step in (7, len(rows)):  # lists that cross batches have the same leaders
+        got = {}
+        for out in jaccard_join._stars((batch.slice(i, step) for i in range(0, len(rows), step)), 80):
+            for r in out.to_pylist():
+                got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["single"] + r["paired"]
+        assert got == want
+
+
+def test_copies_within_a_longer_text(spark):
+    """A longer text that holds all of a group leaves the group a family, whose pairs are not looked up by key."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    original = [rng.choice(words) for _ in range(70)]
+    texts = [original + [rng.choice(words) for _ in range(40)]]
+    for _ in range(80):
+        text = list(original)
+        for at in rng.sample(range(len(text)), 2):
+            text[at] = rng.choice(words)
+        texts.append(text)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want, before = list(range(len(texts))), None
+    while want != before:
+        before = want[:]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    want[i] = want[j] = min(want[i], want[j])
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_documents(docs, size=5, percent=80).collect()}
+    assert got == dict(enumerate(want))
+
+
 @pytest.mark.parametrize("mode", ["all", "first"])
 def test_lines(docs, mode):
     rows = {(r.doc_id, r.text) for r in docs.collect()}
