@@ -322,8 +322,13 @@ def _sums_of_values(wanted: DataFrame, tree: DataFrame) -> DataFrame:
         return batch_of(np.frombuffer(b"".join(raw for _, raw in held), np.uint64), np.repeat(np.array([row for row, _ in held], np.int64), times), 1)
 
     def look_up(batches):
-        part = None
+        part, sums, size = None, [], 0
         held, keys, values = [], np.zeros(0, np.uint64), np.zeros(0)
+
+        def summed():
+            rows, back = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
+            return rows, np.bincount(back, np.concatenate([x for _, x in sums]), len(rows))
+
         for batch in batches:
             parts, sides = batch.column("part").to_pylist(), batch.column("side").to_pylist()
             for now, side, k, v in zip(parts, sides, batch.column("keys"), batch.column("beside"), strict=True):
@@ -341,7 +346,16 @@ def _sums_of_values(wanted: DataFrame, tree: DataFrame) -> DataFrame:
                 hit = at >= 0
                 if hit.any():
                     rows, back = np.unique(np.frombuffer(v, np.int64)[hit], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(back, values[at[hit]], len(rows)))], names=["row", "value"])
+                    sums.append((rows, np.bincount(back, values[at[hit]], len(rows))))
+                    size += len(rows)
+                if size > 4 * FLUSH:  # one sum of each row for all parts of the task, unless the rows are too many to hold
+                    sums = [summed()]
+                    size = len(sums[0][0])
+                    if size > 2 * FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums[0]], names=["row", "value"])
+                        sums, size = [], 0
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], names=["row", "value"])
 
     both = tree.select("key", "value").mapInArrow(entries, spec).unionByName(wanted.mapInArrow(released(occurrences), spec))
     met = both.repartition("part").sortWithinPartitions("part", "side").mapInArrow(released(look_up), schema("row long, value double"))
