@@ -64,3 +64,64 @@ SELECT doc_id, coalesce(n, 0)::bigint AS n_shingles, min(other)::bigint AS compo
 """
 
 SQL = {"op7_substring_dedup": OP7, "op8_jaccard_join": OP8, "op2_line_dedup": OP2, "op5_warc": OP5, "op9_topk": OP9, "op10_decontaminate": OP10}
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+r AS (SELECT doc_id, t, n, list_transform(range(4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::ubigint) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1))::bigint AS a, greatest(h[1] % (n + 1), h[2] % (n + 1))::bigint AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n::bigint AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+#: Levels of the trees that the SQL goes through: 16 ** 6 documents of a source, 16 ** 5 sources.
+_LEVELS, _TOP_LEVELS = 6, 5
+
+
+def _trees(name: str, levels: int) -> str:
+    """CTEs of the inner nodes of name0 (tree, pos, d), level by level."""
+    one = "(SELECT *, count(*) OVER (PARTITION BY tree) AS nodes FROM {0})"
+    return ",\n".join(f"{name}{k + 1} AS MATERIALIZED (SELECT tree, pos // 16 AS pos, list(d ORDER BY pos) AS kids, sha256(string_agg(d, '' ORDER BY pos)) AS d FROM {one.format(name + str(k))} WHERE nodes > 1 GROUP BY tree, pos // 16)" for k in range(levels))
+
+
+def _walk(name: str, trees: str, start: str, levels: int) -> str:
+    """CTEs that follow (r, tree, pos, f, proof) to the root."""
+    kid = "list_transform(range(len(kids)), lambda i: CASE WHEN i = w.pos % 16 THEN {0} ELSE kids[i + 1] END)"
+    step = lambda before, k: f"SELECT r, w.tree, w.pos // 16 AS pos, CASE WHEN kids IS NULL THEN f ELSE sha256(array_to_string({kid.format('f')}, '')) END AS f, CASE WHEN kids IS NULL THEN proof ELSE proof || array_to_string({kid.format(chr(39) * 2)}, '') END AS proof FROM {before} w LEFT JOIN {trees}{k + 1} t ON w.tree IS NOT DISTINCT FROM t.tree AND w.pos // 16 = t.pos"
+    return ",\n".join(f"{name}{k + 1} AS ({step(start if k == 0 else name + str(k), k)})" for k in range(levels))
+
+
+def _last(name: str, levels: int) -> str:
+    """tree and digest of the last node of each tree."""
+    return " UNION ALL ".join(f"SELECT tree, d FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS nodes FROM {name}{k}) WHERE nodes = 1" for k in range(levels + 1))
+
+
+
+
+def _leaf(text: str) -> str:
+    field = lambda c, v: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}::varchar)::varchar || ':' || {v}::varchar END"
+    return "sha256(" + " || ".join(field(c, c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + field("text", text) + ")"
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::ubigint)), lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: i::ubigint)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::ubigint))), 4294967295::ubigint)"
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS tree, {_leaf('text')} AS d,
+  {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered, coalesce(doc_id::varchar, '') AS s FROM documents),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, d) - 1 AS pos, CASE WHEN {_CRC} % 5 = 0 THEN lowered ELSE d END AS f FROM d),
+s0 AS (SELECT tree, pos, d FROM leaves),
+{_trees('s', _LEVELS)},
+heads AS MATERIALIZED ({_last('s', _LEVELS)}),
+t0 AS (SELECT NULL::varchar AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS pos, d, tree AS source FROM heads),
+{_trees('t', _TOP_LEVELS)},
+top AS ({_last('t', _TOP_LEVELS)}),
+{_walk('w', 's', "(SELECT r, tree, pos, f, '' AS proof FROM leaves)", _LEVELS)},
+over AS (SELECT w.r, NULL::varchar AS tree, t0.pos, w.f, w.proof FROM w{_LEVELS} w JOIN t0 ON w.tree IS NOT DISTINCT FROM t0.source),
+{_walk('v', 't', 'over', _TOP_LEVELS)}
+SELECT l.doc_id, l.d AS leaf, h.d AS subroot, top.d AS root, sha256(v.proof) AS proof_sha256, v.f AS folded_root, v.f = top.d AS verified
+FROM leaves l JOIN v{_TOP_LEVELS} v USING (r) JOIN heads h ON l.tree IS NOT DISTINCT FROM h.tree CROSS JOIN top
+"""
+
+SQL |= {"op11_merkle": OP11, "op13_fill_middle": OP13}

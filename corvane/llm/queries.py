@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, substring_dedup, suffix_tree_lm, topk, warc
+from corvane.llm import bpe, decontaminate, fill_middle, jaccard_join, language_id, line_dedup, merkle, quality, substring_dedup, suffix_tree_lm, topk, warc
 from corvane.llm.common import fold, table
 from corvane.llm.oracles import SQL
 
@@ -82,6 +83,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    first = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(fold("doc_id", 5) == 0, merkle.leaf_digest([*first, lower]))
+    m = merkle.manifest(docs, [*first, F.col("text")], group="source", key="doc_id", keep={"tampered": tampered})
+    shown = merkle.proofs(m, keep=["tampered"]).withColumn("shown", F.coalesce("tampered", "digest"))
+    text = lambda c: F.lower(F.hex(c))
+    root = F.lit(m.root.hex() if m.root else None).cast("string")
+    out = merkle.folded(shown, "shown").select(F.col("key").alias("doc_id"), text("digest").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), F.sha2(text("proof").cast("binary"), 256).alias("proof_sha256"), text("folded_root").alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored()).alias("restored_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +109,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_bpe, op4_suffix_tree_lm, op5_warc, op6_quality, op7_substring_dedup, op8_jaccard_join, op9_topk, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_bpe, op4_suffix_tree_lm, op5_warc, op6_quality, op7_substring_dedup, op8_jaccard_join, op9_topk, op10_decontaminate, op11_merkle, op13_fill_middle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
