@@ -124,4 +124,14 @@ SELECT l.doc_id, l.d AS leaf, h.d AS subroot, top.d AS root, sha256(v.proof) AS
 FROM leaves l JOIN v{_TOP_LEVELS} v USING (r) JOIN heads h ON l.tree IS NOT DISTINCT FROM h.tree CROSS JOIN top
 """
 
-SQL |= {"op11_merkle": OP11, "op13_fill_middle": OP13}
+OP12 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM (SELECT unnest(range(2)) AS i)),
+t AS (SELECT *, sha256(text) AS h, length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|im_start|><|im_end|>') + 2 AS chars FROM c)
+SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, h)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, h) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::bigint AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+SQL |= {"op11_merkle": OP11, "op12_reply_trees": OP12, "op13_fill_middle": OP13}
