@@ -36,8 +36,8 @@ DEPTH, LEAST_COUNT, LEAST_GAIN, DISCOUNT = 3, 3, 2.0, 0.6
 FREQUENT, CACHED = 500_000, 1_000_000
 #: Stand for the end and the start in place of a word's hash.
 END_TOKEN, START_TOKEN = np.uint64(0x5EED0E4D), np.uint64(0x5EED57A7)
-#: Sums that a worker holds, bytes of text at once, n-grams that a part of a table of counts has about.
-FLUSH, TEXT_BYTES, PART_GRAMS = 250_000, 1 << 20, 1 << 19
+#: Sums that a worker holds, bytes of text at once, n-grams that a part of a table of counts has about, and one of the tree (16 bytes each).
+FLUSH, TEXT_BYTES, PART_GRAMS, TREE_PART = 250_000, 1 << 20, 1 << 19, 1 << 21
 
 
 def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,7 +290,7 @@ def _sums_of_values(wanted: DataFrame, tree: DataFrame) -> DataFrame:
 
     Both sides travel as packed arrays in parts by key, so that no row is made for an occurrence.
     """
-    bits = max(1, int(tree.count() // PART_GRAMS).bit_length())
+    bits = max(1, int(tree.count() // TREE_PART).bit_length())
     spec = schema("part long, side int, keys binary, beside binary")
 
     def batch_of(keys, beside, side):
