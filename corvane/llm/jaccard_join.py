@@ -80,9 +80,9 @@ class Ranks:
 
     STEPS = 4
 
-    def __init__(self, table: np.ndarray, mean: float) -> None:
+    def __init__(self, table: np.ndarray, mean: float, frequent: int = FREQUENT) -> None:
         self.table = table
-        self.often = int(self.step(max(FREQUENT, 2 * mean)))
+        self.often = int(self.step(max(frequent, 2 * mean)))
 
     @classmethod
     def step(cls, counts):
@@ -96,7 +96,7 @@ class Ranks:
         return h[np.lexsort((h, self(h)))]
 
 
-def shingle_ranks(docs: DataFrame, size: int) -> Ranks:
+def shingle_ranks(docs: DataFrame, size: int, frequent: int = FREQUENT) -> Ranks:
     """Counts of the shingles of all documents (doc, text), in a table of fixed size."""
     width = np.uint16(BLOCK)
 
@@ -124,7 +124,7 @@ def shingle_ranks(docs: DataFrame, size: int) -> Ranks:
     for r in docs.select("text").mapInArrow(count, schema("block int, counts binary")).repartition("block").mapInArrow(add, schema("block int, steps binary, total long")).collect():  # fixed size
         table[r.block] = np.frombuffer(r.steps, np.uint8)
         total += r.total
-    return Ranks(table.ravel(), total / table.size)
+    return Ranks(table.ravel(), total / table.size, frequent)
 
 
 def needed(n, percent: int):
@@ -335,23 +335,35 @@ def _stars(batches, percent: int):
 
 def _by_list(batches, columns: tuple[str, ...], pick):
     """Pairs that pick(pairs, *columns) yields for each list that holds entries of several components."""
-    pairs = _Pairs()
-    rest = None
+    pairs, held = _Pairs(), []
+    which = columns.index("comp")
+
+    def ended():
+        """The list that is held, in one piece."""
+        found = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        if found[which].min() != found[which].max():
+            yield from pick(pairs, *found)
+
     for whole in batches:
         for cut in range(0, whole.num_rows, 200_000):
             batch = whole.slice(cut, 200_000)
             found = [np.asarray(batch.column(c)) for c in columns]
-            if rest is not None:
-                found = [np.concatenate(x) for x in zip(rest, found, strict=True)]
-            key, comp = found[0], found[columns.index("comp")]
+            key, comp = found[0], found[which]
+            if held and held[-1][0][-1] != key[0]:
+                yield from ended()
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(begin[1:], len(key))
+            if held and len(begin) > 1:  # the list that is held ends in this batch
+                held.append([c[: ends[0]] for c in found])
+                yield from ended()
+                begin, ends = begin[1:], ends[1:]
             mixed = np.minimum.reduceat(comp, begin) != np.maximum.reduceat(comp, begin)
             for k in np.flatnonzero(mixed[:-1]):
                 yield from pick(pairs, *(c[begin[k] : ends[k]] for c in found))
-            rest = [c[begin[-1] :] for c in found]
-    if rest is not None and len(rest[0]):
-        yield from pick(pairs, *rest)
+            held.append([c[begin[-1] :] for c in found])
+    if held:
+        yield from ended()
     if pairs.size:
         yield pairs.take()
 
@@ -469,12 +481,12 @@ def _family_hubs(stars: DataFrame, classes: DataFrame) -> DataFrame:
     return family.join(leaders, "family").select("doc", "hub")
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc (null ids as the smallest long), n_shingles and component_id of each row."""
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+    """doc (null ids as the smallest long), n_shingles and component_id of each row; frequent: the least count of a shingle that is indexed in pairs."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     rows = docs.select(F.coalesce(F.col(quoted(doc_id)).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(quoted(text)).alias("text"))
-    ranks = shingle_ranks(rows, size)
+    ranks = shingle_ranks(rows, size, frequent)
     keyed = stored(keyed_sets(rows, ranks, size, percent))
     members = keyed.select("doc", "n", "h1", "h2")
     classes = stored(keyed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -518,7 +530,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return named.unionByName(alone).withColumnRenamed("n", "n_shingles")
 
 
-def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def join_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of each row of docs."""
     null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c if c != "doc" else "doc_id")
-    return link_components(docs, doc_id, text, size, percent).select(null("doc"), "n_shingles", null("component_id"))
+    return link_components(docs, doc_id, text, size, percent, frequent).select(null("doc"), "n_shingles", null("component_id"))

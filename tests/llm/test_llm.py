@@ -90,8 +90,9 @@ def test_components(docs):
     assert got == want
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_of_edited_copies(spark, seed):
+@pytest.mark.parametrize(("seed", "frequent"), [(1, 3_000), (2, 5)])
+def test_components_of_edited_copies(spark, seed, frequent):
+    """With a low bound most shingles are frequent, so the sets are found by their pairs of shingles."""
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)]
 
@@ -119,10 +120,32 @@ def test_components_of_edited_copies(spark, seed):
             want[i] = want[j] = min(want[i], want[j])
     assert 40 < len(set(want)) < len(texts) - 40
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_documents(docs).collect()}
+    if frequent == 5:
+        ranks = jaccard_join.shingle_ranks(docs.select(F.col("doc_id").alias("doc"), "text"), 4, frequent)
+        often = [sum(int(ranks(h[None])[0]) > ranks.often for h in jaccard_join.distinct(jaccard_join.shingles([" ".join(w).encode()], 4)[0])) for w in texts]
+        assert sum(often) > sum(map(len, sets)) / 2
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_documents(docs, frequent=frequent).collect()}
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, want, strict=True))}
 
 
+@pytest.mark.parametrize("frequent", [3_000, 50])
+def test_many_copies_and_long_texts(spark, frequent):
+    """5,000 copies of one edit each link with their original, and two texts of 100,000 words with each other."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    original = rng.choices(words, k=60)
+    rows = [(0, " ".join(original))]
+    for i in range(1, 5001):
+        text = list(original)
+        text[rng.randrange(60)] = f"only{i}"
+        rows.append((i, " ".join(text)))
+    long = rng.choices(words, k=100_000)
+    rows += [(9_000, " ".join(long)), (9_001, " ".join([*long[:50_000], "other", *long[50_000:]])), (9_002, " ".join(long[:70_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_documents(docs, frequent=frequent).collect()}
+    assert got == {**{i: 0 for i in range(5001)}, 9_000: 9_000, 9_001: 9_000, 9_002: 9_002}
+
+
 def test_leaders_of_each_size():
     rng = random.Random(3)
     rows = [(k, rng.randrange(40), rng.choice([20, 24, 30, 31, 50, 200])) for k in range(12) for _ in range(rng.randrange(1, 25))]
