@@ -263,21 +263,14 @@ def proofs(m: Manifest, keep: list[str] | None = None) -> DataFrame:
     return dealt.mapInArrow(released(run), spec)
 
 
-def folded(df: DataFrame, leaf: str, out: str = "folded_root") -> DataFrame:
-    """df (proof, places, sizes) with the root that the digest in column leaf and the proof lead to."""
-    spec = T.StructType([*df.schema, T.StructField(out, T.BinaryType())])
+def folded(leaf: Column) -> Column:
+    """The root that a leaf's digest and the proof (proof, places, sizes) beside it lead to."""
 
-    def run(batches):
-        for batch in batches:
-            found = []
-            for digest, proof, places, sizes in zip(*(batch.column(c).to_pylist() for c in (leaf, "proof", "places", "sizes")), strict=True):
-                at = 0
-                for k, of in zip(places, sizes, strict=True):
-                    end = at + 32 * (of - 1)
-                    cut = at + 32 * k
-                    digest = digest_of(proof[at:cut] + digest + proof[cut:end])
-                    at = end
-                found.append(digest)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=spec.names)
-
-    return df.mapInArrow(released(run), spec)
+    def step(acc, run):
+        place, siblings = run["places"], run["sizes"] - 1
+        at = acc["at"]
+        text = lambda start, n: F.lower(F.hex(F.substring(F.col("proof"), start, 32 * n)))
+        whole = F.concat(text(at, place), F.lower(F.hex(acc["digest"])), text(at + 32 * place, siblings - place))
+        return F.struct(F.unhex(F.sha2(whole.cast("binary"), 256)).alias("digest"), (at + 32 * siblings).alias("at"))
+
+    return F.aggregate(F.arrays_zip("places", "sizes"), F.struct(leaf.alias("digest"), F.lit(1).alias("at")), step)["digest"]

@@ -89,10 +89,10 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     tampered = F.when(fold("doc_id", 5) == 0, merkle.leaf_digest([*first, lower]))
     m = merkle.manifest(docs, [*first, F.col("text")], group="source", key="doc_id", keep={"tampered": tampered})
-    shown = merkle.proofs(m, keep=["tampered"]).withColumn("shown", F.coalesce("tampered", "digest"))
+    shown = merkle.proofs(m, keep=["tampered"]).withColumn("folded_root", merkle.folded(F.coalesce("tampered", "digest")))
     text = lambda c: F.lower(F.hex(c))
     root = F.lit(m.root.hex() if m.root else None).cast("string")
-    out = merkle.folded(shown, "shown").select(F.col("key").alias("doc_id"), text("digest").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), F.sha2(text("proof").cast("binary"), 256).alias("proof_sha256"), text("folded_root").alias("folded_root"))
+    out = shown.select(F.col("key").alias("doc_id"), text("digest").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), F.sha2(text("proof").cast("binary"), 256).alias("proof_sha256"), text("folded_root").alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

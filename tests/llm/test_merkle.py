@@ -65,7 +65,7 @@ def test_roots_and_proofs(spark, sizes):
     m = merkle.manifest(docs, [F.col(c) for c in FIELDS], "source", "doc_id")
     root, want = brute(rows)
     assert m.root.hex() == root
-    found = merkle.folded(merkle.proofs(m), "digest").collect()
+    found = merkle.proofs(m).withColumn("folded_root", merkle.folded(F.col("digest"))).collect()
     assert sorted((str(r.key), str(r.tree), r.digest.hex(), r.subroot.hex(), r.proof.hex()) for r in found) == sorted((str(k), str(s), d, h, p) for k, s, d, h, p in want)
     assert all(r.folded_root.hex() == root for r in found)
     inner = sum(len(level) for k in {r[1] for r in rows} for level in levels_of([leaf(r) for r in rows if r[1] == k])[1:])
@@ -75,7 +75,7 @@ def test_roots_and_proofs(spark, sizes):
 def test_another_leaf_leads_elsewhere(spark):
     docs = spark.range(700).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.col("id").cast("string").alias("text"))
     m = merkle.manifest(docs, [F.col("text")], "source", "doc_id", keep={"other": F.unhex(F.sha2(F.lit("forged").cast("binary"), 256))})
-    assert not merkle.folded(merkle.proofs(m, ["other"]), "other").where(F.col("folded_root") == F.lit(m.root)).count()
+    assert not merkle.proofs(m, ["other"]).where(merkle.folded(F.col("other")) == F.lit(m.root)).count()
 
 
 def test_partial_parents_pass_a_full_table(spark, monkeypatch):
@@ -105,4 +105,4 @@ def test_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, source string, text string")
     m = merkle.manifest(none, [F.col("text")], "source", "doc_id")
     assert m.root is None
-    assert merkle.folded(merkle.proofs(m), "digest").collect() == []
+    assert merkle.proofs(m).withColumn("folded_root", merkle.folded(F.col("digest"))).collect() == []
