@@ -65,14 +65,19 @@ def _links(messages: DataFrame) -> DataFrame:
 def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
     """tree, path (rank of the path among those of its root, from 1), root, at (place on the path) and node, for the chosen paths of messages with a column node."""
     links = _links(messages)
-    reach = links.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps"))
-    levels, rounds = [stored(reach)], max(1, links.count()).bit_length() + 1
-    while len(levels) <= rounds and not levels[-1].where("up is not null").isEmpty():
-        a, b = levels[-1], levels[-1].select(F.col("node").alias("n"), F.col("up").alias("u"), F.col("root").alias("r"), F.col("total").alias("t"), F.col("steps").alias("s"))
-        far = a.join(b, F.col("up") == F.col("n"), "left")
-        levels.append(stored(far.select("node", F.col("u").alias("up"), F.coalesce("root", "r").alias("root"), (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("s", F.lit(0))).alias("steps"))))
+    # A message that has reached its root is done; only the others go on.
+    moved = stored(links.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))
+    tables, levels, done = [moved], [moved.where("up is not null")], moved.where("up is null")
+    rounds = max(1, links.count()).bit_length()
+    while len(levels) <= rounds and not levels[-1].isEmpty():
+        above = levels[-1].unionByName(done).toDF("n", "u", "root", "t", "s")
+        far = levels[-1].drop("root").join(above, F.col("up") == F.col("n"))
+        moved = stored(far.select("node", F.col("u").alias("up"), "root", (F.col("total") + F.col("t")).alias("total"), (F.col("steps") + F.col("s")).alias("steps")))
+        tables.append(moved)
+        levels.append(moved.where("up is not null"))
+        done = done.unionByName(moved.where("up is null"))
     answered = links.where("up is not null").select(F.col("up").alias("n")).distinct()
-    leaves = levels[-1].where("root is not null").join(answered, F.col("node") == F.col("n"), "left_anti")
+    leaves = done.join(answered, F.col("node") == F.col("n"), "left_anti")
     by_score = Window.partitionBy("root").orderBy(F.desc(F.col("total") / F.col("steps")), F.desc("steps"), "node")
     chosen = leaves.withColumn("path", F.row_number().over(by_score)).where(F.col("path") <= paths)
     found = [stored(chosen.select("root", "path", F.col("node"), (F.col("steps") - 1).alias("at")))]
@@ -80,14 +85,14 @@ def best_paths(messages: DataFrame, paths: int = 1) -> DataFrame:
         so_far = found[0]
         for more in found[1:]:
             so_far = so_far.unionByName(more)
-        hop = levels[k].where("up is not null").select(F.col("node").alias("n"), "up")
+        hop = levels[k].select(F.col("node").alias("n"), "up")
         found.append(stored(so_far.join(hop, F.col("node") == F.col("n")).select("root", "path", F.col("up").alias("node"), (F.col("at") - (1 << k)).alias("at"))))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     trees = links.where("up is null").select(F.col("node").alias("n"), "tree")
     out = stored(out.join(trees, F.col("root") == F.col("n")).select("tree", "path", "root", "at", "node"))
-    drop_stored(*found, *levels, links)
+    drop_stored(*found, *tables, links)
     return out
 
 
