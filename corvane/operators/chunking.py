@@ -23,14 +23,24 @@ def chunk_stats(c: DataFrame) -> DataFrame:
     return c.agg(F.count(F.lit(1)).alias("n_chunks"), F.expr("percentile(length(text), 0.5)").alias("median_chars"), F.round(F.avg(F.least(F.lit(500), n) / n), 6).alias("shown_share"))
 
 
+#: Written into every chunk; readers fill in what older ones lack.
+SCHEMA_VERSION = 2
+
+
 def papers(docs: DataFrame) -> DataFrame:
-    """Documents as papers: the first words are the title, the language the category, the source the author."""
+    """Documents as papers: the first words are the title, the language the category, the source the author; none has a date."""
     title = F.array_join(F.slice(T.words(F.coalesce("text", F.lit(""))), 1, 8), " ")
-    return docs.select(F.col("doc_id").cast("string").alias("source_id"), title.alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), F.col("lang").alias("category"), F.col("source").alias("author"))
+    listed = lambda c: F.array_compact(F.array(c)).alias
+    return docs.select(F.col("doc_id").cast("string").alias("source_id"), title.alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), listed("source")("authors"), F.col("lang").alias("primary_category"), listed("lang")("categories"), F.lit("").alias("published"))
 
 
 def payload(c: DataFrame, p: DataFrame) -> DataFrame:
-    """Chunks with their paper's fields, or defaults where the paper is missing."""
-    one = p.groupBy("source_id").agg(F.max_by(F.struct("title", "category", "author"), "title").alias("p"))
+    """Chunks with their paper's fields, or defaults where the paper or a field is missing. Of papers with one id the largest by its fields counts."""
+    fields = ["title", "authors", "primary_category", "categories", "published"]
+    one = p.groupBy("source_id").agg(F.max(F.struct(*fields)).alias("p"))
     joined = c.join(one, "source_id", "left")
-    return joined.select("source_id", "chunk_index", F.coalesce("p.title", F.lit("")).alias("source_title"), F.coalesce("p.category", F.lit("")).alias("primary_category"), F.coalesce("p.author", F.lit("")).alias("author"), F.length("text").cast("long").alias("n_chars"), F.lit(2).cast("long").alias("schema_version"))
+    published, none = F.coalesce("p.published", F.lit("")), F.array().cast("array<string>")
+    return joined.select(
+        "text", "source_id", F.coalesce("p.title", F.lit("")).alias("source_title"), "chunk_index", F.coalesce("p.authors", none).alias("authors"), F.coalesce("p.primary_category", F.lit("")).alias("primary_category"),
+        F.coalesce("p.categories", none).alias("categories"), published.alias("published"), T.published_year(published).cast("int").alias("published_year"), F.lit(SCHEMA_VERSION).alias("schema_version"),
+    )

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.operators import retrieval
+from corvane.sources.scratch import stored
 
 # The weight of a shared neighbour by relation; any other relation weighs 0.5.
 EDGE_WEIGHTS = {"MENTIONS": 1.0, "AUTHORED_BY": 0.8, "IN_CATEGORY": 0.25}
+#: Papers of a node from which on it is a hub, and related papers that can be asked for.
+HUB, MOST = 200, 20
 
 
 def gram_counts(papers: DataFrame) -> DataFrame:
-    g = papers.select("source_id", F.explode(T.grams(F.concat_ws(" ", "title", "abstract"))).alias("term")).where("term is not null")
-    return g.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    """source_id, term, c (times) and total (grams of the paper)."""
+    found = papers.select("source_id", F.array_compact(T.grams(F.concat_ws(" ", "title", "abstract"))).alias("grams"))
+    each = found.select("source_id", F.size("grams").cast("long").alias("total"), F.explode("grams").alias("term"))
+    return each.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("c"), F.max("total").alias("total"))
 
 
 def document_frequency(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -24,20 +31,20 @@ def document_frequency(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 def concepts(papers: DataFrame, top: int = 12) -> DataFrame:
     """source_id, rank, term, score: the grams of each paper with the highest TF-IDF."""
-    counts = gram_counts(papers)
-    totals = counts.groupBy("source_id").agg(F.sum("c").alias("total"))
+    counts = stored(gram_counts(papers))
     df = document_frequency(counts, papers.agg(F.count(F.lit(1)).alias("n_docs")))
     score = F.round(F.col("c") / F.col("total") * F.log(F.col("n_docs") / F.col("df")), 12)
-    scored = counts.join(df, "term").join(totals, "source_id").select("source_id", "term", score.alias("score"))
+    scored = counts.join(df, "term").select("source_id", "term", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), F.desc("term")))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
 
 
 def edges(papers: DataFrame, found: DataFrame) -> DataFrame:
-    author = papers.where("author is not null").select("source_id", F.lit("AUTHORED_BY").alias("relation"), F.concat(F.lit("author:"), "author").alias("dst"))
-    category = papers.where("category is not null").select("source_id", F.lit("IN_CATEGORY").alias("relation"), F.concat(F.lit("category:"), "category").alias("dst"))
+    """src, relation, dst: a paper's authors, categories and concepts, once each."""
+    author = papers.select("source_id", F.lit("AUTHORED_BY").alias("relation"), F.explode("authors").alias("x")).select("source_id", "relation", F.concat(F.lit("author:"), "x").alias("dst"))
+    category = papers.select("source_id", F.lit("IN_CATEGORY").alias("relation"), F.explode("categories").alias("x")).select("source_id", "relation", F.concat(F.lit("category:"), "x").alias("dst"))
     mentions = found.select("source_id", F.lit("MENTIONS").alias("relation"), F.concat(F.lit("concept:"), "term").alias("dst"))
-    return author.unionByName(category).unionByName(mentions).distinct().withColumnRenamed("source_id", "src")
+    return author.unionByName(category).unionByName(mentions).where("dst is not null").distinct().withColumnRenamed("source_id", "src")
 
 
 def stats(papers: DataFrame, e: DataFrame) -> DataFrame:
@@ -46,13 +53,48 @@ def stats(papers: DataFrame, e: DataFrame) -> DataFrame:
     return one.select((F.col("papers") + F.col("authors") + F.col("categories") + F.col("concepts")).alias("nodes"), "papers", "authors", "categories", "concepts", "edges")
 
 
-def related(seeds: DataFrame, e: DataFrame, limit: int = 5) -> DataFrame:
-    """src, other, relatedness, rank: the papers that share most neighbours with each seed (src); never all pairs of papers."""
+@dataclass
+class Links:
+    """Edges made ready for relatedness: near (src, relation, dst, n, gain) of nodes that several papers have; and of each paper its hubs as a signature."""
+
+    near: DataFrame
+    signed: DataFrame  # src, sig
+    meant: DataFrame  # sig, relation, dst
+    first: DataFrame  # sig, other: the papers of a signature with the smallest ids
+    hub: int
+    most: int
+
+
+def linked(e: DataFrame, hub: int = HUB, most: int = MOST) -> Links:
+    """A node of more than `hub` papers is a hub. Papers with the same hubs have one signature, of which the `most` + 1 smallest ids are kept."""
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in EDGE_WEIGHTS.items() for x in kv])[F.col("relation")], F.lit(0.5))
     degree = e.groupBy("relation", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    near = e.join(seeds.select("src").distinct(), "src", "left_semi").join(degree, ["relation", "dst"])
-    hops = near.join(e.withColumnRenamed("src", "other"), ["relation", "dst"]).where("src <> other")
-    scores = hops.groupBy("src", "other").agg(F.round(F.sum(weight / F.log(F.col("n") + F.lit(1.5))), 6).alias("relatedness"))
+    near = stored(e.join(degree, ["relation", "dst"]).select("src", "relation", "dst", "n", (weight / F.log(F.col("n") + F.lit(1.5))).alias("gain")))
+    nodes_of = near.where(F.col("n") > hub).groupBy("src").agg(F.array_sort(F.collect_set(F.struct("relation", "dst"))).alias("nodes"))
+    signed = stored(nodes_of.select("src", F.md5(F.to_json("nodes")).alias("sig"), "nodes"))
+    meant = stored(signed.groupBy("sig").agg(F.any_value("nodes").alias("nodes")).select("sig", F.inline("nodes")))
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("src"))
+    first = stored(signed.withColumn("place", place).where(F.col("place") <= most + 1).select("sig", F.col("src").alias("other")))
+    return Links(near, signed.select("src", "sig"), meant, first, hub, most)
+
+
+def related(seeds: DataFrame, links: Links, limit: int = 5) -> DataFrame:
+    """src, other, relatedness, rank: the papers that share most neighbours with each seed (src).
+
+    Papers that share a node of few papers with a seed are listed through it. Of papers that share hubs alone, those with one signature are
+    equally related, so only the first of them by id can be among the best: a seed meets a few ids for each signature and not the papers of a hub. Those of them that
+    share other nodes too are listed already, and are more related than the rest of their signature.
+    """
+    if limit > links.most:
+        raise ValueError(f"at most {links.most} related papers are kept ready")
+    mine = links.near.join(seeds.select("src").distinct(), "src", "left_semi")
+    few = links.near.where(F.col("n") <= links.hub).select("relation", "dst", F.col("src").alias("other"))
+    listed = stored(mine.where(F.col("n") <= links.hub).join(few, ["relation", "dst"]).where("src <> other").groupBy("src", "other").agg(F.sum("gain").alias("own")))
+    common = stored(mine.where(F.col("n") > links.hub).join(links.meant, ["relation", "dst"]).groupBy("src", "sig").agg(F.sum("gain").alias("common")))
+    sig_of_other = links.signed.withColumnRenamed("src", "other")
+    one = listed.join(sig_of_other, "other", "left").join(common, ["src", "sig"], "left").select("src", "other", (F.col("own") + F.coalesce("common", F.lit(0.0))).alias("total"))
+    two = common.join(links.first, "sig").where("src <> other").join(listed, ["src", "other"], "left_anti").select("src", "other", F.col("common").alias("total"))
+    scores = one.unionByName(two).select("src", "other", F.round("total", 6).alias("relatedness"))
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("relatedness"), "other"))
     return scores.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit)
 
@@ -64,11 +106,11 @@ def seed_papers(seeds: DataFrame, considered: int = 3) -> DataFrame:
     return first.withColumn("place", place).where(F.col("place") <= considered).select("qid", F.col("source_id").alias("src"))
 
 
-def neighbour_chunks(pool: DataFrame, questions: DataFrame, chunks: DataFrame, e: DataFrame, weight: float, candidates: int = 20, neighbours: int = 3) -> tuple[DataFrame, DataFrame]:
+def neighbour_chunks(pool: DataFrame, questions: DataFrame, chunks: DataFrame, links: Links, weight: float, candidates: int = 20, neighbours: int = 3) -> tuple[DataFrame, DataFrame]:
     """The hybrid seeds of each question, and the best chunks of papers related to the first of them, with their score and the paper's share of the largest relatedness."""
     seeds = retrieval.ranked(retrieval.blend(pool, weight), candidates)
     starts = seed_papers(seeds)
-    found = starts.join(related(starts, e, neighbours), "src").select("qid", F.col("other").alias("source_id"), "relatedness")
+    found = starts.join(related(starts, links, neighbours), "src").select("qid", F.col("other").alias("source_id"), "relatedness")
     fresh = found.join(seeds.select("qid", "source_id"), ["qid", "source_id"], "left_anti").groupBy("qid", "source_id").agg(F.max("relatedness").alias("relatedness"))
     share = F.coalesce(F.col("relatedness") / F.nullif(F.max("relatedness").over(Window.partitionBy("qid")), F.lit(0.0)), F.lit(0.0))
     fresh = fresh.withColumn("share", share)
@@ -91,11 +133,11 @@ def merged(seeds: DataFrame, near: DataFrame, graph_weight, top: int = 5, by: tu
     return once.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select(*by, "rank", "source_id", "chunk_index", F.round("score", 4).alias("score"))
 
 
-def expanded(pool: DataFrame, questions: DataFrame, chunks: DataFrame, e: DataFrame, weight: float, graph_weight: float, top: int = 5, candidates: int = 20, neighbours: int = 3) -> DataFrame:
+def expanded(pool: DataFrame, questions: DataFrame, chunks: DataFrame, links: Links, weight: float, graph_weight: float, top: int = 5, candidates: int = 20, neighbours: int = 3) -> DataFrame:
     """Hybrid search whose seeds bring in chunks of related papers; pool has sim and kw, chunks are embedded."""
     if graph_weight <= 0:
         return retrieval.hybrid(pool, weight, top)
-    return merged(*neighbour_chunks(pool, questions, chunks, e, weight, candidates, neighbours), graph_weight, top)
+    return merged(*neighbour_chunks(pool, questions, chunks, links, weight, candidates, neighbours), graph_weight, top)
 
 
 def nodes(papers: DataFrame, e: DataFrame) -> DataFrame:

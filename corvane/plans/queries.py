@@ -11,48 +11,16 @@ from pyspark.sql.window import Window
 from corvane.functions import replies
 from corvane.functions import text as T
 from corvane.operators import agent, chunking, evaluation, graph, retrieval
+from corvane.plans.corpus import corpus, documents, table, texts
 from corvane.sources.scratch import stored
 
 KNOWN_IDS = ("0", "1", "2", "3")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: A table below this size, in bytes, is dealt to all cores: it may lie in a single row group, which one task would read.
-SMALL_TABLE = 1 << 30
-
-
-def texts(spark, sf_dir) -> DataFrame:
-    df = table(spark, sf_dir, "documents")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE else df
-
-
-def documents(spark, sf_dir) -> DataFrame:
-    return texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_id"), "text")
-
-
-def _questions(spark, sf_dir) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text", F.col("text").alias("question"))
-    return retrieval.embed(q, ["qid"])
-
-
-def _chunks(spark, sf_dir) -> DataFrame:
-    return retrieval.embed(chunking.chunks(documents(spark, sf_dir)), ["source_id", "chunk_index"])
-
-
 def _scored(spark, sf_dir):
-    """Embedded questions and chunks, and the candidate pool with keyword overlap; each is computed once."""
-    q, c = stored(_questions(spark, sf_dir)), stored(_chunks(spark, sf_dir))
-    return q, c, stored(retrieval.overlap(retrieval.vector_top(q, c), q, c))
-
-
-def _graph(spark, sf_dir):
-    p = chunking.papers(texts(spark, sf_dir))
-    found = graph.concepts(p)
-    return p, found, graph.edges(p, found)
+    """Questions, indexed chunks and the candidates of each question."""
+    c = corpus(spark, sf_dir)
+    return c.questions, c.chunks, c.pool()
 
 
 def _windows(size: int, overlap: int):
@@ -68,7 +36,9 @@ def chunk_stats(spark, sf_dir):
 
 
 def chunk_payload(spark, sf_dir):
-    return chunking.payload(chunking.chunks(documents(spark, sf_dir)), chunking.papers(texts(spark, sf_dir)))
+    p = chunking.payload(chunking.chunks(documents(spark, sf_dir)), chunking.papers(texts(spark, sf_dir)))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return p.select(F.md5("text").alias("text_md5"), "source_id", "source_title", "chunk_index", joined("authors"), "primary_category", joined("categories"), "published", "published_year", "schema_version")
 
 
 def keyword_counts(spark, sf_dir):
@@ -81,11 +51,12 @@ def published_year(spark, sf_dir):
 
 
 def hashed_embedding(spark, sf_dir):
-    return _chunks(spark, sf_dir).select("source_id", "chunk_index", F.array_join(F.col("v").cast("array<string>"), " ").alias("v"), "norm2")
+    return corpus(spark, sf_dir).chunks.select("source_id", "chunk_index", F.array_join(F.col("v").cast("array<string>"), " ").alias("v"), "norm2")
 
 
 def vector_topk(spark, sf_dir):
-    out = retrieval.vector_top(_questions(spark, sf_dir), _chunks(spark, sf_dir))
+    c = corpus(spark, sf_dir)
+    out = retrieval.vector_top(c.questions, c.chunks)
     return out.select("qid", "rank", "source_id", "chunk_index", F.round("sim", 6).alias("sim"))
 
 
@@ -100,7 +71,8 @@ def vector_topk_embeddings(spark, sf_dir):
 
 def filtered_vector_topk(spark, sf_dir):
     german = table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").cast("string").alias("source_id"))
-    out = retrieval.vector_top(_questions(spark, sf_dir), _chunks(spark, sf_dir).join(german, "source_id", "left_semi"))
+    c = corpus(spark, sf_dir)
+    out = retrieval.vector_top(c.questions, c.index.of_sources(german))
     return out.select("qid", "rank", "source_id", "chunk_index", F.round("sim", 6).alias("sim"))
 
 
@@ -118,28 +90,28 @@ def doc_frequency(spark, sf_dir):
 
 
 def tfidf_concepts(spark, sf_dir):
-    return _graph(spark, sf_dir)[1].select("source_id", "rank", "term", "score")
+    return graph.concepts(chunking.papers(texts(spark, sf_dir))).select("source_id", "rank", "term", "score")
 
 
 def kg_edges(spark, sf_dir):
-    return _graph(spark, sf_dir)[2]
+    return corpus(spark, sf_dir).edges
 
 
 def kg_nodes_stats(spark, sf_dir):
-    p, _, e = _graph(spark, sf_dir)
-    return graph.stats(p, e)
+    c = corpus(spark, sf_dir)
+    return graph.stats(c.papers, c.edges)
 
 
 def related_papers(spark, sf_dir):
     _, _, pool = _scored(spark, sf_dir)
     seeds = retrieval.ranked(retrieval.blend(pool, 0.3), 20)
-    return graph.related(graph.seed_papers(seeds), stored(_graph(spark, sf_dir)[2]), 5).select("src", "other", "relatedness", "rank")
+    return graph.related(graph.seed_papers(seeds), corpus(spark, sf_dir).links, 5).select("src", "other", "relatedness", "rank")
 
 
 def _expanded(graph_weight: float):
     def query(spark, sf_dir):
         q, c, pool = _scored(spark, sf_dir)
-        return graph.expanded(pool, q, c, stored(_graph(spark, sf_dir)[2]), 0.3, graph_weight)
+        return graph.expanded(pool, q, c, corpus(spark, sf_dir).links, 0.3, graph_weight)
 
     return query
 
@@ -157,7 +129,7 @@ def retrieval_sweep(spark, sf_dir):
     key = ("strategy", "ordinal", "qid")
     plain = pool.crossJoin(F.broadcast(all_of.where("graph_weight = 0")))  # a few literal rows
     hybrid = retrieval.ranked(retrieval.blend(plain, F.col("weight")), 5, key)
-    seeds, near = graph.neighbour_chunks(pool, q, c, stored(_graph(spark, sf_dir)[2]), 0.3)
+    seeds, near = graph.neighbour_chunks(pool, q, c, corpus(spark, sf_dir).links, 0.3)
     graphs = F.broadcast(all_of.where("graph_weight > 0"))
     expanded = graph.merged(seeds.crossJoin(graphs), stored(near).crossJoin(graphs), F.col("graph_weight"), by=(*key, "graph_weight"))
     columns = [*key, "rank", "source_id", "chunk_index"]
@@ -222,8 +194,8 @@ def contexts(spark, sf_dir):
 
 
 def kg_nodes(spark, sf_dir):
-    p, _, e = _graph(spark, sf_dir)
-    return graph.nodes(p, e)
+    c = corpus(spark, sf_dir)
+    return graph.nodes(c.papers, c.edges)
 
 
 REPLIES = ['{"faithful": true, "issues": "", "sufficient_context": true}', '```json\n{"faithful": false, "issues": "x"}\n```', 'Verdict: {"faithful": true} as asked', "The draft looks fine.", "[true]", '{"issues": "none"}', '{"faithful": "true"}', '{"faithful": true, "sufficient_context": "no"}']

@@ -137,7 +137,7 @@ SQL = {
     "chunk_windows": with_(chunks(), "SELECT source_id, chunk_index, md5(text) AS text_md5, length(text)::bigint AS n_chars FROM chunks"),
     "chunk_windows_200": with_(chunks(200, 30), "SELECT source_id, chunk_index, md5(text) AS text_md5, length(text)::bigint AS n_chars FROM chunks"),
     "chunk_stats": with_(chunks(), "SELECT count(*) AS n_chunks, quantile_cont(length(text), 0.5)::double AS median_chars, round(avg(least(500, length(text)) / length(text)::double), 6) AS shown_share FROM chunks"),
-    "chunk_payload": with_(chunks(), PAPERS, "SELECT source_id, chunk_index, coalesce(title, '') AS source_title, coalesce(category, '') AS primary_category, coalesce(author, '') AS author, length(text)::bigint AS n_chars, 2::bigint AS schema_version FROM chunks LEFT JOIN papers USING (source_id)"),
+    "chunk_payload": with_(chunks(), PAPERS, "SELECT md5(text) AS text_md5, source_id, coalesce(title, '') AS source_title, chunk_index, coalesce(author, '') AS authors, coalesce(category, '') AS primary_category, coalesce(category, '') AS categories, '' AS published, NULL::int AS published_year, 2 AS schema_version FROM chunks LEFT JOIN papers USING (source_id)"),
     "keyword_counts": f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({keywords('text')}) AS term FROM documents) GROUP BY ALL",
     "published_year": "SELECT o_orderkey, left(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 4)::bigint AS published_year FROM orders",
     "hashed_embedding": with_(VECTORS, "SELECT source_id, chunk_index, array_to_string(list_transform(v, lambda x: x::bigint::varchar), ' ') AS v, norm2::bigint AS norm2 FROM cvec"),

@@ -19,11 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once and read back; the file system deletes it when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corvane-step-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which the file system deletes when the application ends."""
+    path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once and read back."""
+    path = new_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
