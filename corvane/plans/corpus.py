@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import chunking, graph, retrieval
+from corvane.operators import agent, chunking, graph, retrieval
 from corvane.sources.index import Index
 from corvane.sources.scratch import new_path, stored
 
@@ -67,6 +67,27 @@ class Corpus:
         return stored(retrieval.overlap(retrieval.vector_top(self.questions, self.chunks), self.questions, self.chunks))
 
 
+    def search(self, queries: DataFrame, top: int = 5, weight: float = 0.3) -> DataFrame:
+        """qid, rank, source_id, source_title, chunk_index, score and text of the best chunks for each query (qid, query)."""
+        q = stored(retrieval.embed(queries.select("qid", F.coalesce("query", F.lit("")).alias("text"), F.coalesce("query", F.lit("")).alias("question"))))
+        pool = stored(retrieval.overlap(retrieval.vector_top(q, self.chunks), q, self.chunks))
+        hits = retrieval.hybrid(pool, weight, top)
+        fields = self.chunks.select("source_id", "chunk_index", F.coalesce("source_title", F.lit("")).alias("source_title"), F.coalesce("text", F.lit("")).alias("text"))
+        return hits.join(fields, ["source_id", "chunk_index"]).select("qid", "rank", "source_id", "source_title", "chunk_index", "score", "text")
+
+    def answers(self, questions: DataFrame, model, max_retries: int = 2) -> DataFrame:
+        """The loop's outcome for each question (qid, question): retrieval from the index, drafts and verdicts by the model."""
+        return agent.run(questions, model, self.search, max_retries)
+
+    def answer(self, question: str, model, max_retries: int = 2) -> dict:
+        """What a caller gets for one question: question, search_query, answer, sources (without their texts), cited, retry_count, verdict."""
+        if len(question) < 3:
+            raise ValueError("a question has three characters at least")
+        row = self.answers(self.spark.createDataFrame([(0, question)], "qid long, question string"), model, max_retries).first()
+        sources = [{k: c[k] for k in ("source_id", "source_title", "chunk_index", "score")} for c in row["found"] or []]
+        return {"question": question, "search_query": row["query"], "answer": row["answer"], "sources": sources, "cited": row["cited"], "retry_count": row["retries"], "verdict": row["verdict"], "failed": row["failed"]}
+
+
 _OPEN: dict[tuple, Corpus] = {}
 
 

@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 
 from corvane.functions import replies
 from corvane.functions import text as T
-from corvane.operators import agent, chunking, evaluation, graph, retrieval
+from corvane.operators import agent, chunking, evaluation, graph, models, retrieval
 from corvane.plans.corpus import corpus, documents, table, texts
+from corvane.plans.runs import RUNS
 from corvane.sources.scratch import stored
 
 KNOWN_IDS = ("0", "1", "2", "3")
@@ -157,7 +158,10 @@ def extract_citations(spark, sf_dir):
 
 
 def has_citations(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.has_citations("text").alias("has_citations"))
+    """Of drafts that name sources, and of every fifth conversation as it is."""
+    plain = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    drafts = _answers(spark, sf_dir).join(plain, ["conv_id", "turn"]).select("conv_id", "turn", F.when(F.col("conv_id") % 5 == 0, F.col("text")).otherwise(F.col("draft")).alias("answer"))
+    return drafts.select("conv_id", "turn", T.has_citations("answer").alias("has_citations"))
 
 
 def structural_check(spark, sf_dir):
@@ -187,8 +191,8 @@ def quota_cut(spark, sf_dir):
 
 
 def contexts(spark, sf_dir):
-    """Context of a draft and of its judgement, over the first chunks of each document."""
-    c = chunking.chunks(documents(spark, sf_dir)).where("chunk_index < 3").withColumn("source_title", F.concat(F.lit("Paper "), "source_id"))
+    """Context of a draft and of its judgement, over all chunks of each document."""
+    c = chunking.chunks(documents(spark, sf_dir)).withColumn("source_title", F.concat(F.lit("Paper "), "source_id"))
     rows = c.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "source_id", "source_title", "text"))).alias("found"))
     return rows.select("source_id", F.md5(T.writer_context(F.col("found"))).alias("writer_md5"), F.md5(T.judge_context(F.col("found"))).alias("judge_md5"))
 
@@ -225,30 +229,38 @@ def message_text(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", content.alias("content")).select("conv_id", "turn", replies.message_text("content").alias("text"))
 
 
-def agent_eval_summary(spark, sf_dir):
-    r = table(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("recall"), ((F.col("doc_id") % 5).cast("double") / 4).alias("citation_validity"), (F.col("doc_id") % 3).cast("double").alias("retries"), F.col("quality").cast("double").alias("has_citations"), (F.col("toxic") == 1).alias("unverified"))
-    return evaluation.agent_summary(r)
-
-
 def scripted_replies(questions: DataFrame) -> DataFrame:
-    """A script for each question, by its number modulo 4: approved at once, a fabricated source first, never cited, never faithful."""
-    kind = F.col("qid") % 4
-    rows = []
-    for call in (1, 2, 3):
-        good, bad = F.lit("Answer [arxiv:0]"), F.lit("Answer [arxiv:nowhere]")
-        draft = F.when(kind == 0, good).when((kind == 1) & F.lit(call > 1), good).when(kind == 1, bad).when(kind == 2, F.lit("Answer")).otherwise(good)
-        rows += [questions.select("qid", F.lit("draft").alias("role"), F.lit(call).cast("long").alias("call_no"), draft.alias("text"))]
-        rows += [questions.where("qid % 4 = 3").select("qid", F.lit("judge").alias("role"), F.lit(call).cast("long").alias("call_no"), F.lit('{"faithful": false, "issues": "unsupported"}').alias("text"))]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """Scripts of the questions (qid, question): queries are the question, its second half, and its first; drafts and verdicts those of RUNS."""
+    spark = questions.sparkSession
+    told = [(kind, role, k + 1, t) for kind, run in enumerate(RUNS) for role, texts in zip(("draft", "judge"), run, strict=True) for k, t in enumerate(texts)]
+    fixed = F.broadcast(spark.createDataFrame(told, "kind long, role string, call_no long, text string"))  # some twenty rows
+    half = "cast(length(question) / 2 as int)"
+    asked = ['concat(\'"\', question, \'"\')', f"substring(question, {half} + 1)", f"substring(question, 1, {half})"]
+    rewrites = questions.select("qid", F.lit("rewrite").alias("role"), F.posexplode(F.array(*map(F.expr, asked))).alias("k", "text"))
+    rewrites = rewrites.select("qid", "role", (F.col("k") + 1).cast("long").alias("call_no"), "text")
+    return rewrites.unionByName(questions.withColumn("kind", F.pmod("qid", F.lit(len(RUNS)))).join(fixed, "kind").select("qid", "role", "call_no", "text"))
+
+
+def _answered(spark, sf_dir) -> DataFrame:
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    return corpus(spark, sf_dir).answers(q, models.Scripted(stored(scripted_replies(q))))
 
 
 def agent_loop(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    out = agent.run(q, scripted_replies(q), lambda df: df.select("qid", F.array(F.lit("0"), F.lit("1")).alias("retrieved")))
-    return out.select("qid", "verdict", "retries", "answer", "n_rewrite", "n_synthesis", "n_judge")
+    """All questions through the loop: rewritten queries, hybrid search of the index, scripted drafts and verdicts that see the passages."""
+    joined = lambda c: F.array_join(c, "|")
+    return _answered(spark, sf_dir).select("qid", "verdict", "retries", "answer", joined("cited").alias("cited"), joined("found.source_id").alias("retrieved"), F.md5(T.judge_context("found")).alias("context_md5"), "n_rewrite", "n_synthesis", "n_judge")
+
+
+def agent_eval_summary(spark, sf_dir):
+    """Metrics over the loop's answers to all questions."""
+    done = stored(_answered(spark, sf_dir))
+    expected = evaluation.expected_keywords(done)
+    rows = done.select("qid", F.explode("found").alias("c")).select("qid", "c.rank", "c.source_id", "c.chunk_index")
+    recall = evaluation.keyword_recall(rows, corpus(spark, sf_dir).chunks, expected.select("qid", "expected"))
+    validity = evaluation.citation_validity(F.col("cited"), F.col("found.source_id"))
+    records = done.join(recall, "qid").select("recall", validity.alias("citation_validity"), F.col("retries").cast("double").alias("retries"), T.has_citations(F.col("answer")).cast("double").alias("has_citations"), (F.col("verdict") != "approved").alias("unverified"))
+    return evaluation.agent_summary(records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from corvane.functions.text import CONCEPT_STOPWORDS, KEYWORD_STOPWORDS
+from corvane.operators.agent import BAD_VERDICT, NO_CITATION, UNKNOWN_SOURCE
 from corvane.operators.evaluation import STRATEGIES
+from corvane.operators.models import APPROVAL
+from corvane.plans.runs import RUNS
 
 
 def _list(words: list[str]) -> str:
@@ -93,9 +96,9 @@ def normalise(c: str) -> str:
     return rf"regexp_replace(lower({c}), '[^a-z0-9\s]', ' ', 'g')"
 
 
-def recall(name: str, retrieved: str) -> str:
+def recall(name: str, retrieved: str, questions: str = "questions") -> str:
     return f"""{name} AS (SELECT q.qid, CASE WHEN len(expected) = 0 THEN 1.0::double ELSE len(list_filter(expected, lambda k: contains(coalesce(hay, ''), {normalise('k')})))::double / len(expected)::double END AS recall, coalesce(n_papers, 0)::bigint AS n_papers
-  FROM (SELECT qid, list_slice(list_distinct_ordered, 1, 5) AS expected FROM (SELECT qid, list_filter({keywords('question')}, lambda x, i: list_position({keywords('question')}, x) = i) AS list_distinct_ordered FROM questions)) q
+  FROM (SELECT qid, list_slice(list_distinct_ordered, 1, 5) AS expected FROM (SELECT qid, list_filter({keywords('question')}, lambda x, i: list_position({keywords('question')}, x) = i) AS list_distinct_ordered FROM {questions})) q
   LEFT JOIN (SELECT qid, {normalise("string_agg(text, ' ' ORDER BY rank)")} AS hay, count(DISTINCT source_id) AS n_papers FROM {retrieved} JOIN chunks USING (source_id, chunk_index) GROUP BY qid) USING (qid))"""
 
 
@@ -126,7 +129,62 @@ _ROUTED = f"""c AS (SELECT conv_id, turn, {_CITED} AS cited, conv_id % 3 AS n, C
 j AS (SELECT *, coalesce(json_valid(raw) AND json_type(CASE WHEN json_valid(raw) THEN raw END, '$.faithful') = 'BOOLEAN' AND coalesce(json_type(CASE WHEN json_valid(raw) THEN raw END, '$.sufficient_context') = 'BOOLEAN', true), false) AS valid, coalesce(json_extract(CASE WHEN json_valid(raw) THEN raw END, '$.faithful') = 'true', false) AS faithful FROM c),
 v AS (SELECT *, CASE WHEN len(cited) = 0 THEN 'needs_retrieval' WHEN len(list_filter(cited, lambda x: NOT list_contains(['0', '1', '2', '3'], x))) > 0 THEN 'needs_rewrite' WHEN valid AND faithful THEN 'approved' ELSE 'needs_rewrite' END AS first FROM j),
 r AS (SELECT *, CASE WHEN first <> 'approved' AND n >= 2 THEN 'unverified' ELSE first END AS verdict FROM v)"""
-_CONTEXT = """f AS (SELECT source_id, chunk_index, text FROM chunks WHERE chunk_index < 3)"""
+
+
+def _unfenced(raw: str) -> str:
+    return rf"regexp_replace(trim({raw}, ' ' || chr(9) || chr(10) || chr(13)), '(?m)^```(json)?|```$', '', 'g')"
+
+
+def _readable(clean: str) -> str:
+    """The JSON of a reply: all of it, or else what lies between the first and the last brace; null if neither can be read."""
+    return rf"CASE WHEN json_valid({clean}) THEN {clean} WHEN json_valid(regexp_extract({clean}, '(?s)(\{{.*\}})', 1)) THEN regexp_extract({clean}, '(?s)(\{{.*\}})', 1) END"
+
+
+def _valid(j: str) -> str:
+    return f"coalesce(json_type({j}, '$.faithful') = 'BOOLEAN' AND coalesce(json_type({j}, '$.sufficient_context') = 'BOOLEAN', true), false)"
+
+
+def _flag(j: str, name: str, default: str) -> str:
+    return f"coalesce(json_extract({j}, '$.{name}') = 'true', {default})"
+
+
+def _told(role: int, kind: str, call: str, default: str) -> str:
+    """A script's reply; of drafts the last repeats."""
+    cases = []
+    for k, run in enumerate(RUNS):
+        texts = run[role]
+        for i, t in enumerate(texts):
+            at_least = role == 0 and i == len(texts) - 1
+            cases.append(f"WHEN {kind} = {k} AND {call} {'>=' if at_least else '='} {i + 1} THEN '{t}'")
+    return f"CASE {' '.join(cases)} ELSE '{default}' END"
+
+
+def _pass(k: int, before: str) -> str:
+    """One pass of the loop over the pending questions of a CTE."""
+    caveat = "draft || chr(10) || chr(10) || '[Not verified: the last of ' || (retries + 1)::varchar || ' attempts was still rejected. Reason: ' || CASE WHEN issue = '' THEN 'unspecified' ELSE issue END || ']'"
+    return f"""a{k} AS (SELECT qid, kind, retries, n_rewrite + (verdict = 'needs_retrieval')::int AS n_rewrite, n_synthesis + 1 AS n_synthesis, n_judge FROM {before} WHERE verdict LIKE 'needs_%'),
+b{k} AS (SELECT a.*, f.ids, f.context_md5, replace({_told(0, 'kind', 'n_synthesis', '')}, '{{source}}', f.ids[1]) AS draft FROM a{k} a JOIN found_of f ON f.qid = 4 * a.qid + a.n_rewrite),
+c{k} AS (SELECT *, {_CITED} AS cited, list_sort(list_filter({_CITED}, lambda x: NOT list_contains(ids, x))) AS unknown FROM b{k}),
+d{k} AS (SELECT * REPLACE (n_judge + (len(cited) > 0 AND len(unknown) = 0)::int AS n_judge), {_told(1, 'kind', '(n_judge + 1)', APPROVAL)} AS raw FROM c{k}),
+e{k} AS (SELECT *, {_readable(_unfenced('raw'))} AS j FROM d{k}),
+f{k} AS (SELECT *, {_valid('j')} AS valid, {_flag('j', 'faithful', 'false')} AS faithful, {_flag('j', 'sufficient_context', 'true')} AS enough FROM e{k}),
+g{k} AS (SELECT *, CASE WHEN len(cited) = 0 THEN 'needs_retrieval' WHEN len(unknown) > 0 OR NOT valid THEN 'needs_rewrite' WHEN faithful AND enough THEN 'approved' WHEN NOT enough THEN 'needs_retrieval' ELSE 'needs_rewrite' END AS first,
+  CASE WHEN len(cited) = 0 THEN '{NO_CITATION}' WHEN len(unknown) > 0 THEN '{UNKNOWN_SOURCE}[' || array_to_string(list_transform(unknown, lambda x: chr(39) || x || chr(39)), ', ') || ']' WHEN NOT valid THEN '{BAD_VERDICT}' ELSE coalesce(json_extract_string(j, '$.issues'), '') END AS issue FROM f{k}),
+s{k} AS MATERIALIZED (SELECT qid, kind, CASE WHEN first <> 'approved' AND retries >= 2 THEN 'unverified' ELSE first END AS verdict, (retries + (first <> 'approved' AND retries < 2)::int)::bigint AS retries,
+  CASE WHEN first = 'approved' THEN draft WHEN retries >= 2 THEN {caveat} END AS answer, cited, ids, context_md5, n_rewrite::bigint AS n_rewrite, n_synthesis::bigint AS n_synthesis, n_judge::bigint AS n_judge FROM g{k})"""
+
+
+_HALF = "length(text) // 2"
+LOOP = ",\n".join([
+    SCORED.replace("questions AS (SELECT item_id AS qid, text, text AS question FROM benchmark)", f"questions AS (SELECT qid, text, text AS question FROM (SELECT 4 * item_id + c AS qid, CASE c WHEN 1 THEN text WHEN 2 THEN substr(text, {_HALF} + 1) ELSE substr(text, 1, {_HALF}) END AS text FROM benchmark, (SELECT unnest([1, 2, 3]) AS c)))"),
+    ranked("hits", 0.3, 5),
+    "titles AS (SELECT source_id, chunk_index, text FROM chunks)",
+    "found_of AS MATERIALIZED (SELECT qid, list(source_id ORDER BY rank) AS ids, md5(string_agg('[arxiv:' || source_id || '] ' || text, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM hits JOIN titles USING (source_id, chunk_index) GROUP BY qid)",
+    f"s0 AS (SELECT item_id AS qid, item_id % {len(RUNS)} AS kind, 'needs_retrieval' AS verdict, 0 AS retries, 0 AS n_rewrite, 0 AS n_synthesis, 0 AS n_judge FROM benchmark)",
+    *(_pass(k, f"s{k - 1}") for k in (1, 2, 3)),
+    "ended AS (" + " UNION ALL ".join(f"SELECT * FROM s{k} WHERE verdict NOT LIKE 'needs_%'" for k in (1, 2, 3)) + ")",
+])
+_CONTEXT = """f AS (SELECT source_id, chunk_index, text FROM chunks)"""
 
 SQL = {
     "eval_slice": "SELECT item_id AS qid, length(text)::bigint AS n_chars FROM benchmark ORDER BY item_id LIMIT 10 OFFSET 5",
@@ -161,10 +219,18 @@ SQL = {
     "best_strategy": SWEEP.removesuffix("FROM summary") + "SELECT strategy, mean_recall FROM summary ORDER BY mean_recall DESC, ordinal LIMIT 1",
     "citation_validity": with_(_ANSWERS, f"SELECT conv_id, turn, list_count(list_filter({_CITED}, lambda x: list_contains(['0', '1', '2', '3'], x)))::double / len({_CITED})::double AS validity FROM answers"),
     "extract_citations": with_(_ANSWERS, f"SELECT conv_id, turn, array_to_string({_CITED}, '|') AS cited FROM answers"),
-    "has_citations": r"SELECT conv_id, turn, regexp_matches(coalesce(text, ''), '\[arxiv:[^\]]+\]') AS has_citations FROM conversations",
+    "has_citations": with_(_ANSWERS, r"SELECT conv_id, turn, regexp_matches(CASE WHEN conv_id % 5 = 0 THEN coalesce(text, '') ELSE draft END, '\[arxiv:[^\]]+\]') AS has_citations FROM answers JOIN (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant') USING (conv_id, turn)"),
     "structural_check": with_(_ANSWERS, f"c AS (SELECT conv_id, turn, {_CITED} AS cited FROM answers)", "SELECT conv_id, turn, CASE WHEN len(cited) = 0 THEN 'needs_retrieval' WHEN len(list_filter(cited, lambda x: NOT list_contains(['0', '1', '2', '3'], x))) > 0 THEN 'needs_rewrite' ELSE 'pass' END AS verdict FROM c"),
-    "judge_parse": with_(_REPLIES, "SELECT doc_id, doc_id % 8 < 3 AS valid, doc_id % 8 IN (0, 2) AS faithful, doc_id % 8 < 3 AS sufficient FROM replies"),
+    "judge_parse": with_(_REPLIES, f"p AS (SELECT doc_id, {_readable(_unfenced('raw'))} AS j FROM replies)", f"SELECT doc_id, {_valid('j')} AS valid, {_valid('j')} AND {_flag('j', 'faithful', 'false')} AS faithful, {_valid('j')} AND {_flag('j', 'sufficient_context', 'true')} AS sufficient FROM p"),
     "retry_decision": with_(_ERRORS, """SELECT doc_id, CASE WHEN error = 'connection reset' THEN 'raise' WHEN error LIKE '%PerDay%' OR error LIKE '%200s%' OR attempt >= 3 THEN 'give_up' ELSE 'wait' END AS action, CASE WHEN error LIKE '%"7s"%' THEN 7 WHEN error LIKE '%200s%' THEN 200 ELSE pow(2, attempt) END::double AS delay FROM errors"""),
     "message_text": """SELECT conv_id, turn, CASE turn % 3 WHEN 2 THEN '' ELSE coalesce(text, '') END AS text FROM conversations""",
-    "agent_eval_summary": "SELECT count(*) AS questions_completed, round(avg(quality::double), 6) AS avg_recall, round(avg((doc_id % 5)::double / 4), 6) AS avg_citation_validity, round(avg((doc_id % 5)::double / 4) FILTER (toxic = 0), 6) AS avg_citation_validity_verified, round(avg((doc_id % 3)::double), 6) AS avg_retries, round(avg(quality::double), 6) AS citation_rate, round(avg(toxic::double), 6) AS unverified_rate FROM labels",
+    "agent_loop": with_(LOOP, "SELECT qid, verdict, retries, answer, array_to_string(cited, '|') AS cited, array_to_string(ids, '|') AS retrieved, context_md5, n_rewrite, n_synthesis, n_judge FROM ended"),
+    "agent_eval_summary": with_(
+        LOOP,
+        "asked AS (SELECT item_id AS qid, text AS question FROM benchmark)",
+        "found AS (SELECT e.qid, f.rank, f.source_id, f.chunk_index FROM ended e JOIN hits f ON f.qid = 4 * e.qid + e.n_rewrite)",
+        recall("recalled", "found", "asked"),
+        "records AS (SELECT recall, CASE WHEN len(cited) > 0 THEN len(list_filter(cited, lambda x: list_contains(ids, x)))::double / len(cited)::double ELSE 0 END AS validity, retries, regexp_matches(answer, '\\[arxiv:[^\\]]+\\]')::int AS tagged, verdict <> 'approved' AS unverified FROM ended JOIN recalled USING (qid))",
+        "SELECT count(*) AS questions_completed, round(avg(recall), 6) AS avg_recall, round(avg(validity), 6) AS avg_citation_validity, round(avg(validity) FILTER (NOT unverified), 6) AS avg_citation_validity_verified, round(avg(retries::double), 6) AS avg_retries, round(avg(tagged::double), 6) AS citation_rate, round(avg(unverified::int::double), 6) AS unverified_rate FROM records",
+    ),
 }
