@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 
 def message_text(content: str) -> Column:
-    """Text of a message whose content column is a JSON string or a JSON list of strings and typed blocks."""
+    """Text of a message whose content column is a JSON string, a JSON list of strings and typed blocks, or else a plain string; objects have none."""
     v = f"try_parse_json({content})"
     blocks = f"try_variant_get({v}, '$', 'array<variant>')"
     kind = "try_variant_get(b, '$.type', 'string')"
     one = f"case when schema_of_variant(b) = 'STRING' then cast(b as string) when schema_of_variant(b) like 'OBJECT%' and {kind} = 'text' then coalesce(try_variant_get(b, '$.text', 'string'), '') end"
     joined = f"array_join(transform({blocks}, b -> {one}), '')"
-    return F.expr(f"case when schema_of_variant({v}) = 'STRING' then cast({v} as string) when {blocks} is not null then {joined} else '' end")
+    return F.expr(f"case when schema_of_variant({v}) = 'STRING' then cast({v} as string) when {blocks} is not null then {joined} when schema_of_variant({v}) like 'OBJECT%' then '' else coalesce({content}, '') end")
 
 
 def judge_verdict(raw: str) -> Column:

@@ -118,8 +118,8 @@ class Index:
     def of_sources(self, sources: DataFrame, version: int | None = None) -> DataFrame:
         """The chunks of the sources in a column source_id: only their buckets are read, as Spark finds out when it runs."""
         manifest = self.manifest(version)
-        wanted = sources.select("source_id", bucket_of("source_id", manifest["buckets"]).alias("bucket")).distinct()
-        return self._rows(manifest).join(wanted, ["bucket", "source_id"], "left_semi")
+        wanted = sources.select(F.col("source_id").alias("s"), bucket_of("source_id", manifest["buckets"]).alias("b")).distinct()
+        return self._rows(manifest).join(wanted, (F.col("bucket") == F.col("b")) & F.col("source_id").eqNullSafe(F.col("s")), "left_semi")
 
     # --- writing ---
 

@@ -19,46 +19,6 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, question string, expected_keywords array<string>").json(path, multiLine=True)
 
 
-def _files(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, path: str) -> list[str]:
-    """Names of the complete versions of an index, oldest first; a version is complete once its writer has left its mark."""
-    target, files = _files(spark, path)
-    if not files.exists(target):
-        return []
-    names = [s.getPath().getName() for s in files.listStatus(target) if s.isDirectory()]
-    return sorted(n for n in names if n.startswith("v") and files.exists(_files(spark, f"{path}/{n}/_SUCCESS")[0]))
-
-
-def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest complete version of the chunk index at path, or None."""
-    found = _versions(spark, path)
-    return spark.read.parquet(f"{path}/{found[-1]}") if found else None
-
-
-def upsert_chunks(chunks: DataFrame, path: str, keep: int = 2) -> int:
-    """Add chunks to the index at path; a (source_id, chunk_index) that is there already is replaced. Returns how many were given.
-
-    The index is a folder of versions. A new one is written beside the others, sorted by source_id within its files so that
-    reads for a few sources skip most of them, and counts only once it is complete. So a failure at any time leaves the one before; older ones than `keep` go.
-    """
-    spark = chunks.sparkSession
-    new = chunks.dropDuplicates(["source_id", "chunk_index"])
-    old, found = read_index(spark, path), _versions(spark, path)
-    if old is not None:
-        kept = old.join(new.select("source_id", "chunk_index"), ["source_id", "chunk_index"], "left_anti")
-        new = kept.unionByName(new, allowMissingColumns=True)
-    number = int(found[-1][1:]) + 1 if found else 1
-    new.repartition("source_id").sortWithinPartitions("source_id", "chunk_index").write.mode("overwrite").parquet(f"{path}/v{number:012d}")
-    for name in found[: max(0, len(found) + 1 - keep)]:
-        target, files = _files(spark, f"{path}/{name}")
-        files.delete(target, True)
-    return chunks.count()
-
-
 def save_graph(edges: DataFrame, papers: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
     papers.select("source_id", "title").write.mode("overwrite").parquet(f"{path}/titles")
