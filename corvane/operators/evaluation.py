@@ -80,7 +80,12 @@ def sweep_summary(records: DataFrame) -> DataFrame:
 
 
 def agent_summary(records: DataFrame) -> DataFrame:
-    """One row over recall, citation_validity, retries, has_citations, unverified (and latency, if there); means are null where nothing counts, so JSON leaves them out."""
+    """One row over recall, citation_validity, retries, has_citations, unverified (and latency_ms, if there); means are null where nothing counts."""
     mean = lambda c: F.round(F.avg(c), 6)
-    timed = [mean("latency").alias("avg_latency")] if "latency" in records.columns else []
+    timed = [mean("latency_ms").alias("avg_latency_ms")] if "latency_ms" in records.columns else []
     return records.agg(F.count(F.lit(1)).alias("questions_completed"), mean("recall").alias("avg_recall"), mean("citation_validity").alias("avg_citation_validity"), mean(F.when(~F.col("unverified"), F.col("citation_validity"))).alias("avg_citation_validity_verified"), mean("retries").alias("avg_retries"), mean("has_citations").alias("citation_rate"), mean(F.col("unverified").cast("double")).alias("unverified_rate"), *timed)
+
+
+def as_json(summary: DataFrame) -> DataFrame:
+    """A summary as JSON; what is null is left out, so no questions give their count alone."""
+    return summary.select(F.to_json(F.struct("*")).alias("summary"))

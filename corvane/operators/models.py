@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
@@ -42,6 +42,19 @@ class Scripted:
         return found.select(*asked.columns, F.replace(reply, F.lit(FIRST_SOURCE), source).alias("reply"), F.lit(None).cast("string").alias("reason"))
 
 
+@dataclass(frozen=True)
+class Failing:
+    """A model that has no reply for some questions, for a reason that is given."""
+
+    model: object
+    at: Column
+    reason: str
+
+    def replies(self, asked: DataFrame) -> DataFrame:
+        told = self.model.replies(asked)
+        return told.withColumns({"reply": F.when(~self.at, F.col("reply")), "reason": F.when(self.at, F.lit(self.reason)).otherwise(F.col("reason"))})
+
+
 def content_text(content) -> str:
     """The text of a message: a string, or a list of strings and typed blocks of which those of type text count."""
     if isinstance(content, str):

@@ -7,7 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import agent, chunking, graph, retrieval
+from corvane.functions import text as T
+from corvane.operators import agent, chunking, evaluation, graph, retrieval
+from corvane.sources import runs
 from corvane.sources.index import Index
 from corvane.sources.scratch import new_path, stored
 
@@ -79,6 +81,36 @@ class Corpus:
         """The loop's outcome for each question (qid, question): retrieval from the index, drafts and verdicts by the model."""
         return agent.run(questions, model, self.search, max_retries)
 
+    def evaluate_retrieval(self, path: str, names: str | None = None, offset: int = 0, limit: int = 0) -> str:
+        """Log a run of the strategies of a comma-separated list (or all) over a slice of the questions; returns its id."""
+
+        def ask(questions: DataFrame, strategy: tuple) -> DataFrame:
+            _, weight, graph_weight = strategy
+            pool = stored(retrieval.overlap(retrieval.vector_top(questions, self.chunks), questions, self.chunks))
+            found = graph.expanded(pool, questions, self.chunks, self.links, weight, graph_weight) if graph_weight > 0 else retrieval.hybrid(pool, weight)
+            return evaluation.keyword_recall(found, self.chunks, evaluation.expected_keywords(questions)).withColumnRenamed("qid", "question_no")
+
+        questions = stored(evaluation.question_slice(self.questions, offset, limit))
+        return runs.evaluate(questions, evaluation.strategies(names), ask, path)
+
+    def evaluate_answers(self, path: str, model, names: str | None = None, offset: int = 0, limit: int = 0, max_retries: int = 2) -> str:
+        """Log a run of the loop, its search weighted by each strategy, over a slice of the questions; returns its id. Strategies with a graph search without it."""
+
+        def ask(questions: DataFrame, strategy: tuple) -> DataFrame:
+            done = stored(agent.run(questions, model, lambda q: self.search(q, weight=strategy[1]), max_retries))
+            return self.metrics(done)
+
+        questions = stored(evaluation.question_slice(self.questions, offset, limit))
+        return runs.evaluate(questions, evaluation.strategies(names), ask, path)
+
+    def metrics(self, done: DataFrame) -> DataFrame:
+        """question_no, recall, n_papers, citation_validity, retries, has_citations, unverified and failed of the loop's outcomes."""
+        rows = done.select("qid", F.explode("found").alias("c")).select("qid", "c.rank", "c.source_id", "c.chunk_index")
+        recall = evaluation.keyword_recall(rows, self.chunks, evaluation.expected_keywords(done).select("qid", "expected"))
+        validity = evaluation.citation_validity(F.col("cited"), F.coalesce("found.source_id", F.array().cast("array<string>")))
+        tagged = T.has_citations(F.col("answer")).cast("double")
+        return done.join(recall, "qid").select(F.col("qid").alias("question_no"), "recall", "n_papers", validity.alias("citation_validity"), F.col("retries").cast("double").alias("retries"), tagged.alias("has_citations"), (F.col("verdict") != "approved").alias("unverified"), "failed")
+
     def answer(self, question: str, model, max_retries: int = 2) -> dict:
         """What a caller gets for one question: question, search_query, answer, sources (without their texts), cited, retry_count, verdict."""
         if len(question) < 3:

@@ -13,7 +13,8 @@ from corvane.functions import text as T
 from corvane.operators import agent, chunking, evaluation, graph, models, retrieval
 from corvane.plans.corpus import corpus, documents, table, texts
 from corvane.plans.runs import RUNS
-from corvane.sources.scratch import stored
+from corvane.sources import runs
+from corvane.sources.scratch import new_path, stored
 
 KNOWN_IDS = ("0", "1", "2", "3")
 
@@ -185,9 +186,13 @@ def critic_route(spark, sf_dir):
 
 
 def quota_cut(spark, sf_dir):
-    """Whether each labelled document counts before the first failure of a run of three strategies (the quota cut)."""
-    r = table(spark, sf_dir, "labels").select((F.col("doc_id") % 3).alias("ordinal"), F.col("doc_id").alias("question_no"), ((F.col("doc_id") % 3 == 1) & (F.col("doc_id") > 500)).alias("failed"))
-    return evaluation.until_quota(r.withColumn("strategy", F.col("ordinal").cast("string")))
+    """Questions that were answered before the quota was used up, in a logged run of two strategies of the loop whose model fails at every sixteenth question."""
+    c = corpus(spark, sf_dir)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    model = models.Failing(models.Scripted(stored(scripted_replies(q))), F.col("qid") % 16 == 9, "429 RESOURCE_EXHAUSTED: requests PerDay")
+    path = new_path(spark, "runs")
+    run = c.evaluate_answers(path, model, "hybrid_light,hybrid")
+    return runs.records(spark, path, run).select("strategy", "ordinal", "question_no", F.round("recall", 6).alias("recall"), F.round("citation_validity", 6).alias("citation_validity"), F.col("retries").cast("long").alias("retries"), "stopped_early")
 
 
 def contexts(spark, sf_dir):
@@ -254,12 +259,7 @@ def agent_loop(spark, sf_dir):
 
 def agent_eval_summary(spark, sf_dir):
     """Metrics over the loop's answers to all questions."""
-    done = stored(_answered(spark, sf_dir))
-    expected = evaluation.expected_keywords(done)
-    rows = done.select("qid", F.explode("found").alias("c")).select("qid", "c.rank", "c.source_id", "c.chunk_index")
-    recall = evaluation.keyword_recall(rows, corpus(spark, sf_dir).chunks, expected.select("qid", "expected"))
-    validity = evaluation.citation_validity(F.col("cited"), F.col("found.source_id"))
-    records = done.join(recall, "qid").select("recall", validity.alias("citation_validity"), F.col("retries").cast("double").alias("retries"), T.has_citations(F.col("answer")).cast("double").alias("has_citations"), (F.col("verdict") != "approved").alias("unverified"))
+    records = corpus(spark, sf_dir).metrics(stored(_answered(spark, sf_dir)))
     return evaluation.agent_summary(records)
 
 

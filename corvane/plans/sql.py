@@ -189,7 +189,14 @@ _CONTEXT = """f AS (SELECT source_id, chunk_index, text FROM chunks)"""
 SQL = {
     "eval_slice": "SELECT item_id AS qid, length(text)::bigint AS n_chars FROM benchmark ORDER BY item_id LIMIT 10 OFFSET 5",
     "critic_route": with_(_ANSWERS, _ROUTED, "SELECT conv_id, turn, verdict, (n + (verdict IN ('needs_retrieval', 'needs_rewrite'))::bigint)::bigint AS retries, CASE WHEN verdict IN ('approved', 'unverified') THEN 'end' WHEN verdict = 'needs_retrieval' THEN 'retriever' ELSE 'synthesis' END AS route FROM r"),
-    "quota_cut": "WITH r AS (SELECT (doc_id % 3)::bigint AS ordinal, doc_id AS question_no, doc_id % 3 = 1 AND doc_id > 500 AS failed FROM labels), s AS (SELECT min(question_no) AS q FROM r WHERE failed) SELECT ordinal, question_no, ordinal::varchar AS strategy, q IS NOT NULL AS stopped_early FROM r, s WHERE q IS NULL OR ordinal < 1 OR (ordinal = 1 AND question_no < q)",
+    "quota_cut": with_(
+        LOOP.replace(ranked("hits", 0.3, 5), ranked("hits", 0.15, 5)),
+        "asked AS (SELECT item_id AS qid, text AS question FROM benchmark)",
+        "found AS (SELECT e.qid, f.rank, f.source_id, f.chunk_index FROM ended e JOIN hits f ON f.qid = 4 * e.qid + e.n_rewrite)",
+        recall("recalled", "found", "asked"),
+        "stop AS (SELECT min(item_id) AS qid FROM benchmark WHERE item_id % 16 = 9)",
+        "SELECT 'hybrid_light' AS strategy, 0::bigint AS ordinal, e.qid AS question_no, round(recall, 6) AS recall, round(CASE WHEN len(cited) > 0 THEN len(list_filter(cited, lambda x: list_contains(ids, x)))::double / len(cited)::double ELSE 0 END, 6) AS citation_validity, retries, true AS stopped_early FROM ended e JOIN recalled r ON e.qid = r.qid, stop WHERE e.qid < stop.qid",
+    ),
     "contexts": with_(chunks(), _CONTEXT, """SELECT source_id, md5(string_agg('[arxiv:' || source_id || '] "Paper ' || source_id || '" (chunk ' || chunk_index::varchar || ')' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY chunk_index)) AS writer_md5, md5(string_agg('[arxiv:' || source_id || '] ' || text, chr(10) || chr(10) ORDER BY chunk_index)) AS judge_md5 FROM f GROUP BY source_id"""),
     "kg_nodes": with_(EDGES, "SELECT source_id AS id, 'paper' AS type FROM papers UNION SELECT dst, split_part(dst, ':', 1) FROM edges"),
     "chunk_windows": with_(chunks(), "SELECT source_id, chunk_index, md5(text) AS text_md5, length(text)::bigint AS n_chars FROM chunks"),
