@@ -295,7 +295,9 @@ def test_damaged_archives(spark, tmp_path):
             warc.read(table, folder).collect()
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize(("shard", "block"), [(8_192, 8 << 20), (5, 8 << 20), (9, 128)])
+def test_top_k(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
     rng = np.random.default_rng(1)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, None), (61, [float("nan")] * 8), (62, [None, 1.0]), (63, [0.5]), (100, [0.25] * 8), (100, [0.25] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
@@ -304,7 +306,7 @@ def test_top_k(spark):
     for q, a in [(i, v) for i, v in {i: v for i, v in rows}.items() if i % 20 == 0]:
         s = sorted((-int(a @ b), i) for i, b in rows if i != q)[:10]
         want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
-    got = topk.top_k(df.where("vec_id % 20 = 0"), df).collect()
+    got = topk.top_k(df.where("vec_id % 20 = 0"), df, block_bytes=block).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
