@@ -42,15 +42,17 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 def mark_duplicates(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, sha1, row (a number of its own), refers_to and refers_row (the response's page_id and row; null for responses).
 
-    pages is a table, read alike each time. Payloads are equal if SHA-1 and another hash are.
+    pages is a table, read alike each time. Payloads are equal if SHA-1 and another hash are. Groups are made of hashes and numbers alone; payloads meet only the marks of their own
+    row, so a page that everyone serves is dealt out like others.
     """
     payload = F.coalesce(F.col(quoted(html)).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(quoted(page_id)).cast("long").alias("page_id"), F.col(quoted(url)).cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumns({"sha1": F.sha1("payload"), "beside": F.xxhash64("payload")})
-    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("sha1", "beside").agg(F.max("page_id").alias("last"), F.max_by("row", "page_id").alias("last_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    rows = rows.withColumn("sha1", F.sha1("payload"))
+    light = rows.select("page_id", "row", "sha1", F.xxhash64("payload").alias("beside"), F.octet_length("payload").alias("size"))
+    groups = light.where(F.col("size") >= min_bytes).groupBy("sha1", "beside").agg(F.max("page_id").alias("last"), F.max_by("row", "page_id").alias("last_row"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
-    marked = rows.join(groups, ["sha1", "beside"], "left")
-    return marked.select("page_id", "url", "payload", "sha1", "row", F.when(revisit, F.col("last")).alias("refers_to"), F.when(revisit, F.col("last_row")).alias("refers_row"))
+    marks = light.join(groups, ["sha1", "beside"]).where(revisit).select("row", F.col("last").alias("refers_to"), F.col("last_row").alias("refers_row"))
+    return rows.join(marks, "row", "left").select("page_id", "url", "payload", "sha1", "row", "refers_to", "refers_row")
 
 
 def record_id(page_id: int | None, row: int) -> str:
@@ -158,15 +160,24 @@ def write(rows: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", arch
 
 
 def normalise(paths: DataFrame, folder: str, level: int = 4, keep: bool = False) -> DataFrame:
-    """Rewrite each archive with a member for every record, beside a sidecar index; returns the path of each new archive and its number of records."""
+    """Rewrite each archive with a member for every record, beside a sidecar index; returns the path of each new archive and its number of records.
+
+    A new archive is named after its source, and its index gets its name last. Unless they are kept, sources go as soon as theirs is whole; a task that is
+    run again then finds the new archive.
+    """
 
     def run(batches):
         files, base = _open(folder)
+        exists = lambda path: files.get_file_info(path).type == pafs.FileType.File
+        done = lambda target, n: pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], pa.int64())], names=["path", "records"])
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                target = f"{base}/{uuid.uuid4().hex}.members.warc.gz"
-                n = at = 0
-                with files.open_input_stream(path, compression=None) as source, files.open_output_stream(target, compression=None) as out, files.open_output_stream(target + ".idx", compression=None) as side:
+                target = f"{base}/{path.rpartition('/')[2].removesuffix('.warc.gz')}.members.warc.gz"
+                if not exists(path) and exists(target + ".idx"):  # an attempt that was lost had done all
+                    yield done(target, sum(1 for _ in read_index(files, target)))
+                    continue
+                own, n, at = f"{target}.{uuid.uuid4().hex}", 0, 0
+                with files.open_input_stream(path, compression=None) as source, files.open_output_stream(own, compression=None) as out, files.open_output_stream(own + ".idx", compression=None) as side:
                     for fields, raw in records(source):
                         deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = deflate.compress(raw) + deflate.flush()
@@ -174,9 +185,11 @@ def normalise(paths: DataFrame, folder: str, level: int = 4, keep: bool = False)
                         side.write(f"{at}\t{len(member)}\t{fields['warc-type']}\t{fields['warc-record-id']}\n".encode())
                         at += len(member)
                         n += 1
+                files.move(own, target)
+                files.move(own + ".idx", target + ".idx")
                 if not keep:
                     files.delete_file(path)
-                yield pa.RecordBatch.from_arrays([pa.array([target]), pa.array([n], pa.int64())], names=["path", "records"])
+                yield done(target, n)
 
     return paths.mapInArrow(run, schema("path string, records long"))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, quality, substring_dedup, suffix_tree_lm, topk, warc
+from corvane.llm import bpe, common, decontaminate, jaccard_join, language_id, line_dedup, quality, substring_dedup, suffix_tree_lm, topk, warc
 
 DOCS = "doc_id long, text string, lang string, kept_text string"
 
@@ -295,6 +295,19 @@ def test_damaged_archives(spark, tmp_path):
             warc.read(table, folder).collect()
 
 
+def test_a_page_that_everyone_serves(spark, tmp_path):
+    """20,000 copies of one page, and archives that are normalised twice, as by a task that is run again."""
+    pages = spark.range(20_100).select(F.col("id").alias("page_id"), F.lit("http://a/").alias("url"), F.when(F.col("id") < 20_000, F.lit("the same page " * 5)).otherwise(F.col("id").cast("string")).alias("html"))
+    path = str(tmp_path / "pages")
+    pages.write.parquet(path)
+    found = warc.round_trip(spark.read.parquet(path)).groupBy("record_type", "refers_to").count().collect()
+    assert {(r.record_type, r.refers_to, r["count"]) for r in found} == {("response", None, 101), ("revisit", 19_999, 19_999)}
+    folder = "file://" + str(tmp_path / "archives")
+    written = common.stored(warc.write(warc.mark_duplicates(spark.read.parquet(path)), folder))
+    once, twice = (warc.normalise(written, folder).collect() for _ in range(2))
+    assert sorted(once) == sorted(twice) and sum(r.records for r in once) == 20_100
+
+
 @pytest.mark.parametrize(("shard", "block"), [(8_192, 8 << 20), (5, 8 << 20), (9, 128)])
 def test_top_k(spark, monkeypatch, shard, block):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
