@@ -75,7 +75,8 @@ class Corpus:
         pool = stored(retrieval.overlap(retrieval.vector_top(q, self.chunks), q, self.chunks))
         hits = retrieval.hybrid(pool, weight, top)
         fields = self.chunks.select("source_id", "chunk_index", F.coalesce("source_title", F.lit("")).alias("source_title"), F.coalesce("text", F.lit("")).alias("text"))
-        return hits.join(fields, ["source_id", "chunk_index"]).select("qid", "rank", "source_id", "source_title", "chunk_index", "score", "text")
+        found = hits.join(fields, ["source_id", "chunk_index"])
+        return found.select("qid", "rank", "source_id", "source_title", F.coalesce("chunk_index", F.lit(-1)).alias("chunk_index"), "score", "text")
 
     def answers(self, questions: DataFrame, model, max_retries: int = 2) -> DataFrame:
         """The loop's outcome for each question (qid, question): retrieval from the index, drafts and verdicts by the model."""

@@ -62,11 +62,20 @@ def vector_topk(spark, sf_dir):
     return out.select("qid", "rank", "source_id", "chunk_index", F.round("sim", 6).alias("sim"))
 
 
+#: Query vectors that are sent to the executors at once, half a kB each.
+VECTORS_AT_ONCE = 4_096
+
+
 def vector_topk_embeddings(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    q = v.groupBy("label").agg(F.min_by("e", "vec_id").alias("q"))
+    q = stored(v.groupBy("label").agg(F.min_by("e", "vec_id").alias("q")))
     sim = F.round(F.aggregate(F.zip_with("q", "e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
-    scored = v.drop("label").crossJoin(F.broadcast(q)).select(F.col("label").cast("long").alias("label"), "vec_id", sim.alias("sim"))
+    blocks = max(1, -(-q.count() // VECTORS_AT_ONCE))
+    scored = None
+    for k in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == k)
+        one = v.drop("label").crossJoin(F.broadcast(some)).select(F.col("label").cast("long").alias("label"), "vec_id", sim.alias("sim"))
+        scored = one if scored is None else scored.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("sim"), "vec_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= 20)
 
