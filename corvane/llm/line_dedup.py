@@ -2,14 +2,15 @@
 
 Line keys are hashed to 128 bits. First occurrences per document are range-partitioned by hash with a
 secondary sort by document and position and streamed once: a run of equal hashes is counted in
-constant memory. Each partition sends at most min_docs documents of a key (enough to decide), so a
-line that all documents share stays small. The lines of dropped keys come back as one compressed
+constant memory. Of every BATCH rows of a partition at most min_docs documents of a key are sent (enough to decide), so a
+line that all documents share stays small. Its occurrences meet its key in a join whose large partitions Spark splits when it runs. The lines of dropped keys come back as one compressed
 keep bitmap per document; texts meet only their bitmap.
 
 mode "all" drops every line of a key found in at least min_docs documents; mode "first" keeps the
 line at the smallest document and position. A document is a (doc_id, text) pair: rows equal in both
 count once and get the same result. Null doc_id is one id of its own; null text is an empty line.
-Lines whose key is shorter than min_chars never go. Other columns do not matter.
+Lines whose key is shorter than min_chars never go. Very long texts are cut into lines whole, one at a time. An empty table gives an empty one.
+Other columns stay; names that begin with two underscores are kept for columns of this module, and one with the name of a result is replaced.
 """
 
 from __future__ import annotations
