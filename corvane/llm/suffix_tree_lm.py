@@ -338,10 +338,13 @@ def _sums_of_values(wanted: DataFrame, tree: DataFrame) -> DataFrame:
                 if side == 0:
                     held.append((np.array(np.frombuffer(k, np.uint64)), np.array(np.frombuffer(v, np.float64))))
                     continue
-                if held:
+                if held:  # no copy lives longer than it must
                     keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+                    held = []
                     order = np.argsort(keys)
-                    keys, values, held = keys[order], values[order], []
+                    keys = keys[order]
+                    values = values[order]
+                    del order
                 at = _find(keys, np.frombuffer(k, np.uint64))
                 hit = at >= 0
                 if hit.any():
