@@ -18,8 +18,8 @@ HUB, MOST = 200, 20
 
 
 def gram_counts(papers: DataFrame) -> DataFrame:
-    """source_id, term, c (times) and total (grams of the paper)."""
-    found = papers.select("source_id", F.array_compact(T.grams(F.concat_ws(" ", "title", "abstract"))).alias("grams"))
+    """source_id, term, c (times) and total (grams of the paper). Papers are dealt by id once, so that no gram is shuffled to be counted."""
+    found = papers.select("source_id", F.concat_ws(" ", "title", "abstract").alias("text")).repartition("source_id").select("source_id", F.array_compact(T.grams("text")).alias("grams"))
     each = found.select("source_id", F.size("grams").cast("long").alias("total"), F.explode("grams").alias("term"))
     return each.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("c"), F.max("total").alias("total"))
 
@@ -31,7 +31,7 @@ def document_frequency(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 def concepts(papers: DataFrame, top: int = 12) -> DataFrame:
     """source_id, rank, term, score: the grams of each paper with the highest TF-IDF."""
-    counts = stored(gram_counts(papers))
+    counts = gram_counts(papers)
     df = document_frequency(counts, papers.agg(F.count(F.lit(1)).alias("n_docs")))
     score = F.round(F.col("c") / F.col("total") * F.log(F.col("n_docs") / F.col("df")), 12)
     scored = counts.join(df, "term").select("source_id", "term", score.alias("score"))
