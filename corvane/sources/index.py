@@ -81,14 +81,13 @@ class Index(Versions):
         first = self.manifest()
         schema, buckets = T.StructType.fromJson(first["schema"]), first["buckets"]
         new = stored(chunks.select(*schema.names).withColumn("bucket", bucket_of("source_id", buckets)))
-        once = new.withColumn("nth", F.row_number().over(Window.partitionBy("source_id", "chunk_index").orderBy(F.xxhash64(*schema.names)))).where("nth = 1").drop("nth")
         touched = (sources if sources is not None else new).select("source_id").distinct()
         touched = stored(touched.withColumn("bucket", bucket_of("source_id", buckets)))
         numbers = {r.bucket for r in touched.select("bucket").distinct().collect()} | {r.bucket for r in new.select("bucket").distinct().collect()}  # as many as buckets at most
         for _ in range(ATTEMPTS):
             base = self.manifest()
             try:
-                return self._replace(base, numbers, touched, once)
+                return self._replace(base, numbers, touched, new)
             except Conflict:
                 continue
         raise Conflict(f"{self.path} was changed {ATTEMPTS} times by others")
@@ -103,9 +102,10 @@ class Index(Versions):
         gone = touched.select(F.col("source_id").alias("s"), F.col("bucket").alias("b"))
         kept = old.join(gone, (F.col("bucket") == F.col("b")) & F.col("source_id").eqNullSafe(F.col("s")), "left_anti")
         order = ["bucket", "source_id", "chunk_index"]
-        rows = kept.unionByName(new.select(kept.columns))
+        rows = kept.unionByName(new.select(kept.columns)).repartitionByRange(*order)
+        nth = F.row_number().over(Window.partitionBy(*order).orderBy(F.xxhash64(*kept.columns)))  # in the same partitions
         write = f"{base['version'] + 1:012d}-{uuid.uuid4().hex}"
-        rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/data/{write}")
+        rows.withColumn("nth", nth).where("nth = 1").drop("nth").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/data/{write}")
         folder, files = self._file(f"{self.path}/data/{write}")
         written = {int(n.removeprefix("bucket=")) for s in files.listStatus(folder) if (n := s.getPath().getName()).startswith("bucket=")}
         folders = {k: f for k, f in base["folders"].items() if int(k) not in numbers} | {str(k): write for k in sorted(written)}
