@@ -57,7 +57,7 @@ class Lookup:
     """Places of integer keys in a list, by open addressing."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.mask = (1 << max(4, int(3 * len(keys)).bit_length())) - 1
+        self.mask = (1 << max(4, int(2 * len(keys)).bit_length())) - 1
         self.keys, self.places = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
         left, self.probes = np.arange(len(keys)), 0
         while len(left):
