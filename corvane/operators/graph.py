@@ -133,8 +133,8 @@ def merged(seeds: DataFrame, near: DataFrame, graph_weight, top: int = 5, by: tu
     return once.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select(*by, "rank", "source_id", "chunk_index", F.round("score", 4).alias("score"))
 
 
-def expanded(pool: DataFrame, questions: DataFrame, chunks: DataFrame, links: Links, weight: float, graph_weight: float, top: int = 5, candidates: int = 20, neighbours: int = 3) -> DataFrame:
-    """Hybrid search whose seeds bring in chunks of related papers; pool has sim and kw, chunks are embedded."""
+def expanded(pool: DataFrame, questions: DataFrame, chunks: DataFrame, links: Links | None, weight: float, graph_weight: float, top: int = 5, candidates: int = 20, neighbours: int = 3) -> DataFrame:
+    """Hybrid search whose seeds bring in chunks of related papers; pool has sim and kw, chunks are embedded. A graph_weight of 0 needs no links."""
     if graph_weight <= 0:
         return retrieval.hybrid(pool, weight, top)
     return merged(*neighbour_chunks(pool, questions, chunks, links, weight, candidates, neighbours), graph_weight, top)

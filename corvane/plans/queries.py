@@ -122,7 +122,8 @@ def related_papers(spark, sf_dir):
 def _expanded(graph_weight: float):
     def query(spark, sf_dir):
         q, c, pool = _scored(spark, sf_dir)
-        return graph.expanded(pool, q, c, corpus(spark, sf_dir).links, 0.3, graph_weight)
+        links = corpus(spark, sf_dir).links if graph_weight > 0 else None  # without a weight no graph is made
+        return graph.expanded(pool, q, c, links, 0.3, graph_weight)
 
     return query
 

@@ -7,6 +7,7 @@ from corvane.functions import text as T
 from corvane.operators import chunking, evaluation, graph, retrieval
 from corvane.plans import queries as plans
 from corvane.plans import sql
+from corvane.plans.corpus import Corpus
 
 
 def one(df):
@@ -63,3 +64,11 @@ def test_graph(spark):
 
 def test_every_sql_has_a_query():
     assert set(sql.SQL) <= set(plans.queries())
+
+
+def test_no_graph_is_made_for_a_weight_of_zero(spark, monkeypatch):
+    def made(self):
+        raise AssertionError("the graph was made")
+
+    monkeypatch.setattr(Corpus, "links", property(made))
+    assert plans.queries()["graph_zero_equals_hybrid"](spark, "/root/testdata/sf0.001").count() > 0
