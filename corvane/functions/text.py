@@ -22,8 +22,9 @@ CONCEPT_STOPWORDS = [
 WHITE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
-def words(c) -> Column:
-    return F.filter(F.split(c, WHITE), lambda x: x != "")
+def words(c, limit: int = -1) -> Column:
+    """Words; with a limit the text is cut into so many parts at most, the last of which is what is left of it."""
+    return F.filter(F.split(c, WHITE, limit), lambda x: x != "")
 
 
 def keywords(c) -> Column:
@@ -37,13 +38,6 @@ def concept_words(c) -> Column:
     return F.filter(tokens, lambda x: ~x.isin(CONCEPT_STOPWORDS))
 
 
-def grams(c) -> Column:
-    """Concept words and pairs of neighbours among them."""
-    w = concept_words(c)
-    pairs = F.zip_with(w, F.slice(w, 2, 1 << 30), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(w, pairs)  # the last pair is null
-
-
 def embed_words(c) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), 1)
 

@@ -29,7 +29,7 @@ SCHEMA_VERSION = 2
 
 def papers(docs: DataFrame) -> DataFrame:
     """Documents as papers: the first words are the title, the language the category, the source the author; none has a date."""
-    title = F.array_join(F.slice(T.words(F.coalesce("text", F.lit(""))), 1, 8), " ")
+    title = F.array_join(F.slice(T.words(F.coalesce("text", F.lit("")), 10), 1, 8), " ")  # white space may come first, and the tenth part is the rest
     listed = lambda c: F.array_compact(F.array(c)).alias
     return docs.select(F.col("doc_id").cast("string").alias("source_id"), title.alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), listed("source")("authors"), F.col("lang").alias("primary_category"), listed("lang")("categories"), F.lit("").alias("published"))
 

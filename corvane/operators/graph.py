@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from math import inf, log
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,26 +19,146 @@ from corvane.sources.scratch import stored
 EDGE_WEIGHTS = {"MENTIONS": 1.0, "AUTHORED_BY": 0.8, "IN_CATEGORY": 0.25}
 #: Papers of a node from which on it is a hub, and related papers that can be asked for.
 HUB, MOST = 200, 20
+#: Grams whose df is sent to all tasks, grams that a task sums up before it passes them on, and rows that it returns at once.
+KNOWN, AT_ONCE, ROWS_AT_ONCE = 200_000, 400_000, 50_000
+#: Characters of text for each partition of a shuffle of grams.
+PART_CHARS = 16 << 20
+
+
+def _words(papers: DataFrame) -> DataFrame:
+    """source_id and words: the concept words of a paper's title and abstract, parted by spaces. Papers with one id are one, their texts parted by line breaks."""
+    text = F.concat_ws(" ", "title", "abstract")
+    each = papers.select("source_id", F.array_join(T.concept_words(text), " ").alias("words"))
+    if papers.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return each
+    return each.groupBy("source_id").agg(F.array_join(F.collect_list("words"), "\n").alias("words"))
+
+
+def _grams(words: str) -> Counter:
+    """How often each concept word and pair of neighbours occurs."""
+    found = Counter()
+    for text in words.split("\n"):
+        w = text.split()
+        found.update(w)
+        found.update(map(" ".join, zip(w, w[1:], strict=False)))
+    return found
+
+
+def _sums_of_papers(batches):
+    """term and n, the papers that have it, summed over AT_ONCE terms or so."""
+    papers_of = Counter()
+    rows = lambda: pa.RecordBatch.from_arrays([pa.array(papers_of, pa.string()), pa.array(papers_of.values(), pa.int64())], names=["term", "n"])
+    for batch in batches:
+        for words in batch.column("words"):
+            papers_of.update(_grams(words.as_py()).keys())
+            if len(papers_of) >= AT_ONCE:
+                yield rows()
+                papers_of.clear()
+    if papers_of:
+        yield rows()
 
 
-def gram_counts(papers: DataFrame) -> DataFrame:
-    """source_id, term, c (times) and total (grams of the paper). Papers are dealt by id once, so that no gram is shuffled to be counted."""
-    found = papers.select("source_id", F.concat_ws(" ", "title", "abstract").alias("text")).repartition("source_id").select("source_id", F.array_compact(T.grams("text")).alias("grams"))
-    each = found.select("source_id", F.size("grams").cast("long").alias("total"), F.explode("grams").alias("term"))
-    return each.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("c"), F.max("total").alias("total"))
+@dataclass
+class Frequencies:
+    """of: term and df of the grams that two papers have at least; n_docs; the partitions that a shuffle of all grams is dealt to."""
+
+    of: DataFrame
+    n_docs: int
+    parts: int
+
+
+def frequencies(papers: DataFrame) -> Frequencies:
+    """The papers that have each gram. Tasks sum up before the shuffle, and the shuffle has partitions for the text's length, so a task's memory does not grow with the input."""
+    size = papers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("abstract").cast("long")), F.lit(0)).alias("chars")).first()
+    parts = max(papers.sparkSession.sparkContext.defaultParallelism, -(-size.chars // PART_CHARS))
+    some = _words(papers).select("words").mapInArrow(_sums_of_papers, "term string, n long")
+    df = some.repartition(parts, "term").groupBy("term").agg(F.sum("n").alias("df")).where("df >= 2")
+    return Frequencies(stored(df), size.n, parts)
+
 
+def document_frequency(f: Frequencies) -> DataFrame:
+    """term and df of the grams in two papers at least and half of them at most."""
+    return f.of.where(F.col("df") <= F.lit(f.n_docs * 0.5))
 
-def document_frequency(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """term and df of the grams in two papers at least and half of them at most; n_docs: one row, n_docs."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n_docs)).where("df >= 2 and df <= n_docs * 0.5D")
 
+def _known(f: Frequencies, most: int) -> tuple[dict[str, int], int]:
+    """df of the most frequent grams, `most` at most: all whose df is the second number or more."""
+    steps = f.of.groupBy(F.floor(F.log2("df") * 4).alias("step")).agg(F.count(F.lit(1)).alias("terms"), F.min("df").alias("least"))
+    least, terms = None, 0
+    for s in steps.orderBy(F.desc("step")).collect():  # four for each doubling
+        terms += s.terms
+        if terms > most:
+            break
+        least = s.least
+    if least is None:
+        return {}, 2 if terms == 0 else 1 << 62
+    rows = f.of.where(F.col("df") >= least).toArrow()  # `most` at most
+    return dict(zip(rows["term"].to_pylist(), rows["df"].to_pylist(), strict=True)), 2 if terms <= most else least
 
-def concepts(papers: DataFrame, top: int = 12) -> DataFrame:
+
+_CANDIDATES = "source_id string, term string, c long, total long, df long"
+
+
+def candidates(papers: DataFrame, f: Frequencies, top: int, most: int = KNOWN) -> DataFrame:
+    """source_id, term, c (times), total (grams of the paper) and df of all grams that can be among the `top` of each paper; df is null where it has to be looked up.
+
+    The frequent grams' df goes to all tasks. A rarer gram can be left out if it would be worse than `top` frequent ones even in two papers only.
+    """
+    known, least = _known(f, most)
+    weights = {df: log(f.n_docs / df) if df <= f.n_docs * 0.5 else 0.0 for df in set(known.values())}  # no gram of a result has weight 0
+    shipped = papers.sparkSession.sparkContext.broadcast((known, weights))
+    hope = log(f.n_docs / 2) if least > 2 and f.n_docs >= 4 else 0.0
+
+    def best(words: str) -> Iterator[tuple]:
+        (known, weights), grams = shipped.value, _grams(words)
+        total = grams.total()
+        scored = [(c * weights[df], term, c, df) for term, c in grams.items() if (df := known.get(term))]
+        scored = sorted((x for x in scored if x[0]), reverse=True)
+        # scores are rounded to twelve digits later
+        bound = scored[top - 1][0] - 1e-11 * total if len(scored) >= top else -inf
+        ties = Counter()
+        for score, term, c, df in scored:  # of grams with one score the largest are first
+            if score < bound:
+                break
+            ties[c, df] += 1
+            if ties[c, df] <= top:
+                yield term, c, total, df
+        if hope:
+            yield from ((term, c, total, None) for term, c in grams.items() if c * hope >= bound and term not in known)
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for source, words in zip(batch.column("source_id"), batch.column("words"), strict=True):
+                s = source.as_py()
+                rows += [(s, *x) for x in best(words.as_py())]
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+
+    return _words(papers).mapInArrow(run, _CANDIDATES)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["source_id", "term", "c", "total", "df"])
+
+
+def _dealt(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """df by a key in as many partitions, if Spark would make fewer."""
+    return df.repartition(parts, key) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def concepts(papers: DataFrame, top: int = 12, most: int = KNOWN) -> DataFrame:
     """source_id, rank, term, score: the grams of each paper with the highest TF-IDF."""
-    counts = gram_counts(papers)
-    df = document_frequency(counts, papers.agg(F.count(F.lit(1)).alias("n_docs")))
-    score = F.round(F.col("c") / F.col("total") * F.log(F.col("n_docs") / F.col("df")), 12)
-    scored = counts.join(df, "term").select("source_id", "term", score.alias("score"))
+    f = frequencies(papers)
+    found = stored(candidates(papers, f, top, most))
+    rare = _dealt(found.where("df is null").drop("df"), f.parts, "term").join(_dealt(document_frequency(f), f.parts, "term"), "term")
+    both = found.where("df is not null").unionByName(rare)
+    score = F.round(F.col("c") / F.col("total") * F.log(F.lit(f.n_docs) / F.col("df")), 12)
+    scored = _dealt(both.select("source_id", "term", score.alias("score")), f.parts, "source_id")
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), F.desc("term")))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
 

@@ -96,8 +96,7 @@ def _hybrid(weight: float):
 
 
 def doc_frequency(spark, sf_dir):
-    p = chunking.papers(texts(spark, sf_dir))
-    return graph.document_frequency(graph.gram_counts(p), p.agg(F.count(F.lit(1)).alias("n_docs"))).select("term", "df")
+    return graph.document_frequency(graph.frequencies(chunking.papers(texts(spark, sf_dir)))).select("term", "df")
 
 
 def tfidf_concepts(spark, sf_dir):
