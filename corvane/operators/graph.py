@@ -207,15 +207,18 @@ def related(seeds: DataFrame, links: Links, limit: int = 5) -> DataFrame:
 
     Papers that share a node of few papers with a seed are listed through it. Of papers that share hubs alone, those with one signature are
     equally related, so only the first of them by id can be among the best: a seed meets a few ids for each signature and not the papers of a hub. Those of them that
-    share other nodes too are listed already, and are more related than the rest of their signature.
+    share other nodes too are listed already, and are more related than the rest of their signature. Signatures are met through the hubs that `met` names only.
     """
     if limit > links.most:
         raise ValueError(f"at most {links.most} related papers are kept ready")
     mine = links.near.join(seeds.select("src").distinct(), "src", "left_semi")
     few = links.near.where(F.col("n") <= links.hub).select("relation", "dst", F.col("src").alias("other"))
     listed = stored(mine.where(F.col("n") <= links.hub).join(few, ["relation", "dst"]).where("src <> other").groupBy("src", "other").agg(F.sum("gain").alias("own")))
-    common = stored(mine.where(F.col("n") > links.hub).join(links.meant, ["relation", "dst"]).groupBy("src", "sig").agg(F.sum("gain").alias("common")))
+    hubs = stored(mine.where(F.col("n") > links.hub))
     sig_of_other = links.signed.withColumnRenamed("src", "other")
+    through = hubs.join(met(hubs, listed, limit), ["src", "relation", "dst"], "left_semi").join(links.meant, ["relation", "dst"]).select("src", "sig")
+    pairs = through.unionByName(listed.join(sig_of_other, "other").select("src", "sig")).distinct()
+    common = stored(pairs.join(links.meant, "sig").join(hubs, ["src", "relation", "dst"]).groupBy("src", "sig").agg(F.sum("gain").alias("common")))
     one = listed.join(sig_of_other, "other", "left").join(common, ["src", "sig"], "left").select("src", "other", (F.col("own") + F.coalesce("common", F.lit(0.0))).alias("total"))
     two = common.join(links.first, "sig").where("src <> other").join(listed, ["src", "other"], "left_anti").select("src", "other", F.col("common").alias("total"))
     scores = one.unionByName(two).select("src", "other", F.round("total", 6).alias("relatedness"))
@@ -223,6 +226,21 @@ def related(seeds: DataFrame, links: Links, limit: int = 5) -> DataFrame:
     return scores.withColumn("rank", rank.cast("long")).where(F.col("rank") <= limit)
 
 
+def met(hubs: DataFrame, listed: DataFrame, limit: int) -> DataFrame:
+    """src, relation, dst: the hubs through which a seed has to meet others.
+
+    A seed has `limit` others that are related by some number at least: those of a hub by its gain, and those listed by what they share. The largest hubs whose
+    gains add up to less than that are left out, since who shares nothing else with the seed comes after these others.
+    """
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("own"), "other"))
+    sure = listed.withColumn("place", place).where(F.col("place") == limit).select("src", F.col("own").alias("sure"))
+    largest = F.max(F.when(F.col("n") > limit, F.col("gain"))).over(Window.partitionBy("src"))
+    sums = F.sum("gain").over(Window.partitionBy("src").orderBy(F.desc("n"), "relation", "dst").rowsBetween(Window.unboundedPreceding, 0))
+    told = hubs.withColumns({"largest": largest, "sums": sums}).join(sure, "src", "left")
+    least = F.coalesce(F.greatest("largest", "sure"), F.lit(0.0)) - F.lit(2e-6)  # relatedness has six digits
+    return told.where(F.col("sums") >= least).select("src", "relation", "dst")
+
+
 def seed_papers(seeds: DataFrame, considered: int = 3) -> DataFrame:
     """qid and src of the first papers of ranked seeds (qid, source_id, rank)."""
     first = seeds.groupBy("qid", "source_id").agg(F.min("rank").alias("first"))

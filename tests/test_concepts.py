@@ -67,3 +67,17 @@ def test_titles(spark):
     texts = ["", "a b", "  a b c d e f g h i j", " a\tb\nc d e f g h i", "a b c d e f g h ", None]
     p = chunking.papers(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
     assert [r.title for r in p.orderBy(F.col("source_id").cast("int")).collect()] == [" ".join((t or "").split()[:8]) for t in texts]
+
+
+def test_largest_hubs_are_not_met(spark):
+    """Who shares a category of all papers alone with a seed comes after those who share a concept, so the category is not followed, and the rows are those of brute force."""
+    n = 400
+    rows = [(f"p{i:03d}", "IN_CATEGORY", "category:all") for i in range(n)] + [(f"p{i:03d}", "MENTIONS", f"concept:{i % 20}") for i in range(n)]
+    links = graph.linked(spark.createDataFrame(rows, "src string, relation string, dst string"), hub=10)
+    seeds = spark.createDataFrame([("p007",), ("p399",)], "src string")
+    hubs = links.near.join(seeds, "src", "left_semi")
+    none = spark.createDataFrame([], "src string, other string, own double")
+    assert {(r.src, r.dst) for r in graph.met(hubs, none, 5).collect()} == {("p007", "concept:7"), ("p399", "concept:19")}
+    gain = round(0.25 / math.log(n + 1.5) + 1 / math.log(20 + 1.5), 6)
+    got = [(r.src, r.other, r.relatedness) for r in graph.related(seeds, links, 5).orderBy("src", "rank").collect()]
+    assert got == [("p007", f"p{7 + 20 * k:03d}", gain) for k in range(1, 6)] + [("p399", f"p{19 + 20 * k:03d}", gain) for k in range(5)]
