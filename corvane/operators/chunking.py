@@ -25,11 +25,16 @@ def chunk_stats(c: DataFrame) -> DataFrame:
 
 #: Written into every chunk; readers fill in what older ones lack.
 SCHEMA_VERSION = 2
+#: Characters of a text in which most titles end.
+START = 400
 
 
 def papers(docs: DataFrame) -> DataFrame:
     """Documents as papers: the first words are the title, the language the category, the source the author; none has a date."""
-    title = F.array_join(F.slice(T.words(F.coalesce("text", F.lit("")), 10), 1, 8), " ")  # white space may come first, and the tenth part is the rest
+    text = F.coalesce("text", F.lit(""))
+    start = T.words(F.substring(text, 1, START))  # of which the last word may be cut
+    # white space may come first, and the tenth part is the rest
+    title = F.array_join(F.slice(F.when(F.size(start) > 8, start).otherwise(T.words(text, 10)), 1, 8), " ")
     listed = lambda c: F.array_compact(F.array(c)).alias
     return docs.select(F.col("doc_id").cast("string").alias("source_id"), title.alias("title"), F.coalesce("text", F.lit("")).alias("abstract"), listed("source")("authors"), F.col("lang").alias("primary_category"), listed("lang")("categories"), F.lit("").alias("published"))
 

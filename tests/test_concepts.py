@@ -64,7 +64,7 @@ def test_few_candidates_need_a_look_up(spark):
 
 
 def test_titles(spark):
-    texts = ["", "a b", "  a b c d e f g h i j", " a\tb\nc d e f g h i", "a b c d e f g h ", None]
+    texts = ["", "a b", "  a b c d e f g h i j", " a\tb\nc d e f g h i", "a b c d e f g h ", None, " " * 500 + "a b c d e f g h i", "x" * 300 + " " + "y" * 300 + " b c d e f g h", "a b c d e f g " + "z" * 500, "a b c d e f g " + "z" * 500 + " h"]
     p = chunking.papers(spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string"))
     assert [r.title for r in p.orderBy(F.col("source_id").cast("int")).collect()] == [" ".join((t or "").split()[:8]) for t in texts]
 
