@@ -11,9 +11,10 @@ from corvane.llm.common import stored
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node of edges (a, b); the edges have no nulls.
 
-    Each round writes its edges to the shared folder; neither nodes nor edges come to the driver.
+    The edges and those of each round are written to the shared folder; neither nodes nor edges come to the driver. A round
+    names its edges twelve times, so a plan that they came with would be planned as often, all in the driver.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
