@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,10 +70,27 @@ def _trim() -> None:
         trim(0)
 
 
+def _trim_jvm(spark: SparkSession) -> str | None:
+    """Let the driver's JVM give freed native memory back to the system, and return what it says; None if it can't.
+
+    Each thread that compiles or plans leaves some with the C library, which keeps it: hundreds of MB after some hundred queries.
+    """
+    jvm = spark._jvm
+    try:
+        beans = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods()
+        invoke = next(m for m in beans if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # a JVM or C library without this command
+        return None
+
+
 def settle(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files and broadcasts of finished queries, and the driver its garbage."""
+    """Let Spark drop the shuffle files and broadcasts of finished queries, and the driver its garbage and freed memory."""
     _trim()
     spark._jvm.System.gc()
+    _trim_jvm(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:
