@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.sources.scratch import stored
 
 # Name, keyword weight and graph weight of each strategy, in order.
 STRATEGIES = [("vector_only", 0.0, 0.0), ("hybrid_light", 0.15, 0.0), ("hybrid", 0.3, 0.0), ("hybrid_heavy", 0.5, 0.0), ("graph_light", 0.3, 0.2), ("graph", 0.3, 0.4), ("graph_heavy", 0.3, 0.6)]
@@ -16,8 +17,8 @@ def expected_keywords(questions: DataFrame, n: int = 5) -> DataFrame:
 
 
 def keyword_recall(retrieved: DataFrame, chunks: DataFrame, questions: DataFrame, by: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """by, recall and n_papers: the share of expected keywords in the joined texts of the retrieved chunks."""
-    texts = retrieved.join(chunks.select("source_id", "chunk_index", "text"), ["source_id", "chunk_index"])
+    """by, recall and n_papers: the share of expected keywords in the joined texts of the retrieved chunks. What was retrieved is stored, so that chunks are not shuffled for few rows."""
+    texts = stored(retrieved.select(*by, "rank", "source_id", "chunk_index")).join(chunks.select("source_id", "chunk_index", "text"), ["source_id", "chunk_index"])
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ")
     per = texts.groupBy(*by).agg(T.normalise(ordered).alias("hay"), F.countDistinct("source_id").alias("n_papers"))
     joined = questions.join(per, list(by), "left").withColumn("hay", F.coalesce("hay", F.lit("")))

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 from math import inf, log
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from corvane.functions import text as T
-from corvane.operators import retrieval
-from corvane.sources.scratch import stored
+from corvane.operators import chunking, retrieval
+from corvane.sources.scratch import dropped, settle, stored
 
 # The weight of a shared neighbour by relation; any other relation weighs 0.5.
 EDGE_WEIGHTS = {"MENTIONS": 1.0, "AUTHORED_BY": 0.8, "IN_CATEGORY": 0.25}
@@ -23,39 +28,82 @@ HUB, MOST = 200, 20
 KNOWN, AT_ONCE, ROWS_AT_ONCE = 200_000, 400_000, 50_000
 #: Characters of text for each partition of a shuffle of grams.
 PART_CHARS = 16 << 20
+#: Bits of the map of grams in two papers at least, as a power of 2.
+SLOT_BITS = 28
 
 
-def _words(papers: DataFrame) -> DataFrame:
-    """source_id and words: the concept words of a paper's title and abstract, parted by spaces. Papers with one id are one, their texts parted by line breaks."""
-    text = F.concat_ws(" ", "title", "abstract")
-    each = papers.select("source_id", F.array_join(T.concept_words(text), " ").alias("words"))
-    if papers.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return each
-    return each.groupBy("source_id").agg(F.array_join(F.collect_list("words"), "\n").alias("words"))
+def _lowered(papers: DataFrame) -> DataFrame:
+    """source_id and texts: a paper's title and abstract in lower case. Papers with one id are one with several texts."""
+    each = papers.select("source_id", F.lower(F.concat_ws(" ", "title", "abstract")).alias("text"))
+    if not chunking.repeated(papers):
+        return each.select("source_id", F.array("text").alias("texts"))
+    return each.groupBy("source_id").agg(F.collect_list("text").alias("texts"))
 
 
-def _grams(words: str) -> Counter:
-    """How often each concept word and pair of neighbours occurs."""
-    found = Counter()
-    for text in words.split("\n"):
-        w = text.split()
-        found.update(w)
-        found.update(map(" ".join, zip(w, w[1:], strict=False)))
-    return found
+_CONCEPT_WORDS, _NO_CONCEPTS = re.compile(r"[a-z][a-z0-9\-]{2,}"), frozenset(T.CONCEPT_STOPWORDS)
 
 
-def _sums_of_papers(batches):
-    """term and n, the papers that have it, summed over AT_ONCE terms or so."""
-    papers_of = Counter()
-    rows = lambda: pa.RecordBatch.from_arrays([pa.array(papers_of, pa.string()), pa.array(papers_of.values(), pa.int64())], names=["term", "n"])
+def _grams(texts: list[str]) -> Iterator[str]:
+    """Each concept word and pair of neighbours, as often as it occurs."""
+    for text in texts:
+        w = [x for x in _CONCEPT_WORDS.findall(text) if x not in _NO_CONCEPTS]
+        yield from w
+        yield from map(" ".join, zip(w, w[1:], strict=False))
+
+
+def _packed(papers_of: Counter, parts: int) -> pa.RecordBatch:
+    """part, size, terms and n: for each part that has some of the terms, these terms in order, so that neighbours begin alike, and their papers, compressed."""
+    dealt = [[] for _ in range(parts)]
+    for term in sorted(papers_of):
+        dealt[xxh64_intdigest(term) % parts].append(term)
+    rows = [(k, "\n".join(terms).encode(), np.array([papers_of[t] for t in terms], np.int64).tobytes()) for k, terms in enumerate(dealt) if terms]
+    pack = lambda x: pa.compress(x, codec="zstd", asbytes=True)
+    columns = zip(*[(k, len(terms), pack(terms), len(n), pack(n)) for k, terms, n in rows], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=_PACKED_NAMES)
+
+
+_PACKED = "part int, terms_size long, terms binary, n_size long, n binary"
+_PACKED_NAMES = ["part", "terms_size", "terms", "n_size", "n"]
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[pa.Table]:
+    for row in batch.to_pylist():
+        terms = pa.decompress(row["terms"], row["terms_size"], codec="zstd", asbytes=True).decode().split("\n")
+        n = np.frombuffer(pa.decompress(row["n"], row["n_size"], codec="zstd", asbytes=True), np.int64)
+        yield pa.table({"term": terms, "n": n})
+
+
+def _sums_of_papers(parts: int):
+    """The papers that have each term, summed over AT_ONCE terms or so in a task, packed by the part of the term."""
+
+    def run(batches):
+        papers_of = Counter()
+        for batch in batches:
+            for texts in batch.column("texts"):
+                papers_of.update(set(_grams(texts.as_py())))
+                if len(papers_of) >= AT_ONCE:
+                    yield _packed(papers_of, parts)
+                    papers_of.clear()
+        if papers_of:
+            yield _packed(papers_of, parts)
+
+    return run
+
+
+def _frequent(batches):
+    """term and df of the terms of a part that two papers have at least."""
+    sums, waiting, rows = None, [], 0
+    added = lambda: pa.concat_tables(([sums] if sums else []) + waiting).group_by("term").aggregate([("n", "sum")]).rename_columns(["term", "n"])
     for batch in batches:
-        for words in batch.column("words"):
-            papers_of.update(_grams(words.as_py()).keys())
-            if len(papers_of) >= AT_ONCE:
-                yield rows()
-                papers_of.clear()
-    if papers_of:
-        yield rows()
+        for table in _unpacked(batch):
+            waiting.append(table)
+            rows += table.num_rows
+            if rows >= max(AT_ONCE, sums.num_rows if sums else 0):
+                sums, waiting, rows = added(), [], 0
+    if sums or waiting:
+        total = added()
+        total = total.filter(pc.greater_equal(total["n"], 2)).rename_columns(["term", "df"])
+        yield from total.to_batches(ROWS_AT_ONCE)
 
 
 @dataclass
@@ -68,12 +116,13 @@ class Frequencies:
 
 
 def frequencies(papers: DataFrame) -> Frequencies:
-    """The papers that have each gram. Tasks sum up before the shuffle, and the shuffle has partitions for the text's length, so a task's memory does not grow with the input."""
+    """The papers that have each gram. Tasks sum up before the shuffle, and the shuffle has parts for the text's length, so a task's memory does not grow with the input."""
     size = papers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("abstract").cast("long")), F.lit(0)).alias("chars")).first()
     parts = max(papers.sparkSession.sparkContext.defaultParallelism, -(-size.chars // PART_CHARS))
-    some = _words(papers).select("words").mapInArrow(_sums_of_papers, "term string, n long")
-    df = some.repartition(parts, "term").groupBy("term").agg(F.sum("n").alias("df")).where("df >= 2")
-    return Frequencies(stored(df), size.n, parts)
+    some = _lowered(papers).select("texts").mapInArrow(_sums_of_papers(parts), _PACKED)
+    of = stored(some.repartitionById(parts, F.col("part")).mapInArrow(_frequent, "term string, df long"))
+    settle(of.sparkSession)
+    return Frequencies(of, size.n, parts)
 
 
 def document_frequency(f: Frequencies) -> DataFrame:
@@ -96,49 +145,65 @@ def _known(f: Frequencies, most: int) -> tuple[dict[str, int], int]:
     return dict(zip(rows["term"].to_pylist(), rows["df"].to_pylist(), strict=True)), 2 if terms <= most else least
 
 
+def _rare(f: Frequencies, least: int) -> np.ndarray:
+    """A bitmap with the hash of each gram in two papers at least whose df is below `least`: 16 bits for each, 2^SLOT_BITS at most."""
+    rare = f.of.where(F.col("df") < least)
+    bits = min(SLOT_BITS, max(15, (16 * rare.count()).bit_length()))
+    slot = F.xxhash64("term").bitwiseAND(F.lit((1 << bits) - 1)) + 1  # bit positions are counted from 1
+    pieces = rare.select(F.bitmap_bucket_number(slot).alias("piece"), F.bitmap_bit_position(slot).alias("at")).groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in pieces.toLocalIterator():  # 4 kB each
+        start = (row.piece - 1) * len(row.bits)
+        out[start : start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return out
+
+
 _CANDIDATES = "source_id string, term string, c long, total long, df long"
 
 
 def candidates(papers: DataFrame, f: Frequencies, top: int, most: int = KNOWN) -> DataFrame:
     """source_id, term, c (times), total (grams of the paper) and df of all grams that can be among the `top` of each paper; df is null where it has to be looked up.
 
-    The frequent grams' df goes to all tasks. A rarer gram can be left out if it would be worse than `top` frequent ones even in two papers only.
+    The frequent grams' df goes to all tasks. A rarer gram can be left out if it would be worse than `top` frequent ones even in two papers only, and if
+    the bitmap of the grams of two papers says that it is in one only.
     """
     known, least = _known(f, most)
     weights = {df: log(f.n_docs / df) if df <= f.n_docs * 0.5 else 0.0 for df in set(known.values())}  # no gram of a result has weight 0
-    shipped = papers.sparkSession.sparkContext.broadcast((known, weights))
+    shipped = papers.sparkSession.sparkContext.broadcast((known, weights, _rare(f, least).tobytes() if least > 2 else b"\0"))
     hope = log(f.n_docs / 2) if least > 2 and f.n_docs >= 4 else 0.0
 
-    def best(words: str) -> Iterator[tuple]:
-        (known, weights), grams = shipped.value, _grams(words)
-        total = grams.total()
+    def best(texts: list[str]) -> Iterator[tuple]:
+        (known, weights, rare), grams = shipped.value, Counter(_grams(texts))
+        total, mask = grams.total(), 8 * len(rare) - 1
         scored = [(c * weights[df], term, c, df) for term, c in grams.items() if (df := known.get(term))]
-        scored = sorted((x for x in scored if x[0]), reverse=True)
+        best = nlargest(top, [x[0] for x in scored if x[0]])
         # scores are rounded to twelve digits later
-        bound = scored[top - 1][0] - 1e-11 * total if len(scored) >= top else -inf
+        bound = best[-1] - 1e-11 * total if len(best) == top else -inf
         ties = Counter()
-        for score, term, c, df in scored:  # of grams with one score the largest are first
-            if score < bound:
-                break
+        for _, term, c, df in sorted((x for x in scored if x[0] and x[0] >= bound), reverse=True):  # of grams with one score the largest are first
             ties[c, df] += 1
             if ties[c, df] <= top:
                 yield term, c, total, df
         if hope:
-            yield from ((term, c, total, None) for term, c in grams.items() if c * hope >= bound and term not in known)
+            for term, c in grams.items():
+                if c * hope >= bound and term not in known:
+                    slot = xxh64_intdigest(term, 42) & mask
+                    if rare[slot >> 3] >> (slot & 7) & 1:
+                        yield term, c, total, None
 
     def run(batches):
         for batch in batches:
             rows = []
-            for source, words in zip(batch.column("source_id"), batch.column("words"), strict=True):
+            for source, texts in zip(batch.column("source_id"), batch.column("texts"), strict=True):
                 s = source.as_py()
-                rows += [(s, *x) for x in best(words.as_py())]
+                rows += [(s, *x) for x in best(texts.as_py())]
                 if len(rows) >= ROWS_AT_ONCE:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
 
-    return _words(papers).mapInArrow(run, _CANDIDATES)
+    return _lowered(papers).mapInArrow(run, _CANDIDATES)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -155,12 +220,15 @@ def concepts(papers: DataFrame, top: int = 12, most: int = KNOWN) -> DataFrame:
     """source_id, rank, term, score: the grams of each paper with the highest TF-IDF."""
     f = frequencies(papers)
     found = stored(candidates(papers, f, top, most))
-    rare = _dealt(found.where("df is null").drop("df"), f.parts, "term").join(_dealt(document_frequency(f), f.parts, "term"), "term")
+    rare = _dealt(found.where("df is null").drop("df"), f.parts, "term").join(_dealt(document_frequency(f), f.parts, "term").hint("shuffle_hash"), "term")
     both = found.where("df is not null").unionByName(rare)
     score = F.round(F.col("c") / F.col("total") * F.log(F.lit(f.n_docs) / F.col("df")), 12)
     scored = _dealt(both.select("source_id", "term", score.alias("score")), f.parts, "source_id")
     rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), F.desc("term")))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    best = stored(scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top))
+    dropped(found, f.of)
+    settle(best.sparkSession)
+    return best
 
 
 def edges(papers: DataFrame, found: DataFrame) -> DataFrame:
@@ -255,7 +323,7 @@ def neighbour_chunks(pool: DataFrame, questions: DataFrame, chunks: DataFrame, l
     found = starts.join(related(starts, links, neighbours), "src").select("qid", F.col("other").alias("source_id"), "relatedness")
     fresh = found.join(seeds.select("qid", "source_id"), ["qid", "source_id"], "left_anti").groupBy("qid", "source_id").agg(F.max("relatedness").alias("relatedness"))
     share = F.coalesce(F.col("relatedness") / F.nullif(F.max("relatedness").over(Window.partitionBy("qid")), F.lit(0.0)), F.lit(0.0))
-    fresh = fresh.withColumn("share", share)
+    fresh = stored(fresh.withColumn("share", share))  # then Spark knows how few they are, and does not shuffle the chunks
     q = questions.select("qid", F.col("v").alias("qv"), F.col("norm2").alias("qn"))
     near = chunks.select("source_id", "chunk_index", "v", "norm2").join(fresh, "source_id").join(q, "qid")
     scored = near.select("qid", "source_id", "chunk_index", "share", retrieval.cosine(T.dot("qv", "v"), F.col("qn"), F.col("norm2")).alias("sim"))

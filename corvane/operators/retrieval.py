@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as D
 
 from corvane.functions import text as T
+from corvane.sources.scratch import stored
 
 BUCKETS = 64
 #: Questions that one pass over the chunks answers; their vectors go to the executors, 16 bytes for each of the 64 counts and 4 kB of candidates.
@@ -163,7 +164,11 @@ def vector_top(questions: DataFrame, chunks: DataFrame, pool: int = 20) -> DataF
 
 
 def overlap(pool: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """pool with kw: the share of the question's keywords that the chunk has, repeats counted; 0 without keywords."""
+    """pool with kw: the share of the question's keywords that the chunk has, repeats counted; 0 without keywords.
+
+    pool is stored first: as Spark knows how small it is, chunks are not shuffled to find its texts.
+    """
+    pool = stored(pool)
     wanted = questions.select("qid", F.explode(T.keywords("question")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qc"))
     total = wanted.groupBy("qid").agg(F.sum("qc").alias("total"))
     keys = pool.select("source_id", "chunk_index").distinct()

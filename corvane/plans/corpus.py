@@ -37,8 +37,7 @@ class Corpus:
     @cached_property
     def index(self) -> Index:
         """The index, filled by one upsert: chunks with their paper's fields, embedded."""
-        papers = chunking.papers(texts(self.spark, self.sf_dir))
-        chunks = retrieval.embed(chunking.payload(chunking.chunks(documents(self.spark, self.sf_dir)), papers))
+        chunks = retrieval.embed(chunking.described(texts(self.spark, self.sf_dir)))
         index = Index(self.spark, new_path(self.spark, "index")).create(chunks.schema)
         index.upsert(chunks)
         return index

@@ -38,7 +38,7 @@ def chunk_stats(spark, sf_dir):
 
 
 def chunk_payload(spark, sf_dir):
-    p = chunking.payload(chunking.chunks(documents(spark, sf_dir)), chunking.papers(texts(spark, sf_dir)))
+    p = chunking.described(texts(spark, sf_dir))
     joined = lambda c: F.array_join(c, "|").alias(c)
     return p.select(F.md5("text").alias("text_md5"), "source_id", "source_title", "chunk_index", joined("authors"), "primary_category", joined("categories"), "published", "published_year", "schema_version")
 

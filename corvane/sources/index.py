@@ -1,7 +1,7 @@
 """The chunk index: embedded chunks with their paper's fields, in hash buckets of their source.
 
 An index is a folder. `data/<write>/bucket=<k>` holds what one write has put into one bucket, sorted by source and chunk, so that a file's minima and
-maxima tell most sources apart. `manifests/<version>.json` names the folder of each bucket. A version is never changed: a write reads the buckets that its
+maxima tell most sources apart. New chunks are written in this form first; if their buckets were empty, that is all. `manifests/<version>.json` names the folder of each bucket. A version is never changed: a write reads the buckets that its
 documents fall into, leaves the chunks of these documents out, adds the new ones, writes these buckets anew, and then gives its manifest the next number by a
 rename that fails if the number is taken. So a reader sees a whole version, a write that fails leaves nothing behind that counts, and of two
 writers one starts again from the other's version. What a write costs grows with the buckets that it touches, not with the index.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.sources.scratch import stored
+from corvane.sources.scratch import dropped, settle, stored
 from corvane.sources.versions import Conflict, Versions
 
 BUCKETS = 64
@@ -26,6 +26,8 @@ BUCKETS = 64
 KEEP = 2
 #: How often a writer starts again after another one was faster.
 ATTEMPTS = 20
+#: Parts of a bucket that a first write deals to tasks.
+SLOTS = 4
 
 
 def bucket_of(source: str, buckets: int) -> Column:
@@ -80,14 +82,23 @@ class Index(Versions):
         """
         first = self.manifest()
         schema, buckets = T.StructType.fromJson(first["schema"]), first["buckets"]
-        new = stored(chunks.select(*schema.names).withColumn("bucket", bucket_of("source_id", buckets)))
+        draft = self._draft(chunks.select(*schema.names), buckets, first["version"] + 1)
+        new = self._rows(first | {"folders": draft})
         touched = (sources if sources is not None else new).select("source_id").distinct()
         touched = stored(touched.withColumn("bucket", bucket_of("source_id", buckets)))
-        numbers = {r.bucket for r in touched.select("bucket").distinct().collect()} | {r.bucket for r in new.select("bucket").distinct().collect()}  # as many as buckets at most
+        numbers = {r.bucket for r in touched.select("bucket").distinct().collect()} | {int(k) for k in draft}  # as many as buckets at most
         for _ in range(ATTEMPTS):
             base = self.manifest()
             try:
-                return self._replace(base, numbers, touched, new)
+                if not any(int(k) in numbers for k in base["folders"]):
+                    version = self._add(base, draft)
+                else:
+                    version = self._replace(base, numbers, touched, new)
+                    for write in set(draft.values()):
+                        folder, files = self._file(f"{self.path}/data/{write}")
+                        files.delete(folder, True)
+                dropped(touched)
+                return version
             except Conflict:
                 continue
         raise Conflict(f"{self.path} was changed {ATTEMPTS} times by others")
@@ -97,6 +108,26 @@ class Index(Versions):
         schema = T.StructType.fromJson(self.manifest()["schema"])
         return self.upsert(self.spark.createDataFrame([], schema), sources)
 
+    def _draft(self, chunks: DataFrame, buckets: int, version: int) -> dict[str, str]:
+        """The folder of each bucket of the chunks, once each, written without a look at the index."""
+        columns, order = chunks.columns, ["bucket", "source_id", "chunk_index"]
+        # the slots of a bucket have its remainder
+        rows = chunks.withColumn("slot", bucket_of("source_id", buckets * SLOTS)).withColumn("bucket", F.col("slot") % buckets).repartition("slot")
+        nth = F.row_number().over(Window.partitionBy("slot", *order).orderBy(F.xxhash64(*columns, "bucket")))  # in the same partitions
+        return self._write(rows.withColumn("nth", nth).where("nth = 1").drop("nth", "slot"), version)
+
+    def _write(self, rows: DataFrame, version: int) -> dict[str, str]:
+        write = f"{version:012d}-{uuid.uuid4().hex}"
+        rows.sortWithinPartitions("bucket", "source_id", "chunk_index").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/data/{write}")
+        folder, files = self._file(f"{self.path}/data/{write}")
+        settle(self.spark)
+        return {n.removeprefix("bucket="): write for s in files.listStatus(folder) if (n := s.getPath().getName()).startswith("bucket=")}
+
+    def _add(self, base: dict, folders: dict[str, str]) -> int:
+        self._publish(base["version"] + 1, {"buckets": base["buckets"], "schema": base["schema"], "folders": base["folders"] | folders})
+        self._expire()
+        return base["version"] + 1
+
     def _replace(self, base: dict, numbers: set[int], touched: DataFrame, new: DataFrame) -> int:
         old = self._rows(base, numbers)
         gone = touched.select(F.col("source_id").alias("s"), F.col("bucket").alias("b"))
@@ -104,14 +135,8 @@ class Index(Versions):
         order = ["bucket", "source_id", "chunk_index"]
         rows = kept.unionByName(new.select(kept.columns)).repartitionByRange(*order)
         nth = F.row_number().over(Window.partitionBy(*order).orderBy(F.xxhash64(*kept.columns)))  # in the same partitions
-        write = f"{base['version'] + 1:012d}-{uuid.uuid4().hex}"
-        rows.withColumn("nth", nth).where("nth = 1").drop("nth").sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{self.path}/data/{write}")
-        folder, files = self._file(f"{self.path}/data/{write}")
-        written = {int(n.removeprefix("bucket=")) for s in files.listStatus(folder) if (n := s.getPath().getName()).startswith("bucket=")}
-        folders = {k: f for k, f in base["folders"].items() if int(k) not in numbers} | {str(k): write for k in sorted(written)}
-        self._publish(base["version"] + 1, {"buckets": base["buckets"], "schema": base["schema"], "folders": folders})
-        self._expire()
-        return base["version"] + 1
+        written = self._write(rows.withColumn("nth", nth).where("nth = 1").drop("nth"), base["version"] + 1)
+        return self._add(base | {"folders": {k: f for k, f in base["folders"].items() if int(k) not in numbers}}, written)
 
     def _expire(self) -> None:
         """Delete what only versions before the last KEEP name."""

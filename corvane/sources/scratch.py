@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,5 +31,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """df, written once and read back."""
     path = new_path(df.sparkSession, "step")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of finished queries, which stay on disk until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete what stored() has written for tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

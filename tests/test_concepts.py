@@ -81,3 +81,54 @@ def test_largest_hubs_are_not_met(spark):
     gain = round(0.25 / math.log(n + 1.5) + 1 / math.log(20 + 1.5), 6)
     got = [(r.src, r.other, r.relatedness) for r in graph.related(seeds, links, 5).orderBy("src", "rank").collect()]
     assert got == [("p007", f"p{7 + 20 * k:03d}", gain) for k in range(1, 6)] + [("p399", f"p{19 + 20 * k:03d}", gain) for k in range(5)]
+
+
+@pytest.mark.parametrize("most", [0, 40])
+def test_grams_of_one_paper_are_not_looked_up(spark, most):
+    """No gram of two papers is missed, and of those of one paper hardly any is looked up."""
+    rows, p = papers(spark)
+    unique = [(f"u{i}", "", " ".join(f"q{i}x{j}" for j in range(30))) for i in range(60)]  # 59 grams each, in one paper
+    p = p.unionByName(spark.createDataFrame(unique, p.schema))
+    f = graph.frequencies(p)
+    looked_up = graph.candidates(p, f, 12, most).where("df is null").select("term").distinct()
+    false = looked_up.join(f.of, "term", "left_anti").count()
+    assert false < 0.15 * 60 * 59
+    known, least = graph._known(f, most)
+    rare = f.of.where(F.col("df") < least)
+    bits = graph._rare(f, least)
+    slots = [r.h & (8 * len(bits) - 1) for r in rare.select(F.xxhash64("term").alias("h")).collect()]
+    assert slots and all(bits[s >> 3] >> (s & 7) & 1 for s in slots)
+
+
+def test_packed_sums(spark):
+    """What tasks pass on comes back whole, also in many parts and portions."""
+    sums = Counter({"a": 2, "a b": 1, "ünü": 3, "zz9 q-1": 1})
+    packed = graph._packed(sums, 3)
+    assert sum((Counter(dict(zip(t["term"].to_pylist(), t["n"].to_pylist()))) for t in graph._unpacked(packed)), Counter()) == sums
+    total = Counter()
+    for batch in graph._frequent([packed, graph._packed(Counter({"a": 1, "a b": 1}), 5)]):
+        total.update(dict(zip(batch["term"].to_pylist(), batch["df"].to_pylist())))
+    assert total == {"a": 3, "a b": 2, "ünü": 3} and not list(graph._frequent([]))
+
+
+def test_fields_without_a_shuffle_of_texts(spark):
+    """Chunks get their fields from their own row, and by a join if papers share an id: the same rows as by a join always."""
+    schema = "doc_id long, text string, lang string, source string"
+    docs = [(i, " ".join(f"w{k}" for k in range(7 * i)), "de" if i % 2 else None, f"s{i % 3}") for i in range(9)] + [(None, "no id", "en", "s"), (20, None, "en", "s"), (21, "  x　y ", "en", None)]
+    for rows in (docs, [*docs, (3, "again", "fr", "t")]):
+        d = spark.createDataFrame(rows, schema)
+        whole = chunking.chunks(d.select(F.col("doc_id").cast("string").alias("source_id"), "text"), 20, 5)
+        want = sorted(map(str, chunking.payload(whole, chunking.papers(d)).collect()))
+        described = chunking.described(d, 20, 5)
+        assert sorted(map(str, described.collect())) == want
+        if rows is docs:
+            assert "Exchange" not in described._jdf.queryExecution().executedPlan().toString()
+
+
+def test_white_space(spark):
+    """Every white space of Unicode parts words, and nothing else does."""
+    from corvane.functions import text as T
+
+    rows = [(i, f"a{chr(i)}b") for i in range(1, 0x3100)]
+    two = {r.i for r in spark.createDataFrame(rows, "i long, t string").where(F.size(T.words("t")) == 2).select("i").collect()}
+    assert two == {i for i in range(1, 0x3100) if chr(i).isspace()}

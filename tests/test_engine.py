@@ -72,3 +72,17 @@ def test_no_graph_is_made_for_a_weight_of_zero(spark, monkeypatch):
 
     monkeypatch.setattr(Corpus, "links", property(made))
     assert plans.queries()["graph_zero_equals_hybrid"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_few_candidates_do_not_shuffle_chunks(spark):
+    """The texts of a pool are found without a shuffle of all chunks, even if Spark can't tell the pool's size beforehand."""
+    from corvane.sources.scratch import stored
+
+    c = stored(spark.createDataFrame([("a", 0, "graph search"), ("b", 0, "other")], "source_id string, chunk_index long, text string"))
+    q = stored(spark.createDataFrame([(1, "graph graph search", ["graph"])], "qid long, question string, expected array<string>"))
+    pool = spark.createDataFrame([(1, "a", 0, 1), (1, "b", 0, 2)], "qid long, source_id string, chunk_index long, rank long")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found, recall = retrieval.overlap(pool, q, c), evaluation.keyword_recall(pool, c, q)
+    assert "SortMergeJoin" not in plan(found) and "SortMergeJoin" not in plan(recall.select("qid", "n_papers"))
+    assert sorted((r.source_id, round(r.kw, 6)) for r in found.collect()) == [("a", 0.666667), ("b", 0.0)]
+    assert [tuple(r) for r in recall.collect()] == [(1, 1.0, 2)]

@@ -145,3 +145,15 @@ def test_a_stream_that_starts_again(spark, tmp_path):
     spark.read.schema(schema).parquet(source).where(F.col("text") == "new").coalesce(1).write.parquet(f"{source}2")
     ingest.ingest(spark, f"{source}2", schema, path, f"{checkpoint}2", 4, 1).awaitTermination()  # a replay by another query
     assert (content(index), index.versions()[-1]) == (want, version)
+
+
+def test_first_chunks_are_written_once(spark, index, monkeypatch):
+    """Chunks for empty buckets lie nowhere but in the index, and a draft that was merged with others is gone."""
+    columns, stored = [], store.stored
+    monkeypatch.setattr(store, "stored", lambda df: columns.append(df.columns) or stored(df))
+    index.upsert(chunks(spark, [(f"s{i}", k, "x") for i in range(50) for k in range(3)] + [("s1", 1, "x")]))
+    assert content(index) == sorted((f"s{i}", k, "x") for i in range(50) for k in range(3))
+    index.upsert(chunks(spark, [("s1", 0, "y")]))
+    assert not any("text" in c for c in columns)
+    data, files = index._file(f"{index.path}/data")
+    assert len(files.listStatus(data)) == 2 and content(index).count(("s1", 0, "y")) == 1
