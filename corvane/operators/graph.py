@@ -43,20 +43,23 @@ def _lowered(papers: DataFrame) -> DataFrame:
 _CONCEPT_WORDS, _NO_CONCEPTS = re.compile(r"[a-z][a-z0-9\-]{2,}"), frozenset(T.CONCEPT_STOPWORDS)
 
 
-def _grams(texts: list[str]) -> Iterator[str]:
-    """Each concept word and pair of neighbours, as often as it occurs."""
+def _grams(texts: list[str], found: set | Counter) -> set | Counter:
+    """found with each concept word and pair of neighbours, as often as it occurs if found counts."""
     for text in texts:
         w = [x for x in _CONCEPT_WORDS.findall(text) if x not in _NO_CONCEPTS]
-        yield from w
-        yield from map(" ".join, zip(w, w[1:], strict=False))
+        found.update(w)
+        found.update(map(" ".join, zip(w, w[1:], strict=False)))
+    return found
 
 
 def _packed(papers_of: Counter, parts: int) -> pa.RecordBatch:
-    """part, size, terms and n: for each part that has some of the terms, these terms in order, so that neighbours begin alike, and their papers, compressed."""
-    dealt = [[] for _ in range(parts)]
-    for term in sorted(papers_of):
-        dealt[xxh64_intdigest(term) % parts].append(term)
-    rows = [(k, "\n".join(terms).encode(), np.array([papers_of[t] for t in terms], np.int64).tobytes()) for k, terms in enumerate(dealt) if terms]
+    """part, size, terms and n: for each part that has some of the terms, these terms and their papers, compressed."""
+    dealt = [([], []) for _ in range(parts)]
+    for term, n in papers_of.items():
+        terms, ns = dealt[xxh64_intdigest(term) % parts]
+        terms.append(term)
+        ns.append(n)
+    rows = [(k, "\n".join(terms).encode(), np.array(ns, np.int64).tobytes()) for k, (terms, ns) in enumerate(dealt) if terms]
     pack = lambda x: pa.compress(x, codec="zstd", asbytes=True)
     columns = zip(*[(k, len(terms), pack(terms), len(n), pack(n)) for k, terms, n in rows], strict=True)
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=_PACKED_NAMES)
@@ -80,7 +83,7 @@ def _sums_of_papers(parts: int):
         papers_of = Counter()
         for batch in batches:
             for texts in batch.column("texts"):
-                papers_of.update(set(_grams(texts.as_py())))
+                papers_of.update(_grams(texts.as_py(), set()))
                 if len(papers_of) >= AT_ONCE:
                     yield _packed(papers_of, parts)
                     papers_of.clear()
@@ -169,34 +172,43 @@ def candidates(papers: DataFrame, f: Frequencies, top: int, most: int = KNOWN) -
     """
     known, least = _known(f, most)
     weights = {df: log(f.n_docs / df) if df <= f.n_docs * 0.5 else 0.0 for df in set(known.values())}  # no gram of a result has weight 0
-    shipped = papers.sparkSession.sparkContext.broadcast((known, weights, _rare(f, least).tobytes() if least > 2 else b"\0"))
+    of_weight = {w: df for df, w in weights.items()}
+    shipped = papers.sparkSession.sparkContext.broadcast(({term: weights[df] for term, df in known.items()}, of_weight, _rare(f, least).tobytes() if least > 2 else b"\0"))
     hope = log(f.n_docs / 2) if least > 2 and f.n_docs >= 4 else 0.0
 
-    def best(texts: list[str]) -> Iterator[tuple]:
-        (known, weights, rare), grams = shipped.value, Counter(_grams(texts))
+    def best(texts: list[str], weight_of: dict, of_weight: dict, rare: bytes) -> tuple[list, int]:
+        """Terms with their times and df, and the grams of a paper."""
+        grams = _grams(texts, Counter())
         total, mask = grams.total(), 8 * len(rare) - 1
-        scored = [(c * weights[df], term, c, df) for term, c in grams.items() if (df := known.get(term))]
-        best = nlargest(top, [x[0] for x in scored if x[0]])
+        highest = nlargest(top, [c * w for term, c in grams.items() if (w := weight_of.get(term))])
         # scores are rounded to twelve digits later
-        bound = best[-1] - 1e-11 * total if len(best) == top else -inf
+        bound = highest[-1] - 1e-11 * total if len(highest) == top else -inf
+        most = max(hope, max(of_weight, default=0.0))
+        scored, looked_up = [], []
+        for term, c in grams.items():
+            if c * most >= bound:
+                w = weight_of.get(term)
+                if w:
+                    if c * w >= bound:
+                        scored.append((c * w, term, c, of_weight[w]))
+                elif w is None and hope and c * hope >= bound:
+                    slot = xxh64_intdigest(term, 42) & mask
+                    if rare[slot >> 3] >> (slot & 7) & 1:
+                        looked_up.append((term, c, None))
         ties = Counter()
-        for _, term, c, df in sorted((x for x in scored if x[0] and x[0] >= bound), reverse=True):  # of grams with one score the largest are first
+        for _, term, c, df in sorted(scored, reverse=True):  # of grams with one score the largest are first
             ties[c, df] += 1
             if ties[c, df] <= top:
-                yield term, c, total, df
-        if hope:
-            for term, c in grams.items():
-                if c * hope >= bound and term not in known:
-                    slot = xxh64_intdigest(term, 42) & mask
-                    if rare[slot >> 3] >> (slot & 7) & 1:
-                        yield term, c, total, None
+                looked_up.append((term, c, df))
+        return looked_up, total
 
     def run(batches):
         for batch in batches:
             rows = []
             for source, texts in zip(batch.column("source_id"), batch.column("texts"), strict=True):
+                found, total = best(texts.as_py(), *shipped.value)
                 s = source.as_py()
-                rows += [(s, *x) for x in best(texts.as_py())]
+                rows += [(s, term, c, total, df) for term, c, df in found]
                 if len(rows) >= ROWS_AT_ONCE:
                     yield _batch(rows)
                     rows = []

@@ -51,12 +51,11 @@ class HashedWords:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """An integer matrix with a row for each text."""
-        row, at = [], []
+        out = np.zeros((len(texts), BUCKETS), np.int64)
         for i, t in enumerate(texts):
-            found = [self.buckets[w] for w in self.words.findall(t.lower())]
-            at += found
-            row += [i] * len(found)
-        return np.bincount(np.array(row, np.int64) * BUCKETS + np.array(at, np.int64), minlength=BUCKETS * len(texts)).reshape(len(texts), BUCKETS)
+            found = self.words.findall(t.lower())
+            out[i] = np.bincount(np.fromiter(map(self.buckets.__getitem__, found), np.int64, len(found)), minlength=BUCKETS)
+        return out
 
 
 def embed(df: DataFrame, embedder: Callable[[], Callable[[list[str]], np.ndarray]] = HashedWords) -> DataFrame:
